@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from attestra.llm import chat
+from attestra.llm import bpe, chat
 
-QUERIES = {"op3_chat_format": chat.op3_chat_format}
+QUERIES = {
+    "op3_chat_format": chat.op3_chat_format,
+    "op8_bpe": bpe.op8_bpe,
+}
 
 ORACLES: dict[str, str] = {"op3_chat_format": chat.OP3_SQL}
