@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestra.llm import common
 
@@ -183,7 +184,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
     path = path or default_path()
     own = {"n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own])
-    schema = docs.schema
+    schema = T.StructType(list(docs.schema.fields))
     for name, kind in (("n_tokens", "long"), ("ids", "binary"), ("decoded", "string")) if keep_ids else (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")):
         schema = schema.add(name, kind)
 
