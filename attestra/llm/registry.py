@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from attestra.llm import bpe, chat
+from attestra.llm import bpe, chat, substring
 
 QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
+    "op7_substring": substring.op7_substring,
     "op8_bpe": bpe.op8_bpe,
 }
 
