@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from attestra.llm import bpe, chat, substring
+from attestra.llm import bpe, chat, decontam, substring
 
 QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
     "op7_substring": substring.op7_substring,
     "op8_bpe": bpe.op8_bpe,
+    "op10_decontaminate": decontam.op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op3_chat_format": chat.OP3_SQL}
+ORACLES: dict[str, str] = {"op3_chat_format": chat.OP3_SQL, "op10_decontaminate": decontam.OP10_SQL}
