@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from attestra.llm import bpe, chat, decontam, substring
+from attestra.llm import bpe, chat, decontam, minhash, substring
 
 QUERIES = {
+    "op1_minhash": minhash.op1_minhash,
     "op3_chat_format": chat.op3_chat_format,
     "op7_substring": substring.op7_substring,
     "op8_bpe": bpe.op8_bpe,
