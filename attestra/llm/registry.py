@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from attestra.llm import bpe, chat, decontam, minhash, substring
+from attestra.llm import bpe, chat, decontam, langid, minhash, substring
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op3_chat_format": chat.op3_chat_format,
+    "op6_langid": langid.op6_langid,
     "op7_substring": substring.op7_substring,
     "op8_bpe": bpe.op8_bpe,
     "op10_decontaminate": decontam.op10_decontaminate,
