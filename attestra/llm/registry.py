@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from attestra.llm import bpe, chat, decontam, langid, minhash, substring
+from attestra.llm import bpe, chat, decontam, langid, minhash, quality, substring
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
+    "op2_quality": quality.op2_quality,
     "op3_chat_format": chat.op3_chat_format,
     "op6_langid": langid.op6_langid,
     "op7_substring": substring.op7_substring,
