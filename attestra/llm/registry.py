@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestra.llm import bpe, chat, decontam, langid, media, minhash, quality, substring
+from attestra.llm import bpe, chat, decontam, langid, media, minhash, quality, rollup, substring
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -12,7 +12,8 @@ QUERIES = {
     "op6_langid": langid.op6_langid,
     "op7_substring": substring.op7_substring,
     "op8_bpe": bpe.op8_bpe,
+    "op9_token_rollup": rollup.op9_token_rollup,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op3_chat_format": chat.OP3_SQL, "op10_decontaminate": decontam.OP10_SQL}
+ORACLES: dict[str, str] = {"op3_chat_format": chat.OP3_SQL, "op9_token_rollup": rollup.OP9_SQL, "op10_decontaminate": decontam.OP10_SQL}
