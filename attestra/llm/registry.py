@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from attestra.llm import bpe, chat, decontam, langid, media, minhash, quality, rollup, substring
+from attestra.llm import bpe, chat, decontam, langid, lm, media, minhash, quality, rollup, substring
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_quality": quality.op2_quality,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_lm_score": lm.op4_lm_score,
     "op5_media": media.op5_media,
     "op6_langid": langid.op6_langid,
     "op7_substring": substring.op7_substring,
