@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from attestra.queries import acquisition, audit, avsync, custody, evidence, features, fusion, identity, models, provenance  # noqa: F401
+from attestra.queries.base import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "five_way_verdict"
