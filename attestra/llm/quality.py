@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm import common, words
 
-TRAIN_MOST = 20_000
+TRAIN_MOST = 8_000
 BITS = 18
 KEEP_FROM = 0.5
 #: Site tables up to so many rows are broadcast; beyond, they are joined.
@@ -91,7 +91,7 @@ def fit(rows: list[tuple[np.ndarray, int]], rounds: int = 200, l2: float = 1e-4)
     if not len(y) or y.min() == y.max():
         return weights
     feature = np.concatenate([r[0] for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     # Words whose share differs between the kinds by 4 standard errors or more, in 4 texts or more; all shapes.
     n1 = y.sum()
     n0 = len(y) - n1
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_MOST) -> np.ndar
 
     got = rows.mapInArrow(extract, "doc_id long, good int, f binary").collect()
     got.sort(key=lambda r: (r.doc_id, r.good, r.f))
-    return fit([(np.frombuffer(r.f, np.int32).astype(np.int64), r.good) for r in got])
+    return fit([(np.frombuffer(r.f, np.int32), r.good) for r in got])
 
 
 def with_evidence(docs: DataFrame, weights: np.ndarray, carry: list[str]) -> DataFrame:
