@@ -106,3 +106,61 @@ def _(spark, d):
 @query("frame_sampling", "SELECT doc_id, array_to_string(CASE WHEN n_chars <= 32 THEN range(0, n_chars) ELSE list_sort(list_distinct(list_transform(range(0, 32), lambda i: CAST(floor(i * (n_chars - 1) / 31.0) AS BIGINT)))) END, ',') AS places FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(X.sample_places(F.col("n_chars").cast("int"), 32), lambda x: x.cast("string")), ",").alias("places"))
+
+
+CLIPS = 12
+
+
+def clips(spark, **kw):
+    from attestra.operators import clips as K
+
+    return K.generate(spark, CLIPS, **kw)
+
+
+@query("visual_kernel")
+def _(spark, d):
+    from attestra.kernels import visual
+    from attestra.operators import clips as K
+
+    return K.visual_features(clips(spark)).select("clip_id", F.explode(K.feature_map(visual.NAMES)).alias("feature", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("multiregion_kernel")
+def _(spark, d):
+    from attestra.operators import clips as K
+
+    return K.visual_features(clips(spark), regions=True).select("clip_id", "available", F.size("features").alias("n"))
+
+
+@query("audio_kernel")
+def _(spark, d):
+    from attestra.kernels import audio
+    from attestra.operators import clips as K
+
+    return K.audio_features(clips(spark)).select("clip_id", F.explode(K.feature_map(audio.NAMES)).alias("feature", "value")).withColumn("value", F.round("value", 5))
+
+
+@query("av_offset_kernel", "SELECT CAST(range AS BIGINT) AS clip_id, 5 AS lag FROM range(12)")
+def _(spark, d):
+    """Clips whose audio is 200 ms late: the peak stands at 5 frames of 40 ms."""
+    from attestra.operators import clips as K
+
+    curve = K.activity_curves(clips(spark, shift_ms=200.0))
+    return Q.peak(Q.cross_correlation(curve, "clip_id", "t", "a", "b", 12), "clip_id").select("clip_id", "lag")
+
+
+@query("clip_hashes")
+def _(spark, d):
+    from attestra.operators import clips as K
+
+    h = K.hashes(clips(spark))
+    return h.select("clip_id", F.array_join(F.transform("video_phash", X.hash_hex), ",").alias("video_phash"), F.array_join(F.transform("audio_phash", X.hash_hex), ",").alias("audio_phash"))
+
+
+@query("clip_commitments")
+def _(spark, d):
+    from attestra.operators import clips as K
+    from attestra.operators import custody as C
+
+    c = K.commitments(clips(spark))
+    return c.select("clip_id", "track", F.size("leaves").alias("chunks"), C.merkle_root("leaves").alias("root"))
