@@ -115,3 +115,22 @@ def _(spark, d):
 def _(spark, d):
     word = F.when(F.col("event_type") == "view", "REAL").otherwise(F.upper("event_type"))
     return table(spark, d, "events").groupBy("event_type", U.cached(word).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+CASCADE = f"""{FUSED}, r AS (SELECT sha256(text) AS sha, CASE WHEN min(doc_id) % 5 = 0 THEN 'v1' ELSE 'v2' END AS fs, min(doc_id) AS clip FROM documents WHERE doc_id % 2 = 0 GROUP BY 1),
+ q AS (SELECT d.doc_id AS seq, n_chars, r.clip, coalesce(r.fs = 'v2', false) AS hit FROM documents d LEFT JOIN r ON sha256(d.text) = r.sha),
+ g AS (SELECT *, (n_chars % 100) / 100.0 AS p, NOT hit AND n_chars > 0 AND seq % 5 <> 0 AND (n_chars % 100) / 100.0 <= 0.2 AND (seq % 10) / 10.0 <= 0.5 AS clean FROM q)
+ SELECT seq, CASE WHEN hit THEN 'short_circuit' WHEN clean THEN 'early_exit' ELSE 'full' END AS route, CASE WHEN hit THEN CASE WHEN clip % 3 = 0 THEN 'REAL' ELSE 'UNKNOWN' END WHEN clean THEN 'REAL' ELSE verdict END AS verdict,
+ CASE WHEN hit THEN NULL WHEN clean THEN round(1 - p, 6)::DOUBLE ELSE round(top, 6) END AS top FROM g JOIN f ON f.doc_id = g.seq"""
+
+
+@query("cascade_verdicts", CASCADE)
+def _(spark, d):
+    from attestra.plans.cascade import cascade
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.sha2("text", 256).alias("sha"), "n_chars")
+    first = docs.where("seq % 2 = 0").groupBy("sha").agg(F.min("seq").alias("clip"))
+    registry = first.select("sha", F.when(F.col("clip") % 5 == 0, "v1").otherwise("v2").alias("feature_schema"), F.lit("c").alias("config_digest"), F.when(F.col("clip") % 3 == 0, "REAL").otherwise("odd").alias("verdict"))
+    clips = docs.select("seq", "sha", ((F.col("n_chars") % 100) / F.lit(100.0)).alias("tier0_p"), ((F.col("seq") % 10) / F.lit(10.0)).alias("tier0_vacuity"), (F.col("seq") % 5 == 0).alias("forced"), (F.col("n_chars") > 0).alias("has_motion"))
+    out = cascade(clips, registry, branches(spark, d).withColumnRenamed("doc_id", "seq"), TABLE, "v2", "c", 0.2)
+    return out.select("seq", "route", "verdict", F.round("top", 6).alias("top"))
