@@ -10,7 +10,7 @@ from attestra.session import table
 
 #: Curves by user group; t counts hours from the first, gaps are 0.
 CURVES = """h AS (SELECT user_id % 3 AS clip, CAST(epoch(date_trunc('hour', ts)) // 3600 AS BIGINT) AS hr, sum(CASE WHEN event_type = 'view' THEN value ELSE 0 END) AS a, sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) AS b FROM events GROUP BY 1, 2),
- lim AS (SELECT min(hr) AS lo, least(max(hr), min(hr) + 199) AS hi FROM h), g AS (SELECT c.clip, t FROM (SELECT unnest([0, 1, 2]) AS clip) c, (SELECT unnest(range(0, hi - lo + 1)) AS t FROM lim)),
+ lim AS (SELECT min(hr) AS lo, least(max(hr), min(hr) + 199) AS hi FROM h), g AS (SELECT c.clip, t FROM (SELECT unnest([0::BIGINT, 1::BIGINT, 2::BIGINT]) AS clip) c, (SELECT unnest(range(0, hi - lo + 1)) AS t FROM lim)),
  c AS (SELECT g.clip, g.t, coalesce(round(a, 6), 0) AS a, coalesce(round(b, 6), 0) AS b FROM g CROSS JOIN lim LEFT JOIN h ON h.clip = g.clip AND h.hr = lim.lo + g.t)"""
 
 
