@@ -22,7 +22,7 @@ AUC = """r AS (SELECT *, rank() OVER (PARTITION BY {g} ORDER BY score) + (count(
  a AS (SELECT {g} AS g, CAST(count(*) FILTER (WHERE label) AS DOUBLE) AS p, CAST(count(*) FILTER (WHERE NOT label) AS DOUBLE) AS q, CAST(sum(rk) FILTER (WHERE label) AS DOUBLE) AS r FROM r GROUP BY {g})"""
 
 
-@query("roc_auc", f"WITH {S}, {AUC.format(g='lang')} SELECT g AS lang, round((r - p * (p + 1) / 2) / (p * q), 6) AS auc FROM a")
+@query("roc_auc", f"WITH {S}, {AUC.format(g='lang')} SELECT g AS lang, round(CASE WHEN p * q = 0 THEN 0.5 ELSE (r - p * (p + 1) / 2) / (p * q) END, 6) AS auc FROM a")
 def _(spark, d):
     return A.roc_auc(scores(spark, d), ["lang"]).select("lang", F.round("auc", 6).alias("auc"))
 
@@ -112,7 +112,7 @@ def _(spark, d):
     return A.leakage(chars.unionByName(ids)).select("feature", F.round("auc", 6).alias("auc"), "passed")
 
 
-@query("c6_cross", f"WITH {S}, {AUC.format(g='lang')} SELECT g AS lang, (r - p * (p + 1) / 2) / (p * q) > 0.62 + 0.05 AS passed FROM a")
+@query("c6_cross", f"WITH {S}, {AUC.format(g='lang')} SELECT g AS lang, CASE WHEN p * q = 0 THEN 0.5 ELSE (r - p * (p + 1) / 2) / (p * q) END > 0.62 + 0.05 AS passed FROM a")
 def _(spark, d):
     return A.roc_auc(scores(spark, d), ["lang"]).select("lang", A.cross_dataset(F.col("auc"), F.lit(0.62)).alias("passed"))
 
