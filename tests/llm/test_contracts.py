@@ -95,6 +95,27 @@ def test_minhash_large_groups(spark):
     assert {got[i] for i in range(90)} == {0} and all(got[100 + i] == 100 + i for i in range(5))
 
 
+def test_minhash_family_without_original(spark):
+    # Variants of a text that isn't there, most about 0.8 alike: few links go through any one of them.
+    base, out, sets = prose(120, 4).split(), [], []
+    for i in range(120):
+        w, r = list(base), random.Random(1000 + i)
+        for k in range(2):
+            w[r.randrange(120)] = f"v{i}x{k}"
+        out.append((i, " ".join(w)))
+        sets.append({tuple(w[j : j + 5]) for j in range(116)})
+    root = list(range(120))
+    for a in range(120):
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = root[a], root[b]
+                root = [min(x, y) if z in (x, y) else z for z in root]
+    assert 1 < len(set(root)) < 120
+    df = spark.createDataFrame(out, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(df, few=3).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_sampler_estimates_weighted_jaccard():
     import numpy as np
 
