@@ -186,6 +186,25 @@ def test_lm_base_exact_and_model_normal(docs, rows, empty):
     assert lm.score_documents(empty).count() == 0
 
 
+def test_lm_trains_on_all_documents(spark):
+    import numpy as np
+
+    path, n = lm.default_path(), 3600
+    df = spark.createDataFrame([(i, f"{WORDS[i % 400]} {WORDS[i * 7 % 400]} b" * 3) for i in range(n)], "doc_id long, text string").repartition(5)
+    rows = lm._rows(df)
+    sub = lm.subwords(path)
+    group = (np.arange(sub.end + 1) % 200).astype(np.uint8)
+    want, ids_of = np.zeros((lm.GROUPS, lm.GROUPS), int), 0
+    for r in rows.where("NOT held_out").collect():
+        ids = [sub.end, *(i for w in bytes(r.body).split() for i in sub.ids(w)), sub.end]
+        ids_of += len(ids) - 1
+        np.add.at(want, (group[ids[:-1]], group[ids[1:]]), 1)
+    streams, pairs = lm.group_streams(rows, group, path, 3)
+    assert (pairs == want).all() and pairs.sum() == ids_of
+    assert sum(len(r.value) - 1 for r in streams.collect()) == ids_of
+    assert lm.trained(streams, lm.start(pairs))[1] >= ids_of // lm.WINDOW
+
+
 def test_lm_windows_score_each_place_once():
     import numpy as np
 
