@@ -138,15 +138,56 @@ def fit_platt(scored: DataFrame, p: str, label: str, most_rows: int = 20_000) ->
     return rows.groupBy().applyInPandas(one, "a double, b double")
 
 
-def shrunk_covariance(z: np.ndarray, shrink: float = SHRINK) -> np.ndarray:
-    s = np.cov(z, rowvar=False)
+def shrunk(s: np.ndarray, shrink: float = SHRINK) -> np.ndarray:
+    """A covariance matrix drawn towards its mean variance."""
     return (1 - shrink) * s + shrink * np.trace(s) / len(s) * np.eye(len(s))
 
 
-def mahalanobis(df: DataFrame, features: str, out: str = "distance", most_rows: int = 20_000) -> DataFrame:
-    """Distance under the shrunk covariance of a bounded sample of rows; the matrix is d x d, whatever the rows."""
-    sample = np.array([r[0] for r in df.where(F.col(features).isNotNull()).orderBy(F.xxhash64(features)).limit(most_rows).select(features).collect()], float)
-    mean, inverse = sample.mean(0), np.linalg.pinv(shrunk_covariance(sample))
+def shrunk_covariance(z: np.ndarray, shrink: float = SHRINK) -> np.ndarray:
+    return shrunk(np.cov(z, rowvar=False), shrink)
+
+
+def added(df: DataFrame, sums, key: str = "k") -> dict[int, np.ndarray]:
+    """Adds up arrays of a fixed length over all partitions: sums takes a partition's batches and gives {k: array}."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, v in sums(batches).items():
+            yield pd.DataFrame({key: k, "i": np.arange(len(v)), "x": np.asarray(v, float)})
+
+    got = df.mapInPandas(run, f"{key} int, i int, x double").groupBy(key, "i").agg(F.sum("x").alias("x")).toPandas().sort_values([key, "i"])
+    return {int(k): g["x"].to_numpy() for k, g in got.groupby(key)}
+
+
+def covariance(df: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample covariance of all rows, from sums of partitions: of x first, then of its deviations' products."""
+    rows = df.where(F.col(features).isNotNull()).select(F.col(features).cast("array<double>").alias("v"))
+
+    def first(batches: Iterator[pd.DataFrame]) -> dict[int, np.ndarray]:
+        total = 0
+        for b in batches:
+            if len(b):
+                x = np.array(b["v"].tolist(), float)
+                total = total + np.append(len(x), x.sum(0))
+        return {0: total} if np.ndim(total) else {}
+
+    n, *total = added(rows, first)[0]
+    mean = np.array(total) / n
+
+    def second(batches: Iterator[pd.DataFrame]) -> dict[int, np.ndarray]:
+        total = np.zeros((len(mean), len(mean)))
+        for b in batches:
+            if len(b):
+                c = np.array(b["v"].tolist(), float) - mean
+                total += c.T @ c
+        return {0: total.ravel()}
+
+    return mean, added(rows, second)[0].reshape(len(mean), -1) / (n - 1)
+
+
+def mahalanobis(df: DataFrame, features: str, out: str = "distance") -> DataFrame:
+    """Distance under the shrunk covariance of all rows; the matrix is d x d, whatever the rows."""
+    mean, s = covariance(df, features)
+    inverse = np.linalg.pinv(shrunk(s))
     schema = df.schema.simpleString()[7:-1] + f",{out}:double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -293,3 +293,14 @@ def test_intervals_and_windows(spark):
     t = spark.range(20).select(F.lit(1).alias("clip"), F.col("id").alias("t"))
     got = {r.start: r.n for r in Q.hopping(t, "clip", "t", 8, 5).groupBy("start").agg(F.count("*").alias("n")).collect()}
     assert got == {0: 8, 5: 8, 10: 8} and Q.hopping(t.where("t < 5"), "clip", "t", 8, 5).count() == 0
+
+
+def test_mahalanobis_uses_all_rows(spark):
+    # One vector 20,000 times over, beside 500 others.
+    rng = np.random.default_rng(3)
+    x = np.vstack([np.tile(rng.normal(size=4), (20_000, 1)), rng.normal(size=(500, 4)) * [1, 2, 3, 4]])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "i long, v array<double>").repartition(7)
+    c = x - x.mean(0)
+    want = np.sqrt(np.einsum("ij,jk,ik->i", c, np.linalg.pinv(models.shrunk_covariance(x)), c))
+    got = models.mahalanobis(df, "v").toPandas().sort_values("i")["distance"].to_numpy()
+    assert np.allclose(got, want)
