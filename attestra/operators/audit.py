@@ -7,9 +7,15 @@ an order is needed. The windows over all scores of one model sort them in one pa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.operators import models
+
 
 def _by(by: list[str] | None) -> list:
     return [F.col(c) for c in by] if by else [F.lit(0)]
@@ -90,8 +96,8 @@ def leakage(scores: DataFrame, tolerance: float = 0.15) -> DataFrame:
     return a.withColumn("auc", F.greatest("auc", F.lit(1.0) - F.col("auc"))).withColumn("passed", F.col("auc") - F.lit(0.5) < F.lit(tolerance))
 
 
-def bootstrap_auc(scores: DataFrame, replicates: int = 100, seed: int = 1337, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the AUC over Poisson(1) resamples, weighted by hashes of (replicate, id):
+def bootstrap_auc(scores: DataFrame, replicates: int = 1000, seed: int = 1337, level: float = 0.95) -> DataFrame:
+    """The AUC, and its percentile interval over Poisson(1) resamples, weighted by hashes of (replicate, id):
     replicates are extra rows of one grouped aggregation, so nothing is gathered."""
     u = (F.pmod(F.xxhash64(F.lit(seed), "b", "id"), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
     edges, total, p = [], 0.0, 0.36787944117144233
@@ -106,7 +112,94 @@ def bootstrap_auc(scores: DataFrame, replicates: int = 100, seed: int = 1337, le
     ranked = values.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / F.lit(2.0))
     a = ranked.groupBy("b").agg(F.sum("pos").cast("double").alias("p"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("q"), F.sum(F.col("rank") * F.col("pos")).alias("r")).where("p > 0 AND q > 0")
     auc = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))
-    return a.select(auc.alias("auc")).agg(F.count("*").alias("replicates"), F.percentile("auc", F.lit((1 - level) / 2)).alias("low"), F.percentile("auc", F.lit((1 + level) / 2)).alias("high"))
+    interval = a.select(auc.alias("auc")).agg(F.count("*").alias("replicates"), F.percentile("auc", F.lit((1 - level) / 2)).alias("low"), F.percentile("auc", F.lit((1 + level) / 2)).alias("high"))
+    return interval.crossJoin(F.broadcast(roc_auc(scores)))  # one row: the point estimate
+
+
+def matched_readout(rows: DataFrame, seeds: list[int], c: float = models.C_VALUE, rounds: int = 60) -> DataFrame:
+    """seed, score and label of each row that a seed tests: under each seed, one balanced, L2-penalised
+    logistic readout (the objective of ``models.solve_logistic``) over features standardised on the rows it
+    trains on. rows: v, and arrays train and y (booleans) with a place a seed. The Newton steps add up
+    sums of partitions over all rows. A seed with one class on either side gives no rows."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for b in batches:
+            if len(b):
+                yield np.array(b["v"].tolist(), float), np.array(b["train"].tolist(), bool), np.array(b["y"].tolist(), bool)
+
+    def moments(batches: Iterator[pd.DataFrame]) -> dict[int, np.ndarray]:
+        total: dict = {}
+        for x, train, y in split(batches):
+            for k in range(len(seeds)):
+                t, own = train[:, k], y[:, k]
+                counts = [(t & own).sum(), (t & ~own).sum(), (~t & own).sum(), (~t & ~own).sum()]
+                total[k] = total.get(k, 0) + np.concatenate([counts, x[t].sum(0), (x[t] ** 2).sum(0)])
+        return total
+
+    state = {}
+    for k, m in models.added(rows, moments).items():
+        if (m[:4] > 0).all():
+            n = m[0] + m[1]
+            mean, square = np.split(m[4:] / n, 2)
+            sd = np.sqrt(np.maximum(square - mean**2, 0))
+            state[k] = (mean, np.where(sd < 1e-9, 1, sd), n / (2 * m[0]), n / (2 * m[1]), np.zeros(len(mean) + 1))
+    open_ = set(state)
+    for _ in range(rounds):
+        if not open_:
+            break
+        now = {k: state[k] for k in open_}
+
+        def slopes(batches: Iterator[pd.DataFrame], now=now) -> dict[int, np.ndarray]:
+            total: dict = {}
+            for x, train, y in split(batches):
+                for k, (mean, sd, one, zero, w) in now.items():
+                    t = train[:, k]
+                    x1 = np.column_stack([(x[t] - mean) / sd, np.ones(t.sum())])
+                    p = 1 / (1 + np.exp(-np.clip(x1 @ w, -60, 60)))
+                    weight = np.where(y[t, k], one, zero)
+                    hess = (x1 * (weight * p * (1 - p))[:, None]).T @ x1
+                    total[k] = total.get(k, 0) + np.concatenate([x1.T @ (weight * (p - y[t, k])), hess.ravel()])
+            return total
+
+        for k, g in models.added(rows, slopes).items():
+            mean, sd, one, zero, w = state[k]
+            ridge = np.append(np.full(len(mean), 1 / c), 0)
+            hess = g[len(w) :].reshape(len(w), -1) + np.diag(ridge) + 1e-9 * np.eye(len(w))
+            step = np.linalg.solve(hess, g[: len(w)] + ridge * w)
+            state[k] = (mean, sd, one, zero, w - step)
+            if np.abs(step).max() < 1e-10:
+                open_.discard(k)
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, train, y in split(batches):
+            for k, (mean, sd, _, _, w) in state.items():
+                t = ~train[:, k]
+                z = (x[t] - mean) / sd @ w[:-1] + w[-1]
+                yield pd.DataFrame({"seed": seeds[k], "score": 1 / (1 + np.exp(-np.clip(z, -60, 60))), "label": y[t, k]})
+
+    return rows.mapInPandas(scored, "seed int, score double, label boolean")
+
+
+def _share(seed: int, what: str, of: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "id"), F.lit(of))
+
+
+def _spread(rows: DataFrame, labels: list[Column], seeds: list[int]) -> DataFrame:
+    """seeds usable, mean, deviation, least, most and each AUC of readouts fitted on 70 % and scored on the rest."""
+    drawn = rows.select("v", F.array(*[_share(s, "train", 10) < 7 for s in seeds]).alias("train"), F.array(*labels).alias("y"))
+    a = roc_auc(matched_readout(drawn, seeds), ["seed"])
+    each = F.transform(F.array_sort(F.collect_list(F.struct("seed", "auc"))), lambda x: x["auc"])
+    return a.agg(F.count("*").alias("n_seeds"), F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"), F.min("auc").alias("low"), F.max("auc").alias("high"), each.alias("per_seed"))
+
+
+def coherence_floor(real: DataFrame, seeds: list[int]) -> DataFrame:
+    """C3: real rows (id, v) under arbitrary labels; passes with a mean AUC under 0.62, not without a usable seed."""
+    return _spread(real, [_share(s, "label", 2) == 0 for s in seeds], seeds).withColumn("passed", F.coalesce(F.col("mean_auc") < 0.62, F.lit(False)))
+
+
+def multiseed(rows: DataFrame, seeds: list[int]) -> DataFrame:
+    """C5: rows (id, v, label) refitted under each seed; passes with five usable ones."""
+    return _spread(rows, [F.col("label")] * len(seeds), seeds).withColumn("passed", F.col("n_seeds") >= 5)
 
 
 def risk_coverage(df: DataFrame, margins: list[float]) -> DataFrame:

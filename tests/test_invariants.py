@@ -304,3 +304,23 @@ def test_mahalanobis_uses_all_rows(spark):
     want = np.sqrt(np.einsum("ij,jk,ik->i", c, np.linalg.pinv(models.shrunk_covariance(x)), c))
     got = models.mahalanobis(df, "v").toPandas().sort_values("i")["distance"].to_numpy()
     assert np.allclose(got, want)
+
+
+def test_matched_readout_refits(spark):
+    rng = np.random.default_rng(4)
+    y = rng.random(400) < 0.4
+    v = rng.normal(size=(400, 3)) * [1, 5, 0.1] + 2
+    v[:, 1] += 12 * y
+    df = spark.createDataFrame([(i, a.tolist(), bool(b)) for i, (a, b) in enumerate(zip(v, y, strict=True))], "id long, v array<double>, label boolean").repartition(3)
+    train = np.arange(400) % 10 < 7
+    rows = df.select("v", F.array(F.col("id") % 10 < 7).alias("train"), F.array("label").alias("y"))
+    got = sorted(r.score for r in audit.matched_readout(rows, [9]).collect())
+    z = (v - v[train].mean(0)) / v[train].std(0)
+    w = models.solve_logistic(z[train], y[train].astype(float))
+    assert np.allclose(got, np.sort(1 / (1 + np.exp(-(z[~train] @ w[:-1] + w[-1])))))
+    five = audit.multiseed(df, list(range(5))).first()
+    assert five.passed and five.n_seeds == 5 and five.low <= five.mean_auc <= five.high and five.std_auc > 0 and five.mean_auc > 0.8
+    floor = audit.coherence_floor(df, list(range(5))).first()
+    assert floor.n_seeds == 5 and 0.3 < floor.mean_auc < 0.7
+    ci = audit.bootstrap_auc(df.select("id", F.element_at("v", 2).alias("score"), "label")).first()
+    assert ci.replicates == 1000 and ci.low < ci.auc < ci.high
