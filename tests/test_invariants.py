@@ -324,3 +324,15 @@ def test_matched_readout_refits(spark):
     assert floor.n_seeds == 5 and 0.3 < floor.mean_auc < 0.7
     ci = audit.bootstrap_auc(df.select("id", F.element_at("v", 2).alias("score"), "label")).first()
     assert ci.replicates == 1000 and ci.low < ci.auc < ci.high
+
+
+def test_curves_reach_the_last_hour(spark, tmp_path):
+    from attestra.queries import QUERIES
+
+    times = [(h, h % 3, "view", 1.0 + h) for h in (0, 10, 250, 719)]
+    df = spark.createDataFrame(times, "h long, user_id long, event_type string, value double")
+    df.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("h") * 3600)).drop("h").write.parquet(f"{tmp_path}/events.parquet")
+    rows = QUERIES["time_shift_all"](spark, str(tmp_path)).collect()
+    assert len(rows) == 3 * 720 and {(r.t, r.shifted) for r in rows if r.shifted} == {(3, 1.0), (13, 11.0), (253, 251.0)}
+    windows = QUERIES["hopping_windows_all"](spark, str(tmp_path)).collect()
+    assert max(r.start for r in windows) == 690 and sum(r.total for r in windows if r.start == 690) == 0
