@@ -117,3 +117,17 @@ def _(spark, d):
 @query("mahalanobis_full")
 def _(spark, d):
     return M.mahalanobis(vectors(spark, d).select("vec_id", "v"), "v").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+# The SQL of standardise and feature_covariance takes the first features only; these take all, without SQL.
+
+
+@query("standardise_all")
+def _(spark, d):
+    return standard(spark, d).select("vec_id", "j", F.round("z", 6).alias("z"))
+
+
+@query("feature_covariance_all")
+def _(spark, d):
+    _, s = M.covariance(vectors(spark, d), "v")
+    return spark.createDataFrame([(i, j, round(float(x), 6)) for i, row in enumerate(s) for j, x in enumerate(row)], "i int, j int, cov double")

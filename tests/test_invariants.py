@@ -336,3 +336,14 @@ def test_curves_reach_the_last_hour(spark, tmp_path):
     assert len(rows) == 3 * 720 and {(r.t, r.shifted) for r in rows if r.shifted} == {(3, 1.0), (13, 11.0), (253, 251.0)}
     windows = QUERIES["hopping_windows_all"](spark, str(tmp_path)).collect()
     assert max(r.start for r in windows) == 690 and sum(r.total for r in windows if r.start == 690) == 0
+
+
+def test_all_features(spark, sf):
+    from attestra.queries import QUERIES
+
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    z = QUERIES["standardise_all"](spark, sf)
+    assert z.count() == 64 * n and abs(z.where("j = 63").agg(F.avg("z")).first()[0]) < 1e-5
+    cov = {(r.i, r.j): r.cov for r in QUERIES["feature_covariance_all"](spark, sf).collect()}
+    few = {(r.i, r.j): r.cov for r in QUERIES["feature_covariance"](spark, sf).collect()}
+    assert len(cov) == 64 * 64 and all(abs(cov[k] - v) < 2e-6 for k, v in few.items())
