@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 SPACE_RULE = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held several times over.
+BATCH_ROWS = "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # unless set by the user
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +46,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def tidy() -> None:
+    """At the end of a Python task: gives free memory back, as the worker stays for the next task."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def crc_mod(n: int, key: str = "doc_id"):
     """crc32(key as text) mod n."""
     return F.crc32(F.col(key).cast("string")) % F.lit(n)

@@ -59,28 +59,31 @@ def letters_of(text):
 # 1
 
 
-def test_minhash_against_all_pairs(docs, rows):
-    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(docs).collect()}
-    sets = {}
-    for i, t, *_ in rows:
+def weighted_classes(texts):
+    """Classes of {doc_id: text} by all pairs: equal texts, or weighted Jaccard of five-word shingles of 0.8 or more."""
+    bags = {}
+    for i, t in texts.items():
         w = letters_of(t)
-        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
-    root = {i: i for i in sets}
+        bags[i] = Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else Counter()
+    common_ = Counter(x for i, b in bags.items() for x in b)
+    every = sum(common_.values())
+    idf = {x: math.log(1 + every / max(n - 1, 1)) for x, n in common_.items()}
+    weigh = {i: {x: n * idf[x] for x, n in b.items()} for i, b in bags.items()}
+    root = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and texts[a] and texts[b]:
+                met = sum(min(v, weigh[b][x]) for x, v in weigh[a].items() if x in weigh[b])
+                every_ = sum(weigh[a].values()) + sum(weigh[b].values()) - met
+                if texts[a] == texts[b] or every_ and met / every_ >= 0.8:
+                    x, y = sorted((root[a], root[b]))
+                    root = {i: x if r == y else r for i, r in root.items()}
+    return root
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    text = {r[0]: r[1] for r in rows}
-    for a in sets:
-        for b in sets:
-            if a < b and text[a] and text[b]:
-                u = len(sets[a] | sets[b])
-                if text[a] == text[b] or u and len(sets[a] & sets[b]) / u >= 0.8:
-                    x, y = find(a), find(b)
-                    root[max(x, y)] = min(x, y)
-    assert got == {i: find(i) for i in sets}
+def test_minhash_against_all_pairs(docs, rows):
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(docs).collect()}
+    assert got == weighted_classes({r[0]: r[1] for r in rows})
 
 
 def test_minhash_large_groups(spark):
@@ -91,29 +94,23 @@ def test_minhash_large_groups(spark):
         w[i * 2] = f"edit{i}"
         out.append((i, " ".join(w)))
     out += [(100 + i, prose(100, 500 + i)) for i in range(5)]
-    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(spark.createDataFrame(out, "doc_id long, text string"), few=8).collect()}
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(spark.createDataFrame(out, "doc_id long, text string"), hubs=8).collect()}
     assert {got[i] for i in range(90)} == {0} and all(got[100 + i] == 100 + i for i in range(5))
 
 
 def test_minhash_family_without_original(spark):
     # Variants of a text that isn't there, most about 0.8 alike: few links go through any one of them.
-    base, out, sets = prose(120, 4).split(), [], []
+    base, out = prose(400, 4).split(), []
     for i in range(120):
         w, r = list(base), random.Random(1000 + i)
-        for k in range(2):
-            w[r.randrange(120)] = f"v{i}x{k}"
+        for k in range(4):
+            w[r.randrange(400)] = f"v{i}x{k}"
         out.append((i, " ".join(w)))
-        sets.append({tuple(w[j : j + 5]) for j in range(116)})
-    root = list(range(120))
-    for a in range(120):
-        for b in range(a):
-            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
-                x, y = root[a], root[b]
-                root = [min(x, y) if z in (x, y) else z for z in root]
-    assert 1 < len(set(root)) < 120
+    want = weighted_classes(dict(out))
+    assert 1 < len(set(want.values())) < 120
     df = spark.createDataFrame(out, "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(df, few=3).collect()}
-    assert got == dict(enumerate(root))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(df, hubs=3).collect()}
+    assert got == want
 
 
 def test_sampler_estimates_weighted_jaccard():
