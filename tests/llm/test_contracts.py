@@ -183,43 +183,97 @@ def test_lm_base_exact_and_model_normal(docs, rows, empty):
     assert lm.score_documents(empty).count() == 0
 
 
-def test_lm_trains_on_all_documents(spark):
+def small_model(seed=0):
     import numpy as np
 
-    path, n = lm.default_path(), 3600
-    df = spark.createDataFrame([(i, f"{WORDS[i % 400]} {WORDS[i * 7 % 400]} b" * 3) for i in range(n)], "doc_id long, text string").repartition(5)
-    rows = lm._rows(df)
-    sub = lm.subwords(path)
-    group = (np.arange(sub.end + 1) % 200).astype(np.uint8)
-    want, ids_of = np.zeros((lm.GROUPS, lm.GROUPS), int), 0
-    for r in rows.where("NOT held_out").collect():
-        ids = [sub.end, *(i for w in bytes(r.body).split() for i in sub.ids(w)), sub.end]
-        ids_of += len(ids) - 1
-        np.add.at(want, (group[ids[:-1]], group[ids[1:]]), 1)
-    streams, pairs = lm.group_streams(rows, group, path, 3)
-    assert (pairs == want).all() and pairs.sum() == ids_of
-    assert sum(len(r.value) - 1 for r in streams.collect()) == ids_of
-    assert lm.trained(streams, lm.start(pairs))[1] >= ids_of // lm.WINDOW
+    rng = np.random.default_rng(seed)
+    m = lm.model_of(rng.integers(0, 3, (lm.N, lm.N)).astype(float))
+    m.weights = {k: rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in m.weights.items()}
+    return m
+
+
+def direct_attention(m, x, i):
+    """ln A of every id at place i of the ids x before, by loops over one window."""
+    import numpy as np
+
+    w, d = m.weights, lm.DIM
+    start = max(0, i // lm.STRIDE * lm.STRIDE - lm.CONTEXT)
+    seen = x[start : i + 1]
+    s = np.array([w["qkv"][x[i], :d] @ w["qkv"][a, d : 2 * d] + w["near"][len(seen) - 1 - j] for j, a in enumerate(seen)])
+    h = (np.exp(s) / np.exp(s).sum()) @ w["qkv"][seen, 2 * d :]
+    z = m.direct[x[i]] + h @ w["out"]
+    of_group = z - np.log(np.exp(z).sum())
+    inner = np.array([m.inner[x[i], g] + h @ w["inner"][g] for g in range(lm.GROUPS)])
+    inner -= np.log(np.exp(inner).sum(1, keepdims=True))
+    return of_group[m.group] + inner[m.group, m.member]
 
 
 def test_lm_windows_score_each_place_once():
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    f = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
-    g, d = lm.GROUPS, lm.DIM
-    m = lm.Model(np.zeros(9, np.uint8), f(9), f(g, g), f(g, d), f(g, d), f(g, d), f(d, g), f(lm.WINDOW))
-    text = rng.integers(0, g, 70).astype(np.uint8)
-    want, x = 0.0, np.append(0, text[:-1])
-    for i, y in enumerate(text):
-        start = i // lm.STRIDE * lm.STRIDE
-        seen = x[max(0, start - lm.CONTEXT) : i + 1]
-        s = np.array([m.query[x[i]] @ m.key[a] + m.near[len(seen) - 1 - j] for j, a in enumerate(seen)])
-        w = np.exp(s) / np.exp(s).sum()
-        z = m.direct[x[i]] + (w @ m.value[seen]) @ m.out
-        want += z[y] - np.log(np.exp(z).sum())
-    got = lm.score_groups(m, np.concatenate([text, text[:1]]), np.array([0, 70, 71]))
-    assert got[0] == pytest.approx(want, rel=1e-4)
+    m, rng = small_model(), np.random.default_rng(1)
+    ids = rng.integers(0, lm.N, 75).astype(np.uint16)
+    texts = np.array([0, 70, 71, 75])
+    last = np.roll(ids, 1)
+    last[texts[:-1]] = lm.END
+    got = lm.attention_ln(m, ids, last, texts)
+    for a, z in zip(texts[:-1], texts[1:], strict=True):
+        for i in range(z - a):
+            want = direct_attention(m, last[a:z], i)
+            assert np.exp(want).sum() == pytest.approx(1, rel=1e-4)
+            assert got[a + i] == pytest.approx(want[ids[a + i]], abs=1e-3)
+
+
+def test_lm_gradient():
+    import numpy as np
+
+    m, rng = small_model(2), np.random.default_rng(3)
+    ids = rng.integers(0, 40, (6, lm.WINDOW + 1)).astype(np.uint16)
+    x, y = ids[:, :-1], ids[:, 1:]
+
+    def loss():
+        h = lm.attend(m.weights, x, 0)[-1].reshape(-1, lm.DIM)
+        return -float(lm.predicted_ln(m, h, x.ravel(), y.ravel()).astype(float).mean())
+
+    g = lm.step(m, x, y)
+    for k, v in m.weights.items():
+        way = rng.normal(0, 1, v.shape).astype(np.float32)
+        v += 2e-3 * way
+        up = loss()
+        v -= 4e-3 * way
+        down = loss()
+        v += 2e-3 * way
+        assert (up - down) / 4e-3 == pytest.approx(float((g[k] * way).sum()), rel=0.05, abs=2e-3)
+
+
+def test_lm_counts_and_training_take_all_documents(spark):
+    import numpy as np
+
+    path, n = lm.default_path(), 900
+    df = spark.createDataFrame([(i, " ".join(WORDS[(i * 7 + k * (1 + i % 5)) % 400] for k in range(60)) + " b") for i in range(n)], "doc_id long, text string").repartition(5)
+    rows, sub = lm._rows(df), lm.subwords(path)
+    want, words_ = Counter(), Counter()
+    for r in rows.where("NOT held_out").collect():
+        ids = [lm.END, lm.END, *(int(i) for w in bytes(r.body).split() for i in np.frombuffer(sub(w), np.uint16)), lm.END]
+        want.update(zip(ids, ids[1:], ids[2:], strict=False))
+        words_.update(bytes(r.body).split())
+    counts = lm.counted(rows, path)
+    got = {r.key: r.n for r in counts.where(f"kind = {lm.TRIPLE}").collect()}
+    assert got == {(a * lm.N + b) * lm.N + c: v for (a, b, c), v in want.items()}
+    assert sorted(r.n for r in counts.where(f"kind = {lm.WORD}").collect()) == sorted(words_.values())
+    keys = np.array(sorted(got))
+    t = lm.Triples(keys, np.array([got[k] for k in keys.tolist()]))
+    pair, total = keys[5] // lm.N, sum(v for k, v in got.items() if k // lm.N == keys[5] // lm.N)
+    p = t.mixed(np.array([pair, pair, 3]), np.array([keys[5] % lm.N, lm.N - 1, 3]), np.full(3, 0.01))
+    assert p == pytest.approx([(got[keys[5]] + 0.01 * lm.KAPPA) / (total + lm.KAPPA), (got.get(pair * lm.N + lm.N - 1, 0) + 0.01 * lm.KAPPA) / (total + lm.KAPPA), 0.01], rel=1e-4)
+    # Training lowers the loss below that of the pair counts it starts from; every document gives windows.
+    start = lm.model_of(lm.pair_counts(counts.where(f"kind = {lm.TRIPLE}")))
+    model, windows = lm.trained(rows, start, path)
+    bodies = [bytes(r.body) for r in rows.where("NOT held_out").collect()]
+    assert windows >= 0.5 * len(bodies)
+    b = lm.block(bodies, lm.Generations(sub))
+    mean = lambda m: float(lm.attention_ln(m, b.ids, lm.before(b), b.texts).mean())
+    assert mean(model) > mean(start)
 
 
 # 5
