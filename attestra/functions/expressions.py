@@ -16,6 +16,20 @@ def finite(x: Column | str) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(0.0)).otherwise(x)
 
 
+def ratio(a: Column | str, b: Column | str, default: float | None = None) -> Column:
+    """a / b; ``default`` (null if none) where b is 0 or either is missing."""
+    x = F.try_divide(col(a).cast("double"), col(b).cast("double"))
+    return x if default is None else F.coalesce(x, F.lit(float(default)))
+
+
+def correlation(a: Column | str, b: Column | str, default: float = 0.0) -> Column:
+    """Pearson's correlation as an aggregate; ``default`` where either is constant or there are no pairs."""
+    a, b = col(a), col(b)
+    both = a.isNotNull() & b.isNotNull()
+    sa, sb = F.stddev_pop(F.when(both, a)), F.stddev_pop(F.when(both, b))
+    return F.coalesce(F.when((sa > 1e-12) & (sb > 1e-12), F.try_divide(F.covar_pop(a, b), sa * sb)), F.lit(default))
+
+
 def clip(x: Column | str, low: float, high: float) -> Column:
     return F.least(F.greatest(col(x), F.lit(low)), F.lit(high))
 

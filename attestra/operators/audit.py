@@ -1,8 +1,7 @@
 """Metrics and audit controls, all as grouped aggregation and windows over scores.
 
 ``scores`` holds id, score (double) and label (boolean). Ties in score are broken by id where
-an order is needed. The windows over all scores of one model sort them in one partition per
-``by`` group; pass ``by`` (a corpus, a task) where there are many.
+an order is needed. Running sums over all scores never sort them in one task: see running().
 """
 
 from __future__ import annotations
@@ -14,21 +13,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.functions import expressions as X
 from attestra.operators import models
 
 
-def _by(by: list[str] | None) -> list:
-    return [F.col(c) for c in by] if by else [F.lit(0)]
+def running(df: DataFrame, sums: dict[str, Column], by: list[str] | None = None, descending: bool = False, then: list[str] | None = None, parts: int = 64) -> DataFrame:
+    """Adds running sums in order of ``score`` (then of ``then``) within ``by``, without sorting all rows in
+    one task: approximate quantiles cut the scores into ranges (one value is in one range), each range
+    sums up itself, and the totals of the ranges before it, a row a range and group, are added."""
+    keys = by or []
+    cuts = df.agg(F.percentile_approx("score", [i / parts for i in range(1, parts)], 1000).alias("q")).first()["q"] or []
+    cuts = sorted(set(cuts))
+    place = sum(((F.col("score") > F.lit(c)).cast("int") for c in cuts), F.lit(0)) if len(cuts) < 8 else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("score") > c))
+    placed = df.withColumn("range_", -place if descending else place)
+    totals = placed.groupBy(*keys, "range_").agg(*[F.sum(c).alias(f"{n}_all") for n, c in sums.items()])
+    ahead = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = totals.select(*keys, "range_", *[F.coalesce(F.sum(f"{n}_all").over(ahead), F.lit(0)).alias(f"{n}_before") for n in sums])
+    own = Window.partitionBy(*keys, "range_").orderBy(F.desc("score") if descending else "score", *(then or [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = placed.join(offsets, [*keys, "range_"])
+    return out.withColumns({n: F.col(f"{n}_before") + F.sum(c).over(own) for n, c in sums.items()}).drop("range_", *[f"{n}_before" for n in sums])
 
 
 def roc_auc(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC by tie-averaged ranks; 0.5 with one class.
 
-    Scores are grouped to distinct values first, so the ordered window sees one row a value."""
+    Scores are grouped to distinct values first."""
     keys = by or []
     values = scores.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.count_if("label").alias("pos"))
-    w = Window.partitionBy(*_by(by)).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = values.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / F.lit(2.0))
+    ranked = running(values, {"rank_": F.col("n")}, by).withColumn("rank", F.col("rank_") - (F.col("n") - 1) / F.lit(2.0))
     a = ranked.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"), F.sum(F.col("rank") * F.col("pos")).alias("r"))
     p, q = F.col("p").cast("double"), F.col("q").cast("double")
     return a.select(*keys, F.when((p == 0) | (q == 0), F.lit(0.5)).otherwise((F.col("r") - p * (p + 1) / 2) / F.greatest(p * q, F.lit(1.0))).alias("auc"))
@@ -42,26 +54,29 @@ def recall_at_fpr(scores: DataFrame, fpr: float) -> DataFrame:
 
 
 def _descending(scores: DataFrame) -> DataFrame:
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = scores.agg(F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("q"))
-    return scores.withColumn("tp", F.sum(F.col("label").cast("long")).over(w)).withColumn("fp", F.sum((~F.col("label")).cast("long")).over(w)).crossJoin(F.broadcast(total))
+    sums = {"tp": F.col("label").cast("long"), "fp": (~F.col("label")).cast("long")}
+    return running(scores, sums, descending=True, then=["id"]).crossJoin(F.broadcast(total))  # one row: the totals
 
 
 def roc_points(scores: DataFrame) -> DataFrame:
-    """fpr, tpr after each score in descending order, with the ends (0, 0) and (1, 1)."""
-    points = _descending(scores).select((F.col("fp") / F.col("q")).alias("fpr"), (F.col("tp") / F.col("p")).alias("tpr"))
+    """fpr, tpr after each score in descending order, with the ends (0, 0) and (1, 1); a rate of a class
+    that isn't there is 0."""
+    points = _descending(scores).select(X.ratio("fp", "q", 0.0).alias("fpr"), X.ratio("tp", "p", 0.0).alias("tpr"))
     ends = scores.sparkSession.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "fpr double, tpr double")
     return points.unionByName(ends)
 
 
 def pr_points(scores: DataFrame) -> DataFrame:
-    return _descending(scores).select("id", (F.col("tp") / F.col("p")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    """id, recall (0 without positives) and precision after each score in descending order."""
+    return _descending(scores).select("id", X.ratio("tp", "p", 0.0).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def eer(scores: DataFrame) -> DataFrame:
-    """Mean of false acceptance and rejection where they are nearest, the first such place."""
-    d = _descending(scores).withColumn("far", F.col("fp") / F.col("q")).withColumn("frr", F.lit(1.0) - F.col("tp") / F.col("p"))
-    return d.agg(F.min_by((F.col("far") + F.col("frr")) / F.lit(2.0), F.struct(F.abs(F.col("far") - F.col("frr")), -F.col("score"), F.col("id"))).alias("eer"))
+    """Mean of false acceptance and rejection where they are nearest, the first such place; 0.5 with one class."""
+    d = _descending(scores).withColumn("far", X.ratio("fp", "q", 0.0)).withColumn("frr", F.lit(1.0) - X.ratio("tp", "p", 0.0))
+    at = F.min_by((F.col("far") + F.col("frr")) / F.lit(2.0), F.struct(F.abs(F.col("far") - F.col("frr")), -F.col("score"), F.col("id")))
+    return d.agg(F.when((F.max("p") > 0) & (F.max("q") > 0), at).otherwise(F.lit(0.5)).alias("eer"))
 
 
 def bin_of(score: Column, bins: int) -> Column:

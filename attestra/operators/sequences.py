@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.functions import expressions as X
+
 
 def over(clip: str, t: str):
     return Window.partitionBy(clip).orderBy(t)
@@ -56,12 +58,12 @@ def zscore(df: DataFrame, clip: str, x: str, out: str) -> DataFrame:
 
 def cross_correlation(df: DataFrame, clip: str, t: str, a: str, b: str, most: int) -> DataFrame:
     """Correlation of a[t] with b[t + lag] for each lag up to ``most`` either way, centred on the overlap;
-    0 with fewer than 4 pairs. Lags are exploded and met by an equi-join on time."""
+    0 with fewer than 4 pairs or a constant side. Lags are exploded and met by an equi-join on time."""
     left = df.select(clip, F.col(t).cast("long").alias("t"), F.col(a).alias("a"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag")).withColumn("at", F.col("t") + F.col("lag"))
     right = df.select(clip, F.col(t).cast("long").alias("at"), F.col(b).alias("b"))
     pairs = left.join(right, [clip, "at"])
-    c = pairs.groupBy(clip, "lag").agg(F.count("*").alias("n"), F.corr("a", "b").alias("c"))
-    return c.select(clip, "lag", F.when(F.col("n") < 4, F.lit(0.0)).otherwise(F.coalesce(F.nanvl("c", F.lit(0.0)), F.lit(0.0))).alias("corr"))
+    c = pairs.groupBy(clip, "lag").agg(F.count("*").alias("n"), X.correlation("a", "b").alias("c"))
+    return c.select(clip, "lag", F.when(F.col("n") < 4, F.lit(0.0)).otherwise(F.col("c")).alias("corr"))
 
 
 def peak(df: DataFrame, clip: str) -> DataFrame:
@@ -129,10 +131,10 @@ def robust_spread(df: DataFrame, clip: str, x: str) -> DataFrame:
 
 
 def self_similarity(df: DataFrame, clip: str, t: str, vector: str, least_gap: int = 2) -> DataFrame:
-    """Mean cosine of the vectors of one clip at least ``least_gap`` steps apart, and its slope over the gap."""
+    """Mean cosine of the vectors of one clip at least ``least_gap`` steps apart (0 with a zero vector), and its slope over the gap."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = df.select(clip, F.col(t).alias("t"), F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
     a, b = norm.withColumnsRenamed({"t": "t1", "v": "v1", "norm": "n1"}), norm.withColumnsRenamed({"t": "t2", "v": "v2", "norm": "n2"})
     p = a.join(b, clip).where(F.col("t2") - F.col("t1") >= least_gap)
-    p = p.select(clip, (F.col("t2") - F.col("t1")).cast("double").alias("gap"), (dot(F.col("v1"), F.col("v2")) / (F.col("n1") * F.col("n2"))).alias("cos"))
+    p = p.select(clip, (F.col("t2") - F.col("t1")).cast("double").alias("gap"), X.ratio(dot(F.col("v1"), F.col("v2")), F.col("n1") * F.col("n2"), 0.0).alias("cos"))
     return p.groupBy(clip).agg(F.count("*").alias("pairs"), F.avg("cos").alias("mean_cos"), F.regr_slope("cos", "gap").alias("slope"))

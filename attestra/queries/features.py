@@ -31,7 +31,7 @@ def series(spark, d):
     return table(spark, d, "events").select(F.col("user_id").alias("clip"), F.col("event_id").alias("t"), F.round("value", 6).alias("x"))
 
 
-@query("motion_smoothness", f"WITH {SERIES}, l AS (SELECT clip, x, abs(x - lag(x) OVER (PARTITION BY clip ORDER BY t)) AS st FROM s) SELECT clip, round(avg(st) / avg(x), 6) AS smoothness FROM l GROUP BY clip")
+@query("motion_smoothness", f"WITH {SERIES}, l AS (SELECT clip, x, abs(x - lag(x) OVER (PARTITION BY clip ORDER BY t)) AS st FROM s) SELECT clip, round(avg(st) / CASE WHEN abs(avg(x)) > 1e-12 THEN avg(x) ELSE 1 END, 6) AS smoothness FROM l GROUP BY clip")
 def _(spark, d):
     return Q.smoothness(series(spark, d), "clip", "t", "x").select("clip", F.round("smoothness", 6).alias("smoothness"))
 
@@ -45,7 +45,7 @@ def _(spark, d):
 @query("grid_dispersion", f"WITH {E}, l AS (SELECT vec_id, (i - 1) // 8 AS cell, v[i] AS x FROM (SELECT vec_id, v, unnest(range(1, 65)) AS i FROM e)), c AS (SELECT vec_id, cell, avg(abs(x)) AS m FROM l GROUP BY 1, 2) SELECT vec_id, round(min(m) / median(m), 6) AS min_ratio, round(stddev_pop(m) / median(m), 6) AS dispersion FROM c GROUP BY vec_id")
 def _(spark, d):
     cells = vec(spark, d).select("vec_id", F.posexplode("v").alias("i", "x")).groupBy("vec_id", F.floor(F.col("i") / 8).alias("cell")).agg(F.avg(F.abs("x")).alias("m"))
-    return cells.groupBy("vec_id").agg(F.round(F.min("m") / F.median("m"), 6).alias("min_ratio"), F.round(F.stddev_pop("m") / F.median("m"), 6).alias("dispersion"))
+    return cells.groupBy("vec_id").agg(F.round(X.ratio(F.min("m"), F.median("m")), 6).alias("min_ratio"), F.round(X.ratio(F.stddev_pop("m"), F.median("m")), 6).alias("dispersion"))
 
 
 PAD = """p AS (SELECT clip, t, x, row_number() OVER w AS i, count(*) OVER (PARTITION BY clip) AS n, first_value(x) OVER w AS f, last_value(x) OVER (PARTITION BY clip ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l,
@@ -57,26 +57,26 @@ def _(spark, d):
     return Q.moving_average(series(spark, d), "clip", "t", "x", 5, "ma").select("clip", "t", F.round("ma", 6).alias("ma"))
 
 
-@query("flicker", f"WITH {SERIES}, {PAD} SELECT clip, round(stddev_pop(x - ma) / avg(x), 6) AS flicker FROM a GROUP BY clip")
+@query("flicker", f"WITH {SERIES}, {PAD} SELECT clip, round(stddev_pop(x - ma) / nullif(avg(x), 0), 6) AS flicker FROM a GROUP BY clip")
 def _(spark, d):
-    return Q.moving_average(series(spark, d), "clip", "t", "x", 5, "ma").groupBy("clip").agg(F.round(F.stddev_pop(F.col("x") - F.col("ma")) / F.avg("x"), 6).alias("flicker"))
+    return Q.moving_average(series(spark, d), "clip", "t", "x", 5, "ma").groupBy("clip").agg(F.round(X.ratio(F.stddev_pop(F.col("x") - F.col("ma")), F.avg("x")), 6).alias("flicker"))
 
 
-@query("second_order", f"WITH {SERIES}, l AS (SELECT clip, lead(x) OVER w - x AS d1, lead(x, 2) OVER w - 2 * lead(x) OVER w + x AS d2 FROM s WINDOW w AS (PARTITION BY clip ORDER BY t)) SELECT clip, round(avg(abs(d2)), 6) AS second_mean, round(avg(abs(d2)) / avg(abs(d1)), 6) AS second_ratio FROM l GROUP BY clip")
+@query("second_order", f"WITH {SERIES}, l AS (SELECT clip, lead(x) OVER w - x AS d1, lead(x, 2) OVER w - 2 * lead(x) OVER w + x AS d2 FROM s WINDOW w AS (PARTITION BY clip ORDER BY t)) SELECT clip, round(avg(abs(d2)), 6) AS second_mean, round(avg(abs(d2)) / nullif(avg(abs(d1)), 0), 6) AS second_ratio FROM l GROUP BY clip")
 def _(spark, d):
     x = Q.differences(series(spark, d), "clip", "t", "x").groupBy("clip").agg(F.avg(F.abs("d2")).alias("a"), F.avg(F.abs("d1")).alias("b"))
-    return x.select("clip", F.round("a", 6).alias("second_mean"), F.round(F.col("a") / F.col("b"), 6).alias("second_ratio"))
+    return x.select("clip", F.round("a", 6).alias("second_mean"), F.round(X.ratio("a", "b"), 6).alias("second_ratio"))
 
 
-@query("lag1_autocorr", f"WITH {SERIES}, l AS (SELECT clip, x, lag(x) OVER (PARTITION BY clip ORDER BY t) AS y FROM s) SELECT clip, round(corr(x, y), 6) AS autocorr FROM l GROUP BY clip")
+@query("lag1_autocorr", f"WITH {SERIES}, l AS (SELECT clip, x, lag(x) OVER (PARTITION BY clip ORDER BY t) AS y FROM s) SELECT clip, CASE WHEN stddev_pop(CASE WHEN y IS NOT NULL THEN x END) <= 1e-12 OR stddev_pop(y) <= 1e-12 THEN 0 ELSE round(corr(x, y), 6) END AS autocorr FROM l GROUP BY clip")
 def _(spark, d):
     x = series(spark, d).withColumn("y", F.lag("x").over(Q.over("clip", "t"))).where("y IS NOT NULL")
-    return x.groupBy("clip").agg(F.round(F.corr("x", "y"), 6).alias("autocorr"))
+    return x.groupBy("clip").agg(F.round(X.correlation("x", "y"), 6).alias("autocorr"))
 
 
-@query("kurtosis_residual", f"WITH {SERIES} SELECT clip, round(kurtosis_pop(x), 5) AS kurtosis FROM s GROUP BY clip")
+@query("kurtosis_residual", f"WITH {SERIES} SELECT clip, CASE WHEN stddev_pop(x) > 1e-12 THEN round(kurtosis_pop(x), 5) ELSE 0 END AS kurtosis FROM s GROUP BY clip")
 def _(spark, d):
-    return series(spark, d).groupBy("clip").agg(F.round(F.kurtosis("x"), 5).alias("kurtosis"))
+    return series(spark, d).groupBy("clip").agg(F.when(F.stddev_pop("x") > 1e-12, F.round(F.kurtosis("x"), 5)).otherwise(F.lit(0.0)).alias("kurtosis"))
 
 
 @query("selfsim_decay", f"""WITH {E}, c AS (SELECT vec_id // 20 AS clip, vec_id % 20 AS t, v FROM e), p AS (SELECT a.clip, CAST(b.t - a.t AS DOUBLE) AS gap, list_cosine_similarity(a.v, b.v) AS cs FROM c a JOIN c b ON a.clip = b.clip AND b.t - a.t >= 2)

@@ -123,7 +123,7 @@ def _(spark, d):
     return p.select("id", "other", F.round("distance", 6).alias("distance"), "allowed", F.col("short_circuit").alias("by_default"))
 
 
-@query("sequence_distance_docs", """WITH s AS (SELECT doc_id, list_transform(range(0, least(8, n_chars // 100)), lambda i: CAST('0x' || substr(md5(substr(text, CAST(i * 100 + 1 AS BIGINT), 100)), 1, 16) AS UBIGINT)) AS h FROM documents),
+@query("sequence_distance_docs", """WITH s AS (SELECT doc_id, list_transform(regexp_extract_all(text, '(?s).{1,100}'), lambda c: CAST('0x' || substr(md5(c), 1, 16) AS UBIGINT)) AS h FROM documents),
   p AS (SELECT a.doc_id, CASE WHEN len(a.h) <= len(b.h) THEN a.h ELSE b.h END AS s, CASE WHEN len(a.h) <= len(b.h) THEN b.h ELSE a.h END AS l FROM s a JOIN s b ON b.doc_id = a.doc_id + 1),
   x AS (SELECT doc_id, s, l, unnest(range(0, len(s))) AS i FROM p WHERE len(s) > 0),
   y AS (SELECT doc_id, i, len(s) AS n, s[i + 1] AS h, l, CASE WHEN len(s) > 1 THEN CAST(floor(i * (len(l) - 1) / greatest(1, len(s) - 1)) AS BIGINT) ELSE 0 END AS c, greatest(1, len(l) // len(s)) AS w FROM x),
@@ -131,7 +131,8 @@ def _(spark, d):
   t AS (SELECT doc_id, sum(m) / max(n) / 64.0 AS dist FROM z GROUP BY doc_id)
   SELECT p.doc_id, round(coalesce(dist, 1.0), 6) AS distance FROM p LEFT JOIN t USING (doc_id)""")
 def _(spark, d):
-    h = F.expr("if(n_chars >= 100, transform(sequence(0, cast(least(8, n_chars div 100) - 1 as int)), i -> cast(conv(substr(md5(substr(text, i * 100 + 1, 100)), 1, 16), 16, -10) as bigint)), cast(array() as array<bigint>))")
+    """Hashes of a text's pieces of 100 characters (the last may be shorter) against those of the next document."""
+    h = F.expr("transform(regexp_extract_all(text, '(?s).{1,100}', 0), c -> cast(conv(substr(md5(c), 1, 16), 16, -10) as bigint))")
     s = table(spark, d, "documents").select("doc_id", h.alias("h"))
     p = s.join(s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("h").alias("g")), "doc_id")
     return p.select("doc_id", F.round(X.sequence_distance("h", "g"), 6).alias("distance"))
