@@ -111,3 +111,18 @@ def sample_places(total: Column | str, n: int) -> Column:
     total = col(total)
     spread = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (total - 1) / F.lit(max(n - 1, 1))).cast("int")))
     return F.when(total <= 0, F.array().cast("array<int>")).when(total <= n, F.sequence(F.lit(0), (F.greatest(total, F.lit(1)) - 1).cast("int"))).otherwise(spread)
+
+
+def half_even(x: Column | str, places: int = 0) -> Column:
+    """Rounds halves to the even neighbour, as reports do."""
+    return F.bround(col(x), places)
+
+
+def utc_text(us: Column | str) -> Column:
+    """Microseconds since 1970 as ISO 8601 in UTC, to the millisecond."""
+    seconds = (col(us) / F.lit(1000000)).cast("decimal(18,6)")
+    return F.date_format(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+
+
+def luma(red: Column | str, green: Column | str, blue: Column | str) -> Column:
+    return F.lit(0.299) * col(red) + F.lit(0.587) * col(green) + F.lit(0.114) * col(blue)

@@ -68,14 +68,14 @@ def features(x: np.ndarray, rate: int = 16000) -> dict[str, float] | None:
     p = mean / mean.sum()
     f["spectral_entropy"] = entropy(p) / np.log2(max((p > 0).sum(), 2))
 
-    weight = mag[1:] * mag[:-1]
-    advance = np.angle(s[1:] * np.conj(s[:-1]))
-    second = np.diff(advance, axis=0)
-    w2 = weight[1:]
-    f["phase_advance_incoherence"] = 1 - ratio(np.abs((w2 * np.exp(1j * second)).sum()), w2.sum()) if len(second) else 0.0
-    bins = s[:, 1:] * np.conj(s[:, :-1])
-    f["phase_bin_coherence"] = ratio(np.abs(bins.sum()), np.abs(bins).sum())
-    nth = stft(x * np.arange(len(x)) / max(len(x), 1), size, hop)
+    # Deviation of each bin's phase from the advance of a steady tone over one hop, weighted by magnitude.
+    f["phase_advance_incoherence"] = f["phase_bin_coherence"] = 0.0
+    if len(s) > 2:
+        advance = np.angle(s[1:]) - np.angle(s[:-1]) - 2 * np.pi * np.arange(s.shape[1]) * hop / size
+        f["phase_advance_incoherence"] = 1 - ratio(np.abs((mag[1:] * np.exp(1j * advance)).sum()), mag[1:].sum())
+        between = np.angle(s[:, 1:]) - np.angle(s[:, :-1])
+        f["phase_bin_coherence"] = ratio(np.abs((mag[:, 1:] * np.exp(1j * between)).sum()), mag[:, 1:].sum())
+    nth = stft(x * np.arange(len(x)), size, hop)
     delay = np.real(nth * np.conj(s)) / (mag**2 + 1e-6)
     delay = np.sign(delay) * np.log1p(np.abs(delay))
     f["group_delay_std"], f["group_delay_abs_mean"] = delay.std(), np.abs(delay).mean()
@@ -96,11 +96,11 @@ def features(x: np.ndarray, rate: int = 16000) -> dict[str, float] | None:
         f["jitter_local"], f["shimmer_local"] = (np.mean(v) if v else 0.0 for v in (jit, shim))
         q = periodic[voiced].clip(1e-4, 1 - 1e-4)
         f["hnr_db"] = 10 * np.log10((q / (1 - q)).mean())
-        place = np.round(f0[voiced] / (rate / size)).astype(int)
-        rows = np.flatnonzero(voiced)
-        keep = rows < len(power)
-        near = [power[r, max(0, k * i - 1) : k * i + 2].sum() for r, i in zip(rows[keep], place[keep], strict=True) for k in range(1, 11) if k * i < power.shape[1] and i > 0]
-        f["harmonic_energy_ratio"] = min(1.0, ratio(np.sum(near), power[rows[keep]].sum()))
+        # Share of the long-term spectrum within a bin of the harmonics of the mean pitch.
+        last = len(mean) - 1
+        place = np.round(np.arange(1, int(rate / 2 / f["f0_mean"]) + 1) * f["f0_mean"] / (rate / 2) * last).astype(int)
+        near = np.unique(np.clip(place[:, None] + [-1, 0, 1], 0, last))
+        f["harmonic_energy_ratio"] = ratio(mean[near].sum(), mean.sum())
 
     level = 10 * np.log10((frames(x, size, hop) ** 2).mean(1) + 1e-12)
     f["silence_floor_db"] = np.percentile(level, 5)

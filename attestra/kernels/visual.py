@@ -8,10 +8,35 @@ from attestra.kernels.dsp import entropy, gaussian, laplacian, moving_mean, rati
 
 #: Feature names in order.
 NAMES = (
-    "hf_energy_mean hf_energy_std hf_ratio hf_grid_min_ratio hf_grid_dispersion noise_residual_std noise_autocorr_lag1 noise_residual_kurtosis noise_grid_dispersion color_residual_corr "
-    "blockiness edge_density seam_score spectral_peakiness local_var_mean local_var_dispersion frame_diff_mean frame_diff_std flicker_index second_order_mean second_order_ratio motion_smoothness "
-    "selfsim_offdiag_mean selfsim_decay_slope selfsim_entropy duplicate_frame_rate hf_temporal_std residual_temporal_std"
-).split()
+    "hf_energy_mean",
+    "hf_energy_std",
+    "hf_ratio",
+    "hf_grid_min_ratio",
+    "hf_grid_dispersion",
+    "noise_residual_std",
+    "noise_autocorr_lag1",
+    "noise_residual_kurtosis",
+    "noise_grid_dispersion",
+    "color_residual_corr",
+    "blockiness",
+    "edge_density",
+    "seam_score",
+    "spectral_peakiness",
+    "local_var_mean",
+    "local_var_dispersion",
+    "frame_diff_mean",
+    "frame_diff_std",
+    "flicker_index",
+    "second_order_mean",
+    "second_order_ratio",
+    "motion_smoothness",
+    "selfsim_offdiag_mean",
+    "selfsim_decay_slope",
+    "selfsim_entropy",
+    "duplicate_frame_rate",
+    "hf_temporal_std",
+    "residual_temporal_std",
+)
 
 
 def grid_mean(x: np.ndarray, n: int = 6) -> np.ndarray:
@@ -33,10 +58,11 @@ def features(frames: np.ndarray, most: int = 48) -> dict[str, float]:
     f: dict[str, float] = {}
 
     detail = np.abs(laplacian(y))
-    energy = detail.mean((1, 2)) / (y.mean((1, 2)) + 1e-6)
-    f["hf_energy_mean"], f["hf_energy_std"], f["hf_temporal_std"] = energy.mean(), energy.std(), ratio(detail.mean((1, 2)).std(), detail.mean())
-    power = (np.abs(np.fft.fft2(y - y.mean((1, 2), keepdims=True))) ** 2).mean(0)
-    radius = np.hypot(np.fft.fftfreq(h)[:, None], np.fft.fftfreq(w)[None, :])
+    energy, level = detail.mean((1, 2)), y.mean() + 1e-6
+    f["hf_energy_mean"], f["hf_energy_std"], f["hf_temporal_std"] = energy.mean() / level, energy.std() / level, ratio(energy.std(), energy.mean())
+    # Half the spectrum, as that of real frames is symmetric.
+    power = (np.abs(np.fft.rfft2(y - y.mean((1, 2), keepdims=True))) ** 2).mean(0)
+    radius = np.hypot(np.fft.fftfreq(h)[:, None], np.fft.rfftfreq(w)[None, :])
     radius /= radius.max() or 1
     f["hf_ratio"] = ratio(power[radius > 0.5].sum(), power.sum())
     ring = power[(radius > 0.55) & (radius < 0.98)]
@@ -46,29 +72,32 @@ def features(frames: np.ndarray, most: int = 48) -> dict[str, float]:
 
     rest = y - gaussian(y, 1.2)
     f["noise_residual_std"] = rest.std()
-    m2 = ((rest - rest.mean((1, 2), keepdims=True)) ** 2).mean((1, 2))
-    m4 = ((rest - rest.mean((1, 2), keepdims=True)) ** 4).mean((1, 2))
-    f["noise_residual_kurtosis"] = np.mean([ratio(a, b * b) - 3 if b > 1e-12 else 0.0 for a, b in zip(m4, m2, strict=True)])
-    f["noise_autocorr_lag1"] = ratio((rest[:, :, 1:] * rest[:, :, :-1]).mean(), (rest * rest).mean())
+    moment = lambda k: ((rest - rest.mean((1, 2), keepdims=True)) ** k).mean((1, 2))
+    f["noise_residual_kurtosis"] = (moment(4) / (moment(2) + 1e-12) ** 2).mean() - 3
+    left, right = rest[:, :, :-1], rest[:, :, 1:]
+    f["noise_autocorr_lag1"] = ratio((left * right).mean(), np.sqrt((left**2).mean() * (right**2).mean()))
     grid = grid_mean(np.abs(rest).mean(0))
     f["noise_grid_dispersion"] = ratio(grid.std(), np.median(grid))
     red, blue = (rgb[..., c] - gaussian(rgb[..., c], 1.2) for c in (0, 2))
-    gray = np.array_equal(rgb[..., 0], rgb[..., 2])
-    f["color_residual_corr"] = 0.0 if gray else _corr(red, blue)
+    f["color_residual_corr"] = _corr(red, blue)
     level = np.abs(rest).mean((1, 2))
     f["residual_temporal_std"] = ratio(level.std(), level.mean())
 
     mean = y.mean(0)
-    rows, cols = np.abs(np.diff(y, axis=1)).mean((0, 2)), np.abs(np.diff(y, axis=2)).mean((0, 1))
-    on = np.concatenate([rows[7::8], cols[7::8]])
-    off = np.concatenate([np.delete(rows, np.arange(7, len(rows), 8)), np.delete(cols, np.arange(7, len(cols), 8))])
-    f["blockiness"] = ratio(on.mean(), off.mean()) - 1 if len(on) and len(off) and off.mean() > 1e-12 else 0.0
+    # Steps of the mean frame between rows and between columns, on the grid of eight (phase 7) and off it.
+    on = off = 0.0
+    for steps in (np.abs(np.diff(mean, axis=0)), np.abs(np.diff(mean, axis=1)).T):
+        grid = np.arange(len(steps)) % 8 == 7
+        on += steps[grid].mean() if len(steps) > 8 else steps.mean()
+        off += steps[~grid].mean()
+    f["blockiness"] = on / (off + 1e-9) - 1
     edge = np.hypot(*np.gradient(mean))
     f["edge_density"] = (edge > np.percentile(edge, 90)).mean()
-    variance = np.maximum(uniform(y * y, 9) - uniform(y, 9) ** 2, 0).mean(0)
+    square = lambda x: uniform(x[None], 9)[0]
+    variance = np.maximum(square(mean * mean) - square(mean) ** 2, 0)
     f["local_var_mean"], f["local_var_dispersion"] = variance.mean(), ratio(variance.std(), variance.mean())
-    slope = np.hypot(*np.gradient(uniform(np.log1p(variance), 9)))
-    f["seam_score"] = ratio(np.percentile(slope, 99.5), np.median(slope))
+    slope = np.hypot(*np.gradient(gaussian(np.log1p(variance)[None], 2.0)[0]))
+    f["seam_score"] = np.percentile(slope, 99.5) / (np.median(slope) + 1e-9)
 
     step = np.abs(np.diff(y, axis=0)).mean((1, 2))
     f["frame_diff_mean"], f["frame_diff_std"] = (step.mean(), step.std()) if n > 1 else (0.0, 0.0)
@@ -79,7 +108,9 @@ def features(frames: np.ndarray, most: int = 48) -> dict[str, float]:
     if n >= 3:
         second = np.abs(y[2:] - 2 * y[1:-1] + y[:-2]).mean((1, 2))
         f["second_order_mean"], f["second_order_ratio"] = second.mean(), ratio(second.mean(), step.mean())
-        f["motion_smoothness"] = _corr(step[1:], step[:-1]) if len(step) > 2 else 0.0
+        change = np.diff(y, axis=0).reshape(n - 1, -1)
+        size = np.linalg.norm(change, axis=1)
+        f["motion_smoothness"] = ((change[1:] * change[:-1]).sum(1) / (size[1:] * size[:-1] + 1e-12)).mean()
     small = y[:, ::8, ::8].reshape(n, -1)
     small = small - small.mean(1, keepdims=True)
     small /= np.linalg.norm(small, axis=1, keepdims=True) + 1e-9
@@ -89,7 +120,7 @@ def features(frames: np.ndarray, most: int = 48) -> dict[str, float]:
         like, gap = (small[i] * small[j]).sum(1), (j - i).astype(float)
         f["selfsim_offdiag_mean"] = like.mean()
         f["selfsim_decay_slope"] = ratio(((gap - gap.mean()) * (like - like.mean())).sum(), ((gap - gap.mean()) ** 2).sum()) * n
-        f["selfsim_entropy"] = entropy(np.histogram(like, 16)[0] / len(like)) / 4.0
+        f["selfsim_entropy"] = entropy(np.histogram(like, 16, (-1, 1))[0] / len(like)) / 4.0
     return {k: safe(f[k]) for k in NAMES}
 
 

@@ -6,7 +6,7 @@ an order is needed. Running sums over all scores never sort them in one task: se
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -111,24 +111,53 @@ def leakage(scores: DataFrame, tolerance: float = 0.15) -> DataFrame:
     return a.withColumn("auc", F.greatest("auc", F.lit(1.0) - F.col("auc"))).withColumn("passed", F.col("auc") - F.lit(0.5) < F.lit(tolerance))
 
 
-def bootstrap_auc(scores: DataFrame, replicates: int = 1000, seed: int = 1337, level: float = 0.95) -> DataFrame:
-    """The AUC, and its percentile interval over Poisson(1) resamples, weighted by hashes of (replicate, id):
-    replicates are extra rows of one grouped aggregation, so nothing is gathered."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "b", "id"), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
+def _resampled(scores: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Poisson(1) resamples: b and the row's weight w in it, by hashes of (replicate, id). Replicates are
+    extra rows of one grouped aggregation, so nothing is gathered."""
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double")
+    u = hashed / F.lit(4294967296.0)
+    weight = sum(((u > F.lit(e)).cast("long") for e in POISSON), F.lit(0).cast("long"))
+    return scores.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight).where("w > 0")
+
+
+def _poisson(most: int = 8) -> list[float]:
+    """P(X <= k) of a Poisson variable of mean 1, from k = 0 on."""
     edges, total, p = [], 0.0, 0.36787944117144233
-    for k in range(1, 9):
+    for k in range(1, most + 1):
         total += p
         edges.append(total)
         p /= k
-    weight = sum(((u > F.lit(e)).cast("long") for e in edges), F.lit(0).cast("long"))
-    drawn = scores.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight).where("w > 0")
+    return edges
+
+
+POISSON = _poisson()
+
+
+def bootstrap(scores: DataFrame, statistic: Callable[[DataFrame], DataFrame], replicates: int = 1000, seed: int = 1337, level: float = 0.95) -> DataFrame:
+    """The percentile interval of any statistic: it gets rows with b (replicate) and w (weight) and gives b and value."""
+    found = statistic(_resampled(scores, replicates, seed)).select("value")
+    return found.agg(F.count("value").alias("replicates"), F.percentile("value", F.lit((1 - level) / 2)).alias("low"), F.percentile("value", F.lit((1 + level) / 2)).alias("high"))
+
+
+def weighted_auc(drawn: DataFrame) -> DataFrame:
+    """b, value: the AUC of each replicate that has both classes."""
     values = drawn.groupBy("b", "score").agg(F.sum("w").alias("n"), F.sum(F.when(F.col("label"), F.col("w")).otherwise(0)).alias("pos"))
     w = Window.partitionBy("b").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = values.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / F.lit(2.0))
     a = ranked.groupBy("b").agg(F.sum("pos").cast("double").alias("p"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("q"), F.sum(F.col("rank") * F.col("pos")).alias("r")).where("p > 0 AND q > 0")
-    auc = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))
-    interval = a.select(auc.alias("auc")).agg(F.count("*").alias("replicates"), F.percentile("auc", F.lit((1 - level) / 2)).alias("low"), F.percentile("auc", F.lit((1 + level) / 2)).alias("high"))
-    return interval.crossJoin(F.broadcast(roc_auc(scores)))  # one row: the point estimate
+    return a.select("b", ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("value"))
+
+
+def bootstrap_auc(scores: DataFrame, replicates: int = 1000, seed: int = 1337, level: float = 0.95) -> DataFrame:
+    """The AUC and its percentile interval."""
+    return bootstrap(scores, weighted_auc, replicates, seed, level).crossJoin(F.broadcast(roc_auc(scores)))  # one row: the point estimate
+
+
+def audited_tuple(scores: DataFrame, method: str, task: str, floor: float, replicates: int = 1000, seed: int = 1337) -> DataFrame:
+    """One row of all metrics of a method on a task, beside the floor it has to clear."""
+    counted = scores.agg(F.count("*").alias("n"), F.avg(((F.col("score") >= 0.5) == F.col("label")).cast("double")).alias("accuracy"))
+    out = counted.crossJoin(bootstrap_auc(scores, replicates, seed).drop("replicates")).crossJoin(recall_at_fpr(scores, 0.001).select(F.col("recall").alias("recall_at_fpr"))).crossJoin(ece(scores))  # one row each
+    return out.select(F.lit(method).alias("method"), F.lit(task).alias("task"), "n", "auc", "low", "high", F.lit(floor).alias("floor"), (F.col("auc") - F.lit(floor)).alias("margin"), "recall_at_fpr", "ece", "accuracy")
 
 
 def matched_readout(rows: DataFrame, seeds: list[int], c: float = models.C_VALUE, rounds: int = 60) -> DataFrame:

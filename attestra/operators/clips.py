@@ -73,6 +73,31 @@ def audio_features(clips: DataFrame) -> DataFrame:
     return _kernel(clips, kernel)
 
 
+def av_features(clips: DataFrame) -> DataFrame:
+    """The 15 synchrony features of each clip."""
+
+    def kernel(row):
+        f = frames_of(row)
+        if f is None:
+            return None, "no usable frames"
+        found, _, reason = av.features(f, row.fps or 0, audio_of(row), int(row.sample_rate or 0))
+        return (None, reason) if found is None else (found.values(), None)
+
+    return _kernel(clips, kernel)
+
+
+def tier0_features(clips: DataFrame) -> DataFrame:
+    """The 19 features of the first tier: motion from the column ``motion`` (13 numbers of the decoder; zeros where
+    there is none, which the gate then knows from has_motion) and sound."""
+    has = "motion" in clips.columns
+
+    def kernel(row):
+        motion = list(row.motion) if has and row.motion is not None else [0.0] * len(av.MOTION)
+        return [*motion, *av.quick_sound(audio_of(row), int(row.sample_rate or 1)).values()], None
+
+    return _kernel(clips, kernel)
+
+
 def activity_curves(clips: DataFrame) -> DataFrame:
     """clip_id, t, a (mouth), b (voice): long form for the synchrony operators."""
 
@@ -100,7 +125,7 @@ def hashes(clips: DataFrame) -> DataFrame:
 
 
 def commitments(clips: DataFrame, seconds: float = 1.0) -> DataFrame:
-    """Leaf hashes of each track's chunks: clip_id, track, leaves. A missing track has no leaves."""
+    """Leaf hashes of each track's chunks: clip_id, track, leaves. A missing track has no leaves; its root is seal.NO_TRACK."""
     import hashlib
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

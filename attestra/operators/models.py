@@ -61,6 +61,23 @@ def vacuity(members: Column) -> dict[str, Column]:
     return {"mean": mean, "sd": F.sqrt(var), "vacuity": F.lit(2.0) / (evidence + F.lit(2.0))}
 
 
+def predict(df: DataFrame, members: str, extra: str, distance_percentile: str, available: str, reason: str) -> DataFrame:
+    """The whole prediction of a branch: members' and extra probabilities together, vacuity from their agreement,
+    a vacuity of 0.5 at OOD_PERCENTILE and of 1 beyond all training distances at least, and an uninformative row
+    where the branch isn't available. Adds p_fake, llr, ensemble_sd, vacuity, ood_flag and reason_unavailable."""
+    every = F.concat(F.col(members), F.coalesce(F.col(extra), F.array().cast("array<double>")))
+    usable = F.col(available) & (F.size(every) > 0)
+    found = df.withColumn("all_", F.when(usable, every).otherwise(F.array(F.lit(0.5))))
+    v = vacuity(F.col("all_"))
+    found = found.withColumns({"m_": v["mean"], "sd_": v["sd"], "v_": v["vacuity"]})
+    ood = usable & (F.col(distance_percentile) >= OOD_PERCENTILE)
+    return found.withColumns({
+        "p_fake": F.col("m_"), "llr": F.when(usable, X.logit("m_")).otherwise(F.lit(0.0)), "ensemble_sd": F.when(usable, F.col("sd_")).otherwise(F.lit(0.0)),
+        "vacuity": F.when(~usable, F.lit(1.0)).when(ood, F.least(F.lit(1.0), F.greatest(F.col("v_"), F.lit(0.5) + F.lit(0.5) * (F.col(distance_percentile) - OOD_PERCENTILE) / F.lit(100.0 - OOD_PERCENTILE)))).otherwise(F.col("v_")), "ood_flag": ood,
+        "reason_unavailable": F.when(~usable, F.coalesce(F.col(reason), F.lit("no members"))),
+    }).drop("all_", "m_", "sd_", "v_")
+
+
 def member_probabilities(z: Column, coefs: Column) -> Column:
     """Each member's probability from standardised features; the bias comes last in its coefficients."""
 

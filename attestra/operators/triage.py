@@ -61,3 +61,22 @@ def shortcircuit_policy(pairs: DataFrame, allow: bool, tight: float, same_config
     """A perceptual candidate short-circuits only where allowed, tight and of the same configuration."""
     distance = F.col("bits") / F.lit(64.0)
     return pairs.withColumn("distance", distance).withColumn("short_circuit", F.lit(allow) & (distance <= F.lit(tight)) & same_config)
+
+
+def sequence_candidates(queries: DataFrame, registry: DataFrame, most: float = 0.10, k: int = 5) -> DataFrame:
+    """queries: id, video, audio; registry: other, video, audio (arrays of 64-bit hashes). The k nearest entries of
+    each query by video sequence distance up to ``most``, with the audio distance (1 where a side is empty).
+
+    A mean of at most 64 * most bits has a part of so many bits at most, so pairs meet by an equi-join on the bands
+    of single hashes; none within the distance is lost. Only they are verified in whole."""
+    bits = int(64 * most)
+    a = queries.select("id", F.explode(F.array_distinct("video")).alias("h")).select("id", F.explode(bands(F.col("h"), bits)).alias("k"), "h")
+    b = registry.select("other", F.explode(F.array_distinct("video")).alias("g")).select("other", F.explode(bands(F.col("g"), bits)).alias("k"), "g")
+    met = a.join(b, "k").where(X.hamming("h", "g") <= bits).select("id", "other").distinct()
+    both = met.join(queries, "id").join(registry.withColumnsRenamed({"video": "video2", "audio": "audio2"}), "other")
+    audio = F.when((F.size("audio") == 0) | (F.size("audio2") == 0), F.lit(1.0)).otherwise(X.sequence_distance("audio", "audio2"))
+    near = both.select("id", "other", X.sequence_distance("video", "video2").alias("video_distance"), audio.alias("audio_distance")).where(F.col("video_distance") <= most + 1e-12)
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("id").orderBy(F.round("video_distance", 9), "other")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -117,11 +117,6 @@ def _(spark, d):
     return A.roc_auc(scores(spark, d), ["lang"]).select("lang", A.cross_dataset(F.col("auc"), F.lit(0.62)).alias("passed"))
 
 
-@query("bootstrap_ci")
-def _(spark, d):
-    return A.bootstrap_auc(scores(spark, d))
-
-
 def clips(spark, d):
     """Features of clips (embeddings), fake where the label is odd."""
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), (F.col("label") % 2 == 1).alias("label"))

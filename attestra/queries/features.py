@@ -149,6 +149,23 @@ def _(spark, d):
     return Q.peak(Q.cross_correlation(curve, "clip_id", "t", "a", "b", 12), "clip_id").select("clip_id", "lag")
 
 
+@query("av_features")
+def _(spark, d):
+    """The 15 synchrony features of clips whose audio is 200 ms late."""
+    from attestra.kernels import av
+    from attestra.operators import clips as K
+
+    return K.av_features(clips(spark, shift_ms=200.0)).select("clip_id", F.explode(K.feature_map(av.NAMES)).alias("feature", "value")).withColumn("value", F.round("value", 5))
+
+
+@query("tier0_features")
+def _(spark, d):
+    from attestra.kernels import av
+    from attestra.operators import clips as K
+
+    return K.tier0_features(clips(spark)).select("clip_id", F.explode(K.feature_map([*av.MOTION, *av.SOUND])).alias("feature", "value")).withColumn("value", F.round("value", 5))
+
+
 @query("clip_hashes")
 def _(spark, d):
     from attestra.operators import clips as K
