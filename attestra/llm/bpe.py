@@ -35,7 +35,10 @@ from attestra.llm import common
 
 NONE = 1 << 60
 SCAN_MOST = 48
-CACHE_MOST = 300_000
+#: Entries of a cache's generation: a worker holds four generations, some 200 MB.
+CACHE_MOST = 150_000
+#: Longer words and pieces aren't kept, so the caches are bounded in bytes as well.
+KEPT_LENGTH = 64
 
 
 class Generations(dict):
@@ -49,10 +52,11 @@ class Generations(dict):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = found
+        if len(key) <= KEPT_LENGTH:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
         return found
 
 
@@ -87,7 +91,6 @@ class RankBPE:
         self.letters = byte_letters()
         self.words = Generations(self._word)
         self.pieces = Generations(self._piece)
-        self.decoded = Generations(self._decode)
 
     def merge(self, parts: list[int]) -> list[int]:
         """The ids of one word from its letters' ids."""
@@ -129,7 +132,8 @@ class RankBPE:
         ids = self.merge([self.vocab[x] for x in letters])
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
-    def _piece(self, piece: bytes) -> bytes:
+    def _piece(self, piece: bytes) -> tuple[bytes, str]:
+        """Ids and their decoded text."""
         text, out = piece.decode("utf-8", "replace"), []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.added:
@@ -137,21 +141,22 @@ class RankBPE:
             elif part:
                 normal = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 out += [self.words[w] for w in self.pattern.findall(normal)]
-        return b"".join(out)
+        ids = b"".join(out)
+        return ids, self._decode(ids)
 
     def _decode(self, ids: bytes) -> str:
         return " ".join(self.tokens[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4))
 
-    def encode_pieces(self, text: bytes) -> list[bytes]:
-        """Ids, as little-endian unsigned 32-bit integers, of each piece between ASCII white space."""
+    def encode_pieces(self, text: bytes) -> list[tuple[bytes, str]]:
+        """Ids, as little-endian unsigned 32-bit integers, and decoded text of each piece between ASCII white space."""
         return list(map(self.pieces.__getitem__, text.split()))
 
     def encode(self, text: str) -> list[int]:
-        ids = b"".join(self.encode_pieces(text.encode()))
+        ids = b"".join([p for p, _ in self.encode_pieces(text.encode())])
         return [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)]
 
-    def decode_pieces(self, pieces: list[bytes]) -> str:
-        return " ".join([self.decoded[p] for p in pieces if p])
+    def decode_pieces(self, pieces: list[tuple[bytes, str]]) -> str:
+        return " ".join([t for p, t in pieces if p])
 
     def decode(self, ids: list[int]) -> str:
         return self._decode(b"".join(i.to_bytes(4, "little") for i in ids))
@@ -194,7 +199,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
             count, ids, texts = [], [], []
             for x in batch.column("text"):
                 pieces = bpe.encode_pieces((x.as_py() or "").encode())
-                one, text = b"".join(pieces), bpe.decode_pieces(pieces)
+                one, text = b"".join([p for p, _ in pieces]), bpe.decode_pieces(pieces)
                 count.append(len(one) // 4)
                 ids.append(one if keep_ids else hashlib.sha256(one).hexdigest())
                 texts.append(text if keep_ids else hashlib.sha256(text.encode()).hexdigest())
@@ -202,6 +207,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
                 [*batch.columns, pa.array(count, pa.int64()), pa.array(ids, pa.binary() if keep_ids else pa.string()), pa.array(texts, pa.string())],
                 names=schema.names,
             )
+        common.tidy()
 
     return docs.mapInArrow(run, schema)
 

@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests), one is set."""
+    """The folder all executors share. Where the session names none, one is set in local mode (tests)
+    only: elsewhere a folder of one machine would lose data, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="attestra-ckpt-")
@@ -61,6 +64,14 @@ def tidy() -> None:
         pass
 
 
+def fresh(name: str, *taken: list[str]) -> str:
+    """``name``, with underscores until no column has it (in any case)."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def crc_mod(n: int, key: str = "doc_id"):
     """crc32(key as text) mod n."""
     return F.crc32(F.col(key).cast("string")) % F.lit(n)

@@ -399,7 +399,45 @@ def test_rollup_is_idempotent(spark, tmp_path):
     store.commit("3", d((None, None, "v", -1, -2)))
     store.commit("4", d())
     assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "v", 2, 12)]
-    assert [tuple(r) for r in store.compact(f"file://{tmp_path}/other").totals().collect()] == [("a", "en", "v", 2, 12)]
+    # After compaction a batch that was committed stays so; one that broke off doesn't count and can be written again.
+    other = store.compact(f"file://{tmp_path}/other")
+    assert [tuple(r) for r in other.totals().collect()] == [("a", "en", "v", 2, 12)] and other.ids() == ["1", "2", "3", "4"]
+    assert not other.commit("1", d(("a", "en", "v", 9, 99))) and not other.commit("4", d(("a", "en", "v", 9, 99)))
+    d(("a", "en", "v", 7, 70)).drop("docs").selectExpr("*", "7L as docs").write.parquet(f"{tmp_path}/other/batch=5")
+    (tmp_path / "other" / "batch=5" / "_SUCCESS").unlink()
+    assert [tuple(r) for r in other.totals().collect()] == [("a", "en", "v", 2, 12)] and not other.committed("5")
+    assert other.commit("5", d(("a", "en", "v", 1, 1))) and [tuple(r) for r in other.totals().collect()] == [("a", "en", "v", 3, 13)]
+    again = other.compact(f"file://{tmp_path}/third")
+    assert again.ids() == ["1", "2", "3", "4", "5"] and [tuple(r) for r in again.totals().collect()] == [("a", "en", "v", 3, 13)]
+    with pytest.raises(ValueError):
+        store.commit("../x", d())
+
+
+def test_rollup_counts_as_the_libraries_do(spark, docs, rows, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    word, byte = (Tokenizer.from_file(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    byte.encode_special_tokens = True
+    n = lambda t, x: len(t.encode(x or "", add_special_tokens=False).ids)
+    got = {r.doc_id: (r[rollup.WORD], r[rollup.BYTE]) for r in rollup.token_counts(docs, ["doc_id", "lang"]).collect()}
+    assert got == {i: (n(word, t), n(byte, t)) for i, t, *_ in rows}
+    assert rollup.token_counts(empty, ["doc_id"]).count() == 0
+
+
+def test_rollup_query_against_brute_force(spark, sf):
+    toxic = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic == 1}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = Counter()
+    for r in rollup.token_counts(docs, ["doc_id", "source", "lang"]).collect():
+        if r.doc_id not in toxic:
+            for v in (rollup.WORD, rollup.BYTE):
+                want[r.source, r.lang, v, "docs"] += 1
+                want[r.source, r.lang, v, "tokens"] += r[v]
+    got = {}
+    for r in rollup.op9_token_rollup(spark, sf).collect():
+        got[r.source, r.lang, r.version, "docs"], got[r.source, r.lang, r.version, "tokens"] = r.docs, r.tokens
+    assert got == dict(want)
 
 
 # 10
@@ -443,3 +481,23 @@ def test_repeated_rows_and_ids(spark):
     assert got == sorted([(1, t), (1, t), (1, prose(60, 9)), (2, ""), (-1, t)])
     assert minhash.near_duplicate_classes(df).count() == 5
     assert bpe.encode_documents(df).count() == 5
+
+
+def test_columns_of_any_name_pass_through(spark, docs, rows):
+    """Extra columns whose names the operators might use themselves, as text, keep their values."""
+    from pyspark.sql import functions as F
+
+    names = "__rid rid row_doc spans __spans __p __q __host __path host path site_p all_p host_p c0 c1 c7 shard lot hit_rid hit_doc met_rid found own print words at".split()
+    wide = docs.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, BENCH)], "item_id long, text string")
+    made = {
+        "keep_good": quality.keep_good(wide, labels),
+        "dedup_substrings": substring.dedup_substrings(wide),
+        "decontaminate": decontam.decontaminate(wide, benchmark),
+        "encode_documents": bpe.encode_documents(wide),
+    }
+    for name, df in made.items():
+        assert df.columns[: len(wide.columns)] == wide.columns, name
+        for r in df.collect():
+            assert all(r[n] == f"{n}-{r.doc_id}" for n in names), name
