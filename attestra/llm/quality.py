@@ -156,6 +156,7 @@ def with_evidence(docs: DataFrame, weights: np.ndarray, carry: list[str]) -> Dat
                 p[at] = 1 / (1 + np.exp(-z.clip(-30, 30)))
                 none[at] = [not t.strip() for t in texts]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(p, pa.float64(), mask=none)], names=[*carry, "__p"])
+        common.tidy()
 
     return src.mapInArrow(score, schema)
 
@@ -168,26 +169,31 @@ def _path() -> Column:
     return F.concat_ws("/", _host(), F.coalesce(F.col("lang").cast("string"), F.lit("")))
 
 
+def sampling_variance(mean: float, square: float) -> float:
+    """Variance of one document's probability: of the probabilities themselves, which vary less than outcomes do."""
+    return max(square - mean * mean, 0.0)
+
+
 def site_posteriors(scored: DataFrame) -> DataFrame:
     """host, path and site_p: shrunk means of __p, path toward host toward all."""
-    paths = scored.where("__p IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("__p").alias("s"))
+    paths = scored.where("__p IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("__p").alias("s"), F.sum(F.col("__p") * F.col("__p")).alias("s2"))
     paths = common.cut(paths)
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("s2").alias("hs2"))
 
-    def strength(df: DataFrame, n: str, s: str) -> tuple[float, float]:
+    def strength(df: DataFrame, n: str, s: str, s2: str) -> tuple[float, float]:
         """Global mean, and the prior's weight in documents: m (1 - m) / variance between sites - 1, within [10, 10000]."""
-        total = df.agg(F.sum(n), F.sum(s)).first()
+        total = df.agg(F.sum(n), F.sum(s), F.sum(s2)).first()
         if not total[0]:
             return 0.5, 10.0
         m = min(max(total[1] / total[0], 1e-4), 1 - 1e-4)
         # Variance between sites, without what sampling alone gives.
         r = df.agg(F.sum(F.col(n) * F.pow(F.col(s) / F.col(n) - F.lit(m), 2)), F.count("*"), F.sum(n), F.sum(F.col(n) * F.col(n))).first()
         denominator = r[2] - r[3] / r[2]
-        between = (r[0] - (r[1] - 1) * m * (1 - m)) / denominator if denominator > 0 else 0.0
+        between = (r[0] - (r[1] - 1) * sampling_variance(m, total[2] / total[0])) / denominator if denominator > 0 else 0.0
         return m, min(max(m * (1 - m) / between - 1, 10.0), 10_000.0) if between > 0 else 10_000.0
 
-    m, k_host = strength(hosts, "hn", "hs")
-    _, k_path = strength(paths, "n", "s")
+    m, k_host = strength(hosts, "hn", "hs", "hs2")
+    _, k_path = strength(paths, "n", "s", "s2")
     hosts = hosts.select("host", ((F.col("hs") + F.lit(k_host * m)) / (F.col("hn") + F.lit(k_host))).alias("host_p"))
     shrunk = (F.col("s") + F.lit(k_path) * F.col("host_p")) / (F.col("n") + F.lit(k_path))
     return paths.join(hosts, "host").select("path", "host_p", shrunk.alias("site_p"), F.lit(m).alias("all_p"))
@@ -199,25 +205,28 @@ def _logit(p: Column) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, carry: list[str], most: int = TRAIN_MOST) -> DataFrame:
-    """The columns ``carry`` plus __p (own evidence), __site (the path's prior) and __q (the posterior)."""
+    """The columns ``carry`` as c0, c1, ... plus __p (own evidence), __site (the path's prior) and __q (the
+    posterior): the user's names can't clash with those of the work."""
     weights = train(docs, labels, most)
-    placed = docs.withColumns({"__host": _host(), "__path": _path()})
+    own = [f"c{i}" for i in range(len(carry))]
+    placed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, own, strict=True)], F.col("text"), _host().alias("__host"), _path().alias("__path"))
     brief = with_evidence(placed, weights, ["__host", "__path"]).withColumnsRenamed({"__host": "host", "__path": "path"})
     sites = common.cut(site_posteriors(brief))
     if sites.count() <= SITES_MOST:
         sites = F.broadcast(sites)
-    scored = with_evidence(placed, weights, [*carry, "__path"]).join(sites.withColumnRenamed("path", "__path"), "__path", "left")
+    scored = with_evidence(placed, weights, [*own, "__path"]).join(sites.withColumnRenamed("path", "__path"), "__path", "left")
     posterior = _logit(F.col("__p")) - _logit(F.col("all_p")) + _logit(F.col("site_p"))
     q = F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.exp(-posterior)), F.lit(0.0))
-    return scored.select(*[F.col(f"`{c}`") for c in carry], F.col("__p"), F.col("site_p").alias("__site"), q.alias("__q"))
+    return scored.select(*own, F.col("__p"), F.col("site_p").alias("__site"), q.alias("__q"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    return judge(docs, labels, docs.columns).where(F.col("__q") >= KEEP_FROM).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = judge(docs, labels, docs.columns).where(F.col("__q") >= KEEP_FROM)
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     found = judge(docs, common.table(spark, sf_dir, "labels"), ["doc_id"])
-    return found.select("doc_id", F.col("__p").alias("document_p"), F.col("__site").alias("site_p"), F.col("__q").alias("quality_p"), (F.col("__q") >= KEEP_FROM).alias("keep"))
+    return found.select(F.col("c0").alias("doc_id"), F.col("__p").alias("document_p"), F.col("__site").alias("site_p"), F.col("__q").alias("quality_p"), (F.col("__q") >= KEEP_FROM).alias("keep"))
