@@ -92,9 +92,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         spread = spread.withColumn("print", F.expr("CASE WHEN at >= 0 THEN p.least[greatest(at, 0)] END"))
         spread = spread.select("doc_id", "rid", "words", "at", "print").join(F.broadcast(known), "print", "left").where("found OR at = -1").select(*out)
     else:
-        met = ready.select("rid", "p", F.explode("p.places").alias("at")).select("rid", "at", F.expr("p.least[at]").alias("print")).join(known, "print")
-        met = met.groupBy("rid").agg(F.collect_set("at").alias("ats"))
-        spread = base.join(met, "rid", "left").select("doc_id", "rid", "words", F.explode(F.concat(F.array(F.lit(-1)), F.coalesce("ats", F.array().cast("array<int>")))).alias("at")).select(*out)
+        met = ready.select("rid", "doc_id", "p", F.explode("p.places").alias("at")).select("rid", "doc_id", "at", F.expr("p.least[at]").alias("print")).join(known, "print")
+        met = met.groupBy("rid", F.col("doc_id").alias("met_doc")).agg(F.collect_set("at").alias("ats")).withColumnRenamed("rid", "met_rid")
+        spread = base.join(met, (F.col("rid") == F.col("met_rid")) & F.col("doc_id").eqNullSafe(F.col("met_doc")), "left").select("doc_id", "rid", "words", F.explode(F.concat(F.array(F.lit(-1)), F.coalesce("ats", F.array().cast("array<int>")))).alias("at")).select(*out)
     tried = spread.select("doc_id", "rid", "n_words", "at", "context", F.expr(f"explode_outer(filter(sequence(0, {span - 1}), j -> size(context) >= j + {window}))").alias("j"))
     tried = tried.select("doc_id", "rid", "n_words", (F.col("at") < 0).alias("own"), (F.col("at") + F.col("j")).alias("start"), F.lit(window).alias("n"), F.when(F.col("j").isNotNull(), _lowered(F.col("context"), F.col("j") + 1, window)).alias("win"))
     for n in short:
@@ -104,8 +104,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         if small:
             runs = runs.join(F.broadcast(few), "print", "left_semi")
         else:
-            met = runs.select("rid", "print", "start").join(few, "print", "left_semi").select("rid", "start").distinct()
-            runs = base.join(met, "rid")
+            met = runs.select(F.col("rid").alias("met_rid"), F.col("doc_id").alias("met_doc"), "print", "start").join(few, "print", "left_semi").select("met_rid", "met_doc", "start").distinct()
+            runs = base.join(met, (F.col("rid") == F.col("met_rid")) & F.col("doc_id").eqNullSafe(F.col("met_doc"))).drop("met_rid", "met_doc")
         tried = tried.unionByName(runs.select("doc_id", "rid", F.size("words").alias("n_words"), F.lit(False).alias("own"), "start", F.lit(n).alias("n"), _lowered(F.col("words"), F.col("start") + 1, n).alias("win")))
     found = tried.join(near(windows), ["win", "n"], "left").where("own OR items IS NOT NULL")
     return found.groupBy("rid", "doc_id", "n_words").agg(
@@ -117,9 +117,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark, with their columns."""
-    hit = find_contamination(docs, benchmark, **kw).where("size(hits) > 0").select(F.col("rid").alias("__rid"))
+    rid, own = (common.fresh(n, docs.columns) for n in ("hit_rid", "hit_doc"))
+    hit = find_contamination(docs, benchmark, **kw).where("size(hits) > 0").select(F.col("rid").alias(rid), F.col("doc_id").alias(own))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("__rid", F.xxhash64("doc_id", text)).join(hit, "__rid", "left_anti").drop("__rid")
+    keyed = docs.withColumn(rid + "_own", F.xxhash64("doc_id", text))
+    return keyed.join(hit, (keyed[rid + "_own"] == hit[rid]) & keyed["doc_id"].eqNullSafe(hit[own]), "left_anti").drop(rid + "_own")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
