@@ -246,6 +246,18 @@ def multiseed(rows: DataFrame, seeds: list[int]) -> DataFrame:
     return _spread(rows, [F.col("label")] * len(seeds), seeds).withColumn("passed", F.col("n_seeds") >= 5)
 
 
+def baseline_leakage(rows: DataFrame, baselines: dict[str, list[str]], seed: int = 0, tolerance: float = 0.15) -> DataFrame:
+    """C2: rows: id, label and columns of content-blind numbers. Each baseline (a set of columns) is fitted by the
+    matched readout on 70 % and scored on the rest; the worst distance of its AUC from 0.5 must stay under the tolerance."""
+    out = None
+    for name, columns in baselines.items():
+        v = F.array(*[F.col(c).cast("double") for c in columns])
+        drawn = rows.select("id", v.alias("v"), F.col("label")).select("v", F.array(_share(seed, "train", 10) < 7).alias("train"), F.array("label").alias("y"))
+        one = roc_auc(matched_readout(drawn, [seed])).select(F.lit(name).alias("baseline"), "auc")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("distance", F.abs(F.col("auc") - F.lit(0.5))).withColumn("passed", F.col("distance") < F.lit(tolerance))
+
+
 def risk_coverage(df: DataFrame, margins: list[float]) -> DataFrame:
     """df: margin (double) and correct (boolean). Coverage and risk at each least margin."""
     grid = df.sparkSession.createDataFrame([(float(m),) for m in margins], "least double")

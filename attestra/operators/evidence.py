@@ -31,6 +31,16 @@ def render(found: DataFrame, key: str) -> DataFrame:
     return found.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("report"))
 
 
+def report(branches: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """branches: key, branch, available, reason, ood_flag, ood_score; found: key, branch, rank, feature, direction.
+    One row a clip: findings by branch and rank, and notes on branches without findings or out of distribution."""
+    note = F.when(~F.col("available"), F.concat("branch", F.lit(" produced no findings: "), F.coalesce("reason", F.lit("unknown")))).when(F.col("ood_flag"), F.format_string("%s findings are discounted: outside the training distribution (percentile %.0f)", "branch", "ood_score"))
+    listed = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    notes = branches.withColumn("note", note).groupBy(key).agg(F.transform(listed("branch", "note"), lambda x: x["note"]).alias("notes"))
+    lines = found.groupBy(key).agg(F.transform(listed("branch", "rank", "feature", "direction"), lambda x: F.concat_ws(" ", x["branch"], x["feature"], x["direction"])).alias("findings"))
+    return notes.join(lines, key, "left").select(key, F.coalesce("findings", F.array().cast("array<string>")).alias("findings"), F.filter("notes", lambda x: x.isNotNull()).alias("notes"))
+
+
 def format_cell(x: Column) -> Column:
     """Table cells: 4 places under 1000, else 1; n/a if not finite, empty if null."""
     bad = F.isnan(x) | (F.abs(x) == F.lit(float("inf")))

@@ -82,6 +82,11 @@ def fuse(df: DataFrame, table: Column | list[float], video: str = "video", audio
     return df.withColumn("flags", F.array_sort(F.array_distinct(F.array_compact(F.array(*flags))))).withColumn("verdict", verdict)
 
 
+def without_branch(df: DataFrame, branch: str) -> DataFrame:
+    """Ablation: the branch as if it had never run (uninformative, fully vacuous, unavailable)."""
+    return df.withColumn(branch, F.struct(F.lit(0.5).alias("p"), F.lit(0.0).alias("llr"), F.lit(1.0).alias("vacuity"), F.lit(False).alias("available"), F.lit(False).alias("ood_flag")))
+
+
 def tier2_trigger(escalate: Column, decide: float = DECIDE, uncertainty: float = TIER2_UNCERTAINTY) -> Column:
     return (F.col("top") < decide) | (F.col("joint_vacuity") > uncertainty) | escalate | F.col("video_conflict") | F.col("audio_conflict")
 

@@ -6,6 +6,9 @@ sidecar or detector is UNAVAILABLE, not a negative finding.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,3 +69,49 @@ def detector_status(requested: DataFrame, registry: DataFrame) -> DataFrame:
 def observed_metadata(tags: Column) -> Column:
     """Embedded keys that name a manifest, whatever their case."""
     return F.map_filter(tags, lambda k, v: F.lower(k).rlike("c2pa|jumbf"))
+
+
+MANIFEST = "claims_ai_generated boolean, claim_generator string, _simulated boolean"
+
+
+def parsed_sidecars(clips: DataFrame, sidecars: DataFrame, key: str) -> DataFrame:
+    """sidecars: key, content (JSON text of a manifest). Adds claims_ai, claim_generator, manifest_status and detail;
+    a file that can't be parsed keeps what the clip had (column ``fallback_status``) and appends its fault."""
+    read = F.from_json("content", MANIFEST + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    joined = clips.join(sidecars.select(key, "content", read.alias("m")), key, "left")
+    broken = F.col("content").isNotNull() & (F.col("m").isNull() | F.col("m._bad").isNotNull())
+    status = F.when(F.col("content").isNull() | broken, F.col("fallback_status")).otherwise(PRESENT)
+    detail = F.when(F.col("content").isNull(), "no sidecar").when(broken, F.concat(F.lit("sidecar could not be parsed: "), F.substring("content", 1, 40))).when(F.col("m._simulated"), "simulated manifest").otherwise("manifest read")
+    claims = {"claims_ai": "claims_ai_generated", "claim_generator": "claim_generator"}
+    return joined.withColumns({**{c: F.when(~broken, F.col(f"m.{f}")) for c, f in claims.items()}, "manifest_status": status, "detail": detail}).drop("content", "m")
+
+
+def embedded_manifest(metadata: Column, reader: bool = False) -> Column:
+    """Status of a manifest embedded in the file: without a reader of signed manifests it is unavailable, and the
+    observed keys say only that something is there."""
+    seen = F.size(F.map_keys(observed_metadata(metadata)))
+    status = F.lit(PRESENT) if reader else F.lit(UNAVAILABLE)
+    return F.struct(F.when(seen > 0, status).otherwise(ABSENT).alias("status"), F.when(seen > 0, F.lit("read" if reader else "no reader of signed manifests here")).otherwise("no embedded keys").alias("detail"))
+
+
+def run_detectors(clips: DataFrame, detectors: dict[str, Callable[[dict], dict]], requested: list[str], key: str) -> DataFrame:
+    """Plug-ins over each clip: key, detector, status, confidence, detail. A detector gives found and confidence;
+    one that isn't registered is unavailable, one that fails gives a row of its own with status ERROR."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for row in b.to_dict("records"):
+                for name in requested:
+                    if name not in detectors:
+                        out.append((row[key], name, UNAVAILABLE, None, "not registered"))
+                        continue
+                    try:
+                        found = detectors[name](row)
+                        out.append((row[key], name, DETECTED if found["found"] else NOT_DETECTED, float(found.get("confidence", 0.0)), found.get("detail", "")))
+                    except Exception as e:  # a row, as one plug-in must not end the analysis
+                        out.append((row[key], name, ERROR, None, f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(out, columns=[key, "detector", "status", "confidence", "detail"])
+
+    kind = clips.schema[key].dataType.simpleString()
+    return clips.mapInPandas(run, f"{key} {kind}, detector string, status string, confidence double, detail string")

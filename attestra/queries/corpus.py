@@ -8,6 +8,7 @@ from attestra.functions import expressions as X
 from attestra.operators import acquisition, corpus, models, seal, triage
 from attestra.operators import audit as A
 from attestra.queries import audit as audit_queries
+from attestra.queries import fusion as fusion_queries
 from attestra.queries.base import query
 from attestra.queries.identity import _hash_sql, _hashes
 from attestra.session import table
@@ -198,3 +199,84 @@ def _(spark, d):
 def _(spark, d):
     t = A.audited_tuple(audit_queries.scores(spark, d), "surface", "quality", 0.6)
     return t.select("method", "task", "n", *[F.round(c, 6).alias(c) for c in ("auc", "low", "high", "margin", "recall_at_fpr", "ece", "accuracy")])
+
+
+# Provenance, evidence and ablation
+
+
+@query("parsed_sidecars", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN true WHEN doc_id % 4 = 1 THEN false END AS claims_ai, CASE WHEN doc_id % 4 < 2 THEN 'present' WHEN doc_id % 4 = 2 THEN 'invalid' ELSE 'absent' END AS manifest_status,
+ CASE WHEN doc_id % 4 < 2 THEN 'simulated manifest' WHEN doc_id % 4 = 2 THEN 'sidecar could not be parsed: {claims' ELSE 'no sidecar' END AS detail FROM documents""")
+def _(spark, d):
+    from attestra.operators import provenance as P
+
+    i = F.col("doc_id")
+    clips = table(spark, d, "documents").select("doc_id", F.when(i % 4 == 2, P.INVALID).otherwise(P.ABSENT).alias("fallback_status"))
+    content = F.when(i % 4 == 0, '{"claims_ai_generated": true, "_simulated": true}').when(i % 4 == 1, '{"claims_ai_generated": false, "_simulated": true}').otherwise("{claims")
+    sidecars = table(spark, d, "documents").where(i % 4 < 3).select("doc_id", content.alias("content"))
+    return P.parsed_sidecars(clips, sidecars, "doc_id").select("doc_id", "claims_ai", "manifest_status", "detail")
+
+
+@query("embedded_manifest", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unavailable' ELSE 'absent' END AS status FROM documents")
+def _(spark, d):
+    from attestra.operators import provenance as P
+
+    tags = F.create_map(F.when(F.col("doc_id") % 3 == 0, "C2PA.manifest").otherwise("title"), F.lit("x"))
+    return table(spark, d, "documents").select("doc_id", P.embedded_manifest(tags)["status"].alias("status"))
+
+
+@query("detector_runs", """SELECT doc_id, 'length' AS detector, CASE WHEN n_chars IS NULL THEN 'error' WHEN n_chars > 1000 THEN 'detected' ELSE 'not_detected' END AS status FROM documents UNION ALL SELECT doc_id, 'vendor', 'unavailable' FROM documents
+ UNION ALL SELECT doc_id, 'odd', CASE WHEN doc_id % 2 = 1 THEN 'error' ELSE 'detected' END FROM documents""")
+def _(spark, d):
+    from attestra.operators import provenance as P
+
+    def length(row):
+        return {"found": row["n_chars"] > 1000, "confidence": 1.0} if row["n_chars"] == row["n_chars"] else {}["n_chars"]
+
+    def odd(row):
+        if row["doc_id"] % 2:
+            raise ValueError("odd clip")
+        return {"found": True}
+
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    return P.run_detectors(docs, {"length": length, "odd": odd}, ["length", "vendor", "odd"], "doc_id").select("doc_id", "detector", "status")
+
+
+@query("report_notes", """SELECT doc_id, array_to_string(list_concat(CASE WHEN doc_id % 3 = 0 THEN ['audio branch produced no findings: no track'] ELSE [] END, CASE WHEN doc_id % 5 = 0 THEN ['visual branch findings are discounted: outside the training distribution (percentile 99)'] ELSE [] END), '; ') AS notes,
+ CASE WHEN doc_id % 2 = 0 THEN 'visual hf_ratio manipulated' ELSE '' END AS findings FROM documents""")
+def _(spark, d):
+    from attestra.operators import evidence as V
+
+    i = F.col("doc_id")
+    docs = table(spark, d, "documents").select("doc_id")
+    audio = docs.select("doc_id", F.lit("audio branch").alias("branch"), (i % 3 != 0).alias("available"), F.lit("no track").alias("reason"), F.lit(False).alias("ood_flag"), F.lit(0.0).alias("ood_score"))
+    visual = docs.select("doc_id", F.lit("visual branch").alias("branch"), F.lit(True).alias("available"), F.lit(None).cast("string").alias("reason"), (i % 5 == 0).alias("ood_flag"), F.lit(99.0).alias("ood_score"))
+    found = docs.where(i % 2 == 0).select("doc_id", F.lit("visual").alias("branch"), F.lit(1).alias("rank"), F.lit("hf_ratio").alias("feature"), F.lit("manipulated").alias("direction"))
+    r = V.report(audio.unionByName(visual), found, "doc_id")
+    return r.select("doc_id", F.array_join("notes", "; ").alias("notes"), F.array_join("findings", "; ").alias("findings"))
+
+
+NO_AUDIO = fusion_queries.FUSED.replace("doc_id % 17 <> 0 AS aa", "false AS aa")
+
+
+@query("ablation_without_audio", f"{NO_AUDIO} SELECT doc_id, round(p_video, 6) AS p_video, round(p_audio, 6) AS p_audio, round(joint_vacuity, 6) AS joint_vacuity, verdict FROM f")
+def _(spark, d):
+    from attestra.operators import fusion as fuse
+
+    f = fuse.fuse(fuse.without_branch(fusion_queries.branches(spark, d), "audio"), fusion_queries.TABLE)
+    return f.select("doc_id", *[F.round(c, 6).alias(c) for c in ("p_video", "p_audio", "joint_vacuity")], "verdict")
+
+
+@query("c2_baselines")
+def _(spark, d):
+    """Content-blind baselines of documents (length, place, source) against their quality, by the matched readout."""
+    labels = table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("label"))
+    rows = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("id"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.length(F.coalesce("source", F.lit(""))).alias("source_size")).join(labels, "doc_id")
+    return A.baseline_leakage(rows, {"length": ["n_chars"], "place": ["doc_id"], "both": ["n_chars", "source_size"]})
+
+
+@query("curve_zscores", "WITH s AS (SELECT user_id AS clip, event_id AS t, round(value, 6) AS x FROM events), m AS (SELECT clip, avg(x) AS m, stddev_pop(x) AS sd FROM s GROUP BY clip) SELECT clip, t, round((x - m) / CASE WHEN sd > 1e-12 THEN sd ELSE 1 END, 6) AS z FROM s JOIN m USING (clip)")
+def _(spark, d):
+    from attestra.operators import sequences
+
+    s = table(spark, d, "events").select(F.col("user_id").alias("clip"), F.col("event_id").alias("t"), F.round("value", 6).alias("x"))
+    return sequences.zscore(s, "clip", "x", "z").select("clip", "t", F.round("z", 6).alias("z"))

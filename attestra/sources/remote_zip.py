@@ -9,10 +9,11 @@ without range support is refused.
 
 from __future__ import annotations
 
+import http.client
 import io
 import time
 import urllib.error
-import urllib.request
+import urllib.parse
 import zipfile
 from collections import OrderedDict
 from dataclasses import dataclass
@@ -29,25 +30,54 @@ class RangeFile(io.RawIOBase):
         self.url, self.block, self.retries, self.at = url, block, retries, 0
         self.requests = self.bytes_read = 0
         self.cache: OrderedDict[int, bytes] = OrderedDict()
-        with self._open("bytes=0-0") as r:
-            if r.status != 206 or "/" not in r.headers.get("Content-Range", ""):
-                raise OSError(f"no range support: {url}")
-            self.size = int(r.headers["Content-Range"].rpartition("/")[2])
-
-    def _open(self, span: str):
+        self.link: http.client.HTTPConnection | None = None
+        status, headers, _ = self._get("bytes=0-0")
+        if status != 206 or "/" not in (headers.get("Content-Range") or ""):
+            raise OSError(f"no range support: {url}")
+        self.size = int(headers["Content-Range"].rpartition("/")[2])
+
+    def _get(self, span: str, hops: int = 5) -> tuple[int, http.client.HTTPMessage, bytes]:
+        """Status, headers and body, over one connection that is kept; it is made anew where it broke."""
         for attempt in range(self.retries + 1):
             try:
                 self.requests += 1
-                return urllib.request.urlopen(urllib.request.Request(self.url, headers={"Range": span}), timeout=60)
-            except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
-                if attempt == self.retries or isinstance(e, urllib.error.HTTPError) and e.code < 500:
+                parts = urllib.parse.urlsplit(self.url)
+                if self.link is None:
+                    kind = http.client.HTTPSConnection if parts.scheme == "https" else http.client.HTTPConnection
+                    self.link = kind(parts.netloc, timeout=60)
+                self.link.request("GET", urllib.parse.urlunsplit(("", "", parts.path or "/", parts.query, "")), headers={"Range": span})
+                r = self.link.getresponse()
+                if r.status == 200:  # the whole file: not read
+                    self.close_link()
+                    return r.status, r.headers, b""
+                data = r.read()
+                if r.status in (301, 302, 303, 307, 308) and hops and r.headers.get("Location"):
+                    self.url = urllib.parse.urljoin(self.url, r.headers["Location"])
+                    self.close_link()
+                    return self._get(span, hops - 1)
+                if r.status < 500:
+                    if r.status >= 400:
+                        raise urllib.error.HTTPError(self.url, r.status, r.reason, r.headers, None)
+                    return r.status, r.headers, data
+                raise ConnectionError(f"status {r.status}")
+            except urllib.error.HTTPError:
+                raise
+            except (OSError, http.client.HTTPException):
+                self.close_link()
+                if attempt == self.retries:
                     raise
                 time.sleep(min(LONGEST_WAIT, 0.25 * 2**attempt))
         raise AssertionError
 
+    def close_link(self) -> None:
+        if self.link is not None:
+            self.link.close()
+            self.link = None
+
     def _fetch(self, start: int, stop: int) -> bytes:
-        with self._open(f"bytes={start}-{stop - 1}") as r:
-            data = r.read()
+        _, _, data = self._get(f"bytes={start}-{stop - 1}")
+        if len(data) != stop - start:
+            raise OSError(f"{len(data)} bytes of {stop - start}: {self.url}")
         self.bytes_read += len(data)
         return data
 
