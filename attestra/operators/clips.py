@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.kernels import audio, av, phash, visual
+from attestra.kernels import audio, av, manipulate, phash, visual
 
 CLIP = "clip_id long, frames binary, shape array<int>, fps double, audio binary, sample_rate int"
 FEATURES = "clip_id long, available boolean, reason string, features array<double>"
@@ -42,6 +42,29 @@ def generate(spark: SparkSession, n: int, partitions: int = 8, shift_ms: float =
     return spark.range(0, n, 1, min(partitions, max(n, 1))).mapInPandas(run, CLIP)
 
 
+def manipulated(clips: DataFrame) -> DataFrame:
+    """clips with video_ops, audio_ops (arrays of names), desync_ms and seed: the clips as manipulated, and ``error``
+    where an operation failed; such a clip keeps its tracks as they were."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                frames, sound, error = r.frames, r.audio, None
+                try:
+                    if r.frames is not None and len(r.video_ops):
+                        frames = manipulate.manipulate_frames(frames_of(r), list(r.video_ops), int(r.seed)).tobytes()
+                    if r.audio is not None:
+                        x = manipulate.manipulate_audio(audio_of(r), int(r.sample_rate), list(r.audio_ops), int(r.seed)) if len(r.audio_ops) else audio_of(r)
+                        sound = manipulate.shift(x, round(r.desync_ms / 1000 * r.sample_rate)).tobytes()
+                except Exception as e:  # kept as a row
+                    frames, sound, error = r.frames, r.audio, f"{type(e).__name__}: {e}"[:200]
+                out.append((r.clip_id, frames, r.shape, r.fps, sound, r.sample_rate, error))
+            yield pd.DataFrame(out, columns=["clip_id", "frames", "shape", "fps", "audio", "sample_rate", "error"])
+
+    return clips.mapInPandas(run, f"{CLIP}, error string")
+
+
 def _kernel(clips: DataFrame, kernel: Callable) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -1,11 +1,14 @@
 """Recognition of known clips: exact and perceptual lookup, registry upsert.
 
-Everything is a join on hashes. The similarity join is banded: hashes within d bits of
-each other agree in at least one of d + 1 bands, so an equi-join on bands loses no pair.
+Everything is a join on hashes. In the similarity join, hashes within d bits of each other differ
+by d // 4 bits at most in one of their four quarters, so an equi-join on the quarters and their
+neighbours loses no pair.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,17 +37,24 @@ def upsert_latest(rows: DataFrame, key: str, seq: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(key, "r.*")
 
 
-def bands(h, bits: int):
-    """(number, value) of the ``bits`` + 1 bands of a 64-bit hash."""
-    n = bits + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(h, 64 - edges[i + 1]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("value")) for i in range(n)])
+def quarters(h):
+    """(number, value) of the four 16-bit parts of a 64-bit hash."""
+    return F.array(*[F.struct(F.lit(i).alias("part"), F.shiftrightunsigned(h, 48 - 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("value")) for i in range(4)])
+
+
+def probes(h, bits: int):
+    """The quarters of all hashes whose quarter differs from h's by at most bits // 4 bits: two hashes within
+    ``bits`` differ by so few in one quarter at least."""
+    near = [sum(1 << b for b in c) for r in range(bits // 4 + 1) for c in combinations(range(16), r)]
+    masks = F.array(*[F.lit(m).cast("long") for m in near])
+    return F.flatten(F.transform(quarters(h), lambda q: F.transform(masks, lambda m: F.struct(q["part"].alias("part"), q["value"].bitwiseXOR(m).alias("value")))))
 
 
 def hamming_join(left: DataFrame, right: DataFrame, bits: int, left_id: str = "id", right_id: str = "other", h: str = "h") -> DataFrame:
-    """left_id, right_id, bits: pairs within ``bits`` bits. Columns: id and hash on each side."""
-    a = left.select(F.col(left_id), F.col(h).alias("ha"), F.explode(bands(F.col(h), bits)).alias("k"))
-    b = right.select(F.col(right_id), F.col(h).alias("hb"), F.explode(bands(F.col(h), bits)).alias("k"))
+    """left_id, right_id, bits: pairs within ``bits`` bits. Columns: id and hash on each side. Keys are 16 bits wide,
+    so a key holds 1 / 65536 of evenly spread hashes; the left side asks for a key's neighbours as well."""
+    a = left.select(F.col(left_id), F.col(h).alias("ha"), F.explode(probes(F.col(h), bits)).alias("k"))
+    b = right.select(F.col(right_id), F.col(h).alias("hb"), F.explode(quarters(F.col(h))).alias("k"))
     near = a.join(b, "k").where(X.hamming("ha", "hb") <= bits)
     return near.select(left_id, right_id, X.hamming("ha", "hb").cast("long").alias("bits")).distinct()
 
@@ -67,11 +77,11 @@ def sequence_candidates(queries: DataFrame, registry: DataFrame, most: float = 0
     """queries: id, video, audio; registry: other, video, audio (arrays of 64-bit hashes). The k nearest entries of
     each query by video sequence distance up to ``most``, with the audio distance (1 where a side is empty).
 
-    A mean of at most 64 * most bits has a part of so many bits at most, so pairs meet by an equi-join on the bands
-    of single hashes; none within the distance is lost. Only they are verified in whole."""
+    A mean of at most 64 * most bits has a part of so many bits at most, so pairs meet by an equi-join on keys of
+    single hashes; none within the distance is lost. Only they are verified in whole."""
     bits = int(64 * most)
-    a = queries.select("id", F.explode(F.array_distinct("video")).alias("h")).select("id", F.explode(bands(F.col("h"), bits)).alias("k"), "h")
-    b = registry.select("other", F.explode(F.array_distinct("video")).alias("g")).select("other", F.explode(bands(F.col("g"), bits)).alias("k"), "g")
+    a = queries.select("id", F.explode(F.array_distinct("video")).alias("h")).select("id", F.explode(probes(F.col("h"), bits)).alias("k"), "h")
+    b = registry.select("other", F.explode(F.array_distinct("video")).alias("g")).select("other", F.explode(quarters(F.col("g"))).alias("k"), "g")
     met = a.join(b, "k").where(X.hamming("h", "g") <= bits).select("id", "other").distinct()
     both = met.join(queries, "id").join(registry.withColumnsRenamed({"video": "video2", "audio": "audio2"}), "other")
     audio = F.when((F.size("audio") == 0) | (F.size("audio2") == 0), F.lit(1.0)).otherwise(X.sequence_distance("audio", "audio2"))

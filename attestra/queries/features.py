@@ -166,6 +166,18 @@ def _(spark, d):
     return K.tier0_features(clips(spark)).select("clip_id", F.explode(K.feature_map([*av.MOTION, *av.SOUND])).alias("feature", "value")).withColumn("value", F.round("value", 5))
 
 
+@query("manipulated_clips")
+def _(spark, d):
+    """Twelve clips, each with manipulations sampled for its id; features of the first tier of what came out."""
+    from attestra.operators import clips as K
+    from attestra.operators import corpus
+
+    level = corpus.quality(corpus.draw("clip_id", "quality"))
+    planned = clips(spark).withColumns({"video_ops": corpus.video_operations(level, "clip_id"), "audio_ops": corpus.audio_operations(level, "clip_id"), "desync_ms": F.when(F.col("clip_id") % 2 == 1, 240.0).otherwise(0.0), "seed": F.col("clip_id")})
+    made = K.manipulated(planned)
+    return made.select("clip_id", "error", F.sha2("frames", 256).alias("frames_sha256"), F.length("audio").cast("long").alias("audio_bytes"))
+
+
 @query("clip_hashes")
 def _(spark, d):
     from attestra.operators import clips as K

@@ -104,3 +104,46 @@ def test_quick_sound():
     assert got["a_rms"] == pytest.approx(np.sqrt(0.5), rel=1e-3) and got["a_crest"] == pytest.approx(np.sqrt(2), rel=1e-3)
     assert got["a_hf_ratio"] < 0.01 and got["a_zcr"] == pytest.approx(2000 / 16000, rel=0.2)
     assert set(av.quick_sound(x[:100], 16000).values()) == {0.0} and set(av.quick_sound(None, 16000).values()) == {0.0}
+
+
+@pytest.mark.parametrize("op", ["blend_seam", "resample_blur", "face_denoise", "temporal_flicker", "warp_jitter", "checkerboard", "frame_dup_drop"])
+def test_visual_manipulations(op):
+    from attestra.kernels import manipulate
+
+    f, _ = av.talking_clip(5, side=48)
+    got = manipulate.manipulate_frames(f, [op], 1)
+    assert got.shape == f.shape and got.dtype == np.uint8 and not np.array_equal(got, f)
+    assert np.array_equal(got, manipulate.manipulate_frames(f, [op], 1))
+    if op != "frame_dup_drop":
+        # Only the active box changes.
+        rows, cols = manipulate.face_box(f)
+        inside = np.zeros(f.shape[1:3], bool)
+        inside[rows, cols] = True
+        assert np.array_equal(got[:, ~inside], f[:, ~inside])
+    a, b = visual.features(f[:48]), visual.features(got[:48])
+    trace = {"resample_blur": b["hf_energy_mean"] < a["hf_energy_mean"], "face_denoise": b["noise_residual_std"] < a["noise_residual_std"], "checkerboard": b["hf_energy_mean"] > a["hf_energy_mean"], "frame_dup_drop": b["duplicate_frame_rate"] > a["duplicate_frame_rate"]}
+    assert trace.get(op, True)
+    with pytest.raises(ValueError):
+        manipulate.manipulate_frames(f, ["nope"], 1)
+
+
+def test_audio_manipulations():
+    from attestra.kernels import manipulate
+
+    rate = 16000
+    t = np.arange(rate) / rate
+    x = (np.sin(2 * np.pi * 400 * t) * (t > 0.5) * 0.4 + 0.05 * np.sin(2 * np.pi * 7000 * t) + 0.001).astype(np.float32)
+    again = manipulate.overlap_add(manipulate.stft(x.astype(float), 400, 160), 400, 160, rate)
+    assert np.abs(again - x)[400:-400].max() < 1e-3
+    band = manipulate.manipulate_audio(x, rate, ["band_limit"], 0)
+    high = lambda y: np.abs(np.fft.rfft(y))[6500:].sum()
+    assert high(band) < 0.1 * high(x) and len(band) == rate
+    assert (manipulate.manipulate_audio((x * (t > 0.5)).astype(np.float32), rate, ["silence_floor"], 0)[:7000] == 0).all()
+    for op in ("spectral_oversmooth", "mel_phase_preserve", "mel_griffinlim"):
+        y = manipulate.manipulate_audio(x, rate, [op], 0)
+        assert len(y) == rate and np.isfinite(y).all() and not np.allclose(y, x)
+    coherent = audio.features(manipulate.manipulate_audio(x, rate, ["mel_phase_preserve"], 0), rate)["phase_advance_incoherence"]
+    assert np.isfinite(coherent)
+    assert manipulate.shift(x, 100)[:100].tolist() == [0] * 100 and np.array_equal(manipulate.shift(x, -100)[:-100], x[100:])
+    w = manipulate.warp(x, 0.2, 3)
+    assert w[0] == x[0] and w[-1] == x[-1] and not np.allclose(w, x) and np.array_equal(manipulate.warp(x, 0.0, 3), x)
