@@ -16,8 +16,10 @@ application/octet-stream; a truncated item is not valid; a null text is an empty
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -52,27 +54,42 @@ def wav_chunks(data: bytes, at: int) -> dict[bytes, tuple[int, int]] | None:
     return found | {b"": (at, end - at)}
 
 
-def _wav(data: bytes, at: int) -> int:
+def _wav(data: bytes, at: int, marks: Marks) -> int:
     chunks = wav_chunks(data, at)
     return chunks[b""][1] if chunks else 0
 
 
-def _png(data: bytes, at: int) -> int:
+class Marks:
+    """Next place of a marker, found by one pass over the value: hits don't search to its end again and again."""
+
+    def __init__(self, data: bytes):
+        self.data, self.places = data, {}
+
+    def next(self, marker: bytes, at: int) -> int:
+        """-1 where there is none from ``at`` on."""
+        if marker not in self.places:
+            self.places[marker] = [m.start() for m in re.finditer(b"(?=" + re.escape(marker) + b")", self.data)]
+        found = self.places[marker]
+        i = bisect_left(found, at)
+        return found[i] if i < len(found) else -1
+
+
+def _png(data: bytes, at: int, marks: Marks) -> int:
     i = at + 8
     while i + 12 <= len(data):
         size = struct.unpack_from(">I", data, i)[0]
-        if i + 12 + size > len(data) or zlib.crc32(data[i + 4 : i + 8 + size]) != struct.unpack_from(">I", data, i + 8 + size)[0]:
+        if i == at + 8 and data[i : i + 8] != b"\0\0\0\x0dIHDR":
             return 0
-        kind, first = data[i + 4 : i + 8], i == at + 8
-        if first and kind != b"IHDR":
+        if i + 12 + size > len(data) or zlib.crc32(data[i + 4 : i + 8 + size]) != struct.unpack_from(">I", data, i + 8 + size)[0]:
             return 0
+        kind = data[i + 4 : i + 8]
         i += 12 + size
         if kind == b"IEND":
             return i - at
     return 0
 
 
-def _gif(data: bytes, at: int) -> int:
+def _gif(data: bytes, at: int, marks: Marks) -> int:
     if len(data) < at + 13:
         return 0
     i = at + 13 + (3 << ((data[at + 10] & 7) + 1) if data[at + 10] & 0x80 else 0)
@@ -94,7 +111,7 @@ def _gif(data: bytes, at: int) -> int:
     return 0
 
 
-def _jpeg(data: bytes, at: int) -> int:
+def _jpeg(data: bytes, at: int, marks: Marks) -> int:
     i = at + 2
     while i + 4 <= len(data) and data[i] == 0xFF:
         kind, size = data[i + 1], struct.unpack_from(">H", data, i + 2)[0]
@@ -102,17 +119,17 @@ def _jpeg(data: bytes, at: int) -> int:
             return 0
         i += 2 + size
         if kind == 0xDA:
-            end = data.find(b"\xff\xd9", i)
+            end = marks.next(b"\xff\xd9", i)
             return end + 2 - at if end >= 0 else 0
     return 0
 
 
-def _pdf(data: bytes, at: int) -> int:
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b"startxref" in data[at:end] else 0
+def _pdf(data: bytes, at: int, marks: Marks) -> int:
+    end = marks.next(b"%%EOF", at)
+    return end + 5 - at if 0 <= marks.next(b"startxref", at) <= end - 9 else 0
 
 
-def _gzip(data: bytes, at: int) -> int:
+def _gzip(data: bytes, at: int, marks: Marks) -> int:
     unpack, i = zlib.decompressobj(31), at
     try:
         while i < len(data) and not unpack.eof:
@@ -125,8 +142,8 @@ def _gzip(data: bytes, at: int) -> int:
     return min(i, len(data)) - len(unpack.unused_data) - at if unpack.eof else 0
 
 
-def _zip(data: bytes, at: int) -> int:
-    end = data.find(b"PK\x05\x06", at)
+def _zip(data: bytes, at: int, marks: Marks) -> int:
+    end = marks.next(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(data):
         return 0
     size, start, note = struct.unpack_from("<IIH", data, end + 12)
@@ -161,13 +178,13 @@ def automaton():
 
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """Type, start and length of each valid item, by start. A ZIP's inner headers are within it."""
-    found, zip_end = [], 0
+    found, zip_end, marks = [], 0, Marks(data)
     for end, i in automaton().iter(data.decode("latin-1")):
         magic, kind, valid = FORMATS[i]
         at = end + 1 - len(magic)
         if kind == "application/zip" and at < zip_end:
             continue
-        if size := valid(data, at):
+        if size := valid(data, at, marks):
             found.append((kind, at, size))
             if kind == "application/zip":
                 zip_end = at + size

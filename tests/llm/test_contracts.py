@@ -315,6 +315,26 @@ def test_media_payload():
         assert n == len((text or "").encode()) and len(raw) % 576 == 0 and len(raw) > 0 and raw[:n] == (text or "").encode() and set(raw[n:]) <= {255}
 
 
+def test_media_query_against_brute_force(spark, sf):
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        raw = (r.text or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or (576 if not raw else 0))
+        stored = media.store_wav(payload)
+        want[r.doc_id] = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest())
+    got = {r.doc_id: (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in media.op5_media(spark, sf).collect()}
+    assert got == want
+
+
+def test_media_hits_do_not_search_to_the_end_again():
+    import time
+
+    for magic in (b"%PDF-", b"PK\x03\x04", b"\xff\xd8\xff\xda\0\x02", b"\x89PNG\r\n\x1a\n\0\x7f\0\0IHDR"):
+        began = time.time()
+        assert media.sniff(magic * 200_000) == []
+        assert time.time() - began < 20
+
+
 # 6
 
 
