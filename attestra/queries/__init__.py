@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestra.queries import acquisition, audit, avsync, corpus, custody, evidence, features, fusion, identity, models, provenance  # noqa: F401
+from attestra.queries import acquisition, audit, avsync, corpus, custody, evidence, features, fusion, identity, models, provenance, sinks  # noqa: F401
 from attestra.queries.base import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "five_way_verdict"

@@ -26,3 +26,17 @@ def get_session(app: str = "attestra", cores: int | str = "*", shuffle_partition
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a query that writes and reads again: under the shared checkpoint folder, which a
+    cluster names; in local mode under the machine's temporary folder where none is named."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="attestra-scratch-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
