@@ -121,6 +121,16 @@ def tier0_features(clips: DataFrame) -> DataFrame:
     return _kernel(clips, kernel)
 
 
+def log_mel(clips: DataFrame, mels: int = 64) -> DataFrame:
+    """The mean log-mel spectrum of each clip's sound."""
+
+    def kernel(row):
+        x = audio_of(row)
+        return (None, "no audio") if x is None or len(x) < 400 else (audio.log_mel(x, int(row.sample_rate), mels).mean(0), None)
+
+    return _kernel(clips, kernel)
+
+
 def activity_curves(clips: DataFrame) -> DataFrame:
     """clip_id, t, a (mouth), b (voice): long form for the synchrony operators."""
 

@@ -116,6 +116,12 @@ def entropy(df: DataFrame, clip: str, value: str, bins: int) -> DataFrame:
     return g.groupBy(clip).agg((F.sum(-F.col("p") * F.log2("p")) / F.log2(F.lit(float(bins)))).alias("entropy"))
 
 
+def resultant(df: DataFrame, clip: str, angle: str, weight: str) -> DataFrame:
+    """Length of the weighted mean of unit vectors: 1 where all angles agree, near 0 where they are spread; 0 without weight."""
+    a, w = F.col(angle), F.col(weight)
+    return df.groupBy(clip).agg(X.ratio(F.sqrt(F.pow(F.sum(w * F.cos(a)), 2) + F.pow(F.sum(w * F.sin(a)), 2)), F.sum(w), 0.0).alias("resultant"))
+
+
 def smoothness(df: DataFrame, clip: str, t: str, x: str) -> DataFrame:
     """mean |change| over mean."""
     step = df.withColumn("step", F.abs(F.col(x) - F.lag(x).over(over(clip, t))))

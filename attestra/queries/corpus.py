@@ -280,3 +280,47 @@ def _(spark, d):
 
     s = table(spark, d, "events").select(F.col("user_id").alias("clip"), F.col("event_id").alias("t"), F.round("value", 6).alias("x"))
     return sequences.zscore(s, "clip", "x", "z").select("clip", "t", F.round("z", 6).alias("z"))
+
+
+@query("circular_resultant", "SELECT user_id AS clip, round(CASE WHEN sum(value) = 0 THEN 0 ELSE sqrt(pow(sum(value * cos(event_id % 7)), 2) + pow(sum(value * sin(event_id % 7)), 2)) / sum(value) END, 6) AS resultant FROM events GROUP BY user_id")
+def _(spark, d):
+    from attestra.operators import sequences
+
+    e = table(spark, d, "events").select(F.col("user_id").alias("clip"), (F.col("event_id") % 7).cast("double").alias("angle"), "value")
+    return sequences.resultant(e, "clip", "angle", "value").select("clip", F.round("resultant", 6).alias("resultant"))
+
+
+@query("safe_values", "SELECT event_id, CASE WHEN event_id % 5 IN (0, 1, 2) THEN 0 ELSE round(value, 6) END AS safe FROM events")
+def _(spark, d):
+    i = F.col("event_id") % 5
+    odd = F.when(i == 0, F.lit(float("nan"))).when(i == 1, F.lit(float("inf"))).when(i == 2, F.lit(None).cast("double")).otherwise(F.col("value"))
+    return table(spark, d, "events").select("event_id", F.round(X.finite(odd), 6).alias("safe"))
+
+
+@query("threshold_override", "SELECT doc_id, CASE WHEN doc_id % 10 <= CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 1 END THEN 'early_exit_clean' ELSE 'escalate' END AS action FROM documents")
+def _(spark, d):
+    """A threshold of its own for every third clip."""
+    from attestra.operators import tier0
+
+    i = F.col("doc_id")
+    least = F.when(i % 3 == 0, 0.5).otherwise(0.1)
+    return table(spark, d, "documents").select("doc_id", tier0.gate((i % 10) / F.lit(10.0), F.lit(0.2), F.lit(True), F.lit(False), F.lit(True), least).alias("action"))
+
+
+MEAN_SQL = RESAMPLED.split(" g AS (")[0].rstrip().rstrip(",")
+
+
+@query("bootstrap_callback", f"WITH {audit_queries.S}, {MEAN_SQL}, m AS (SELECT b, sum(w * CAST(score AS DOUBLE)) / sum(w) AS v FROM w WHERE w > 0 GROUP BY b) SELECT count(*) AS replicates, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM m")
+def _(spark, d):
+    """A statistic of the caller's own: the mean score."""
+    mean = lambda drawn: drawn.groupBy("b").agg((F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("value"))
+    found = A.bootstrap(audit_queries.scores(spark, d), mean)
+    return found.select("replicates", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query("split_features", f"{SPLITS} SELECT split, count(*) AS n, round(avg(embedding[1]), 6) AS first FROM embeddings e JOIN s ON s.doc_id = e.vec_id GROUP BY split")
+def _(spark, d):
+    """Statistics of the feature cache by split."""
+    features = table(spark, d, "embeddings").select(F.col("vec_id").alias("clip_id"), F.col("embedding")[0].cast("double").alias("x"))
+    j = corpus.with_features(splits(spark, d).select(F.col("doc_id").alias("clip_id"), "split"), features)
+    return j.groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("first"))

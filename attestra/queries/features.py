@@ -166,6 +166,14 @@ def _(spark, d):
     return K.tier0_features(clips(spark)).select("clip_id", F.explode(K.feature_map([*av.MOTION, *av.SOUND])).alias("feature", "value")).withColumn("value", F.round("value", 5))
 
 
+@query("log_mel_kernel")
+def _(spark, d):
+    """Mean log-mel spectrum of each clip's voice, a row a band."""
+    from attestra.operators import clips as K
+
+    return K.log_mel(clips(spark)).select("clip_id", F.posexplode("features").alias("band", "value")).withColumn("value", F.round("value", 4))
+
+
 @query("manipulated_clips")
 def _(spark, d):
     """Twelve clips, each with manipulations sampled for its id; features of the first tier of what came out."""
