@@ -43,15 +43,20 @@ def budget(df: DataFrame, seq: str, size: str, most: int, by: str) -> DataFrame:
 
 
 def assign_splits(df: DataFrame, stratum: str, key: Column, fractions: list[tuple[str, float]]) -> DataFrame:
-    """Splits within each stratum by hash order; the last takes the remainder."""
+    """Splits within each stratum by the order of hexadecimal keys; the last takes the remainder. A stratum is
+    ranked in 256 ranges of its keys, and a row a range carries the count of those before it: no task ranks all."""
+    placed = df.withColumn("__k", key).withColumn("__r", F.substring("__k", 1, 2))
+    counts = placed.groupBy(stratum, "__r").agg(F.count("*").alias("__m"))
     w = Window.partitionBy(stratum)
-    placed = df.withColumn("__k", key).withColumns({"__i": F.row_number().over(w.orderBy("__k")), "__n": F.count("*").over(w)})
+    ranges = counts.withColumns({"__n": F.sum("__m").over(w), "__ahead": F.sum("__m").over(w.orderBy("__r")) - F.col("__m")}).drop("__m").withColumnRenamed(stratum, "__s")
+    met = placed.join(ranges, placed[stratum].eqNullSafe(ranges["__s"]) & (placed["__r"] == ranges["__r"])).drop(ranges["__r"]).drop("__s")
+    ranked = met.withColumn("__i", F.col("__ahead") + F.row_number().over(Window.partitionBy(stratum, "__r").orderBy("__k")))
     total, split = 0.0, None
     for name, f in fractions[:-1]:
         total += f
         inside = F.col("__i") <= F.floor(F.col("__n") * F.lit(round(total, 9)))
         split = F.when(inside, name) if split is None else split.when(inside, name)
-    return placed.withColumn("split", split.otherwise(fractions[-1][0])).drop("__k", "__i", "__n")
+    return ranked.withColumn("split", split.otherwise(fractions[-1][0])).drop("__k", "__r", "__i", "__n", "__ahead")
 
 
 #: Provenance scenarios and their weights.

@@ -120,7 +120,7 @@ def solve_logistic(x: np.ndarray, y: np.ndarray, c: float = C_VALUE, rounds: int
 
 
 def fit_bagged(df: DataFrame, features: str, label: str, bootstraps: int = BOOTSTRAPS, most_rows: int = 20_000) -> DataFrame:
-    """member and coefs (bias last): each member a fit on a resample with replacement.
+    """member and coefs (bias last): each member a fit on a resample with replacement. features: standardised (see scaled()).
 
     Training is bounded: at most ``most_rows`` rows by the hash of their features; each member
     gets them as one group."""
@@ -201,6 +201,30 @@ def covariance(df: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray]:
     return mean, added(rows, second)[0].reshape(len(mean), -1) / (n - 1)
 
 
+def scaled(df: DataFrame, features: str, out: str) -> DataFrame:
+    """Adds the features less their mean, over their deviation (1 where it is next to nothing), of all rows."""
+    rows = df.where(F.col(features).isNotNull()).select(F.col(features).cast("array<double>").alias("v"))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> dict[int, np.ndarray]:
+        n, mean, square = 0, 0.0, 0.0
+        for b in batches:
+            if len(b):
+                x = np.array(b["v"].tolist(), float)
+                n, mean, square = n + len(x), mean + x.sum(0), square + (x * x).sum(0)
+        return {0: np.concatenate([[n], mean, square])} if n else {}
+
+    found = added(rows, sums)
+    if not found:
+        return df.withColumn(out, F.col(features).cast("array<double>"))
+    n, total = found[0][0], found[0][1:]
+    mean, square = np.split(total / n, 2)
+    sd = np.sqrt(np.maximum(square - mean**2, 0))
+    sd = np.where(sd < 1e-9, 1.0, sd)
+    m, s = (F.array(*[F.lit(float(x)) for x in v]) for v in (mean, sd))
+    centred = F.zip_with(F.col(features).cast("array<double>"), m, lambda a, b: a - b)
+    return df.withColumn(out, F.zip_with(centred, s, lambda a, b: a / b))
+
+
 def mahalanobis(df: DataFrame, features: str, out: str = "distance") -> DataFrame:
     """Distance under the shrunk covariance of all rows; the matrix is d x d, whatever the rows."""
     mean, s = covariance(df, features)

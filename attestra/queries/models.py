@@ -22,9 +22,9 @@ def standard(spark, d):
     return M.standardise(x, M.feature_stats(x))
 
 
-@query("standardise", f"WITH {LONG}, {STATS} SELECT vec_id, CAST(j AS INTEGER) AS j, round(z, 6) AS z FROM z WHERE j < 4")
+@query("standardise", f"WITH {LONG}, {STATS} SELECT vec_id, CAST(j AS INTEGER) AS j, round(z, 6) AS z FROM z")
 def _(spark, d):
-    return standard(spark, d).where("j < 4").select("vec_id", "j", F.round("z", 6).alias("z"))
+    return standard(spark, d).select("vec_id", "j", F.round("z", 6).alias("z"))
 
 
 @query("feature_stats", f"WITH {LONG}, {STATS} SELECT CAST(j AS INTEGER) AS j, round(mean, 6) AS mean, round(sd, 6) AS sd FROM s")
@@ -87,10 +87,11 @@ def _(spark, d):
     return table(spark, d, "embeddings").select("vec_id", M.valid_features(F.col("embedding"), 64).alias("available"))
 
 
-@query("feature_covariance", f"WITH {LONG} SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM l a JOIN l b ON a.vec_id = b.vec_id WHERE a.j < 6 AND b.j < 6 GROUP BY a.j, b.j")
+@query("feature_covariance", f"WITH {LONG} SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM l a JOIN l b ON a.vec_id = b.vec_id GROUP BY a.j, b.j")
 def _(spark, d):
-    x = long(spark, d).where("j < 6").select("vec_id", "j", "x")
-    return x.withColumnsRenamed({"j": "i", "x": "y"}).join(x, "vec_id").groupBy("i", "j").agg(F.round(F.covar_samp("x", "y"), 6).alias("cov"))
+    """Of all pairs of features, from sums of partitions: d x d numbers, whatever the rows."""
+    _, s = M.covariance(vectors(spark, d), "v")
+    return spark.createDataFrame([(i, j, round(float(x), 6)) for i, row in enumerate(s) for j, x in enumerate(row)], "i int, j int, cov double")
 
 
 def vectors(spark, d):
@@ -99,35 +100,22 @@ def vectors(spark, d):
 
 @query("bagged_logistic")
 def _(spark, d):
-    return M.fit_bagged(vectors(spark, d), "v", "y").select("member", F.size("coefs").alias("n"), F.round(F.element_at("coefs", -1), 4).alias("bias"))
+    return M.fit_bagged(M.scaled(vectors(spark, d), "v", "z"), "z", "y").select("member", F.size("coefs").alias("n"), F.round(F.element_at("coefs", -1), 4).alias("bias"))
 
 
 @query("calibrated_predictions")
 def _(spark, d):
-    """Bagged fit, Platt calibration, vacuity: the branch prediction of each clip."""
-    rows = vectors(spark, d)
-    model = M.fit_bagged(rows, "v", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("member", "coefs"))), lambda x: x["coefs"]).alias("coefs"))
-    scored = rows.crossJoin(F.broadcast(model)).withColumn("members", M.member_probabilities(F.col("v"), F.col("coefs"))).drop("coefs")
+    """Bagged fit on the standardised features of two thirds, Platt calibration on the other third, vacuity."""
+    rows = M.scaled(vectors(spark, d), "v", "z").withColumn("held", F.pmod(F.xxhash64("vec_id"), F.lit(3)) == 0)
+    model = M.fit_bagged(rows.where("NOT held"), "z", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("member", "coefs"))), lambda x: x["coefs"]).alias("coefs"))
+    scored = rows.crossJoin(F.broadcast(model)).withColumn("members", M.member_probabilities(F.col("z"), F.col("coefs"))).drop("coefs")
     v = M.vacuity(F.col("members"))
-    scored = scored.select("vec_id", "y", v["mean"].alias("mean"), v["vacuity"].alias("vacuity"))
-    ab = M.fit_platt(scored, "mean", "y")
+    scored = scored.select("vec_id", "y", "held", v["mean"].alias("mean"), v["vacuity"].alias("vacuity"))
+    ab = M.fit_platt(scored.where("held"), "mean", "y")
     return scored.crossJoin(F.broadcast(ab)).select("vec_id", F.round(M.platt(F.col("mean"), F.col("a"), F.col("b")), 6).alias("p_fake"), F.round("vacuity", 6).alias("vacuity"))
 
 
 @query("mahalanobis_full")
 def _(spark, d):
-    return M.mahalanobis(vectors(spark, d).select("vec_id", "v"), "v").select("vec_id", F.round("distance", 6).alias("distance"))
-
-
-# The SQL of standardise and feature_covariance takes the first features only; these take all, without SQL.
-
-
-@query("standardise_all")
-def _(spark, d):
-    return standard(spark, d).select("vec_id", "j", F.round("z", 6).alias("z"))
-
-
-@query("feature_covariance_all")
-def _(spark, d):
-    _, s = M.covariance(vectors(spark, d), "v")
-    return spark.createDataFrame([(i, j, round(float(x), 6)) for i, row in enumerate(s) for j, x in enumerate(row)], "i int, j int, cov double")
+    rows = M.scaled(vectors(spark, d).select("vec_id", "v"), "v", "z")
+    return M.mahalanobis(rows, "z").select("vec_id", F.round("distance", 6).alias("distance"))
