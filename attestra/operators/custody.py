@@ -23,20 +23,21 @@ def _node_sql(left: str, right: str) -> str:
     return f"sha2(concat(unhex('{NODE}'), unhex({left}), unhex({right})), 256)"
 
 
-#: One level up: pairs of neighbours; an odd last node is paired with itself.
-_UP = f"if(size(a) <= 1, a, transform(sequence(0, cast((size(a) - 1) div 2 as int)), i -> {_node_sql('a[2 * i]', 'a[least(2 * i + 1, size(a) - 1)]')}))"
+def _up_sql(a: str) -> str:
+    """One level up from the array named ``a``: pairs of neighbours; an odd last node is paired with itself."""
+    pair = _node_sql(f"{a}[2 * i]", f"{a}[least(2 * i + 1, size({a}) - 1)]")
+    return f"if(size({a}) <= 1, {a}, transform(sequence(0, cast((size({a}) - 1) div 2 as int)), i -> {pair}))"
 
 
 def merkle_root(leaves: str, most_levels: int = 40) -> Column:
     """Root of an array of leaf hashes (hex); null for none. Levels beyond the root change nothing."""
-    return F.expr(f"aggregate(sequence(1, {most_levels}), {leaves}, (a, k) -> {_UP}, a -> get(a, 0))")
+    return F.expr(f"aggregate(sequence(1, {most_levels}), {leaves}, (a, k) -> {_up_sql('a')}, a -> get(a, 0))")
 
 
 def merkle_levels(leaves: str) -> Column:
     """All levels, leaves first, up to the root."""
     count = f"cast(ceil(log2(greatest(size({leaves}), 1))) as int)"
-    up = _UP.replace("a[", "last[").replace("size(a)", "size(last)").replace(", a, transform", ", last, transform")
-    step = f"concat(acc, transform(array(element_at(acc, -1)), last -> {up}))"
+    step = f"concat(acc, transform(array(element_at(acc, -1)), top -> {_up_sql('top')}))"
     return F.expr(f"if({count} = 0, array({leaves}), aggregate(sequence(1, {count}), array({leaves}), (acc, k) -> {step}))")
 
 

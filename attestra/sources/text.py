@@ -35,9 +35,13 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("pos", F.from_json("line", LEDGER).alias("e")).select("pos", "e.*")
 
 
-def write_ledger(df: DataFrame, path: str) -> None:
-    """One file a chain keeps its order; entries as compact JSON lines."""
-    df.orderBy("index").select(F.to_json(F.struct("index", "prev_hash", "payload", "entry_hash")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_ledger(df: DataFrame, path: str, chain: str | None = None) -> None:
+    """Entries as compact JSON lines. One file keeps a chain's order; with ``chain`` each chain gets a folder and file of its own."""
+    line = F.to_json(F.struct("index", "prev_hash", "payload", "entry_hash")).alias("value")
+    if chain is None:
+        df.orderBy("index").select(line).coalesce(1).write.mode("overwrite").text(path)
+    else:
+        df.repartition(chain).sortWithinPartitions(chain, "index").select(F.col(chain).alias("chain"), line).write.mode("overwrite").partitionBy("chain").text(path)
 
 
 def path_labels(path: Column) -> Column:

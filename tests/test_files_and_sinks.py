@@ -137,3 +137,16 @@ def test_seal_does_not_depend_on_time_and_marks_missing_tracks(spark):
     assert roots[0] == roots[1] and roots[0][0] != roots[0][1]
     changed = rows.withColumn("verdict", F.lit("UNKNOWN"))
     assert seal.seal(changed, F.current_timestamp()).first().combined_root not in roots[0]
+
+
+def test_ledgers_of_several_chains_stay_apart(spark, tmp_path):
+    from attestra.operators import custody
+    from attestra.sources import text
+
+    rows = spark.createDataFrame([(c, i, f"{c}{i}") for c in "ab" for i in range(20)], "chain string, seq int, body string")
+    chains = custody.build_chain(rows, "chain", "seq", "body")
+    text.write_ledger(chains, str(tmp_path / "l"), "chain")
+    for c in "ab":
+        back = text.read_ledger(spark, str(tmp_path / "l" / f"chain={c}")).orderBy("pos").collect()
+        assert [r["index"] for r in back] == list(range(20)) and [r.payload for r in back] == [f"{c}{i}" for i in range(20)]
+        assert all(b.prev_hash == a.entry_hash for a, b in zip(back, back[1:], strict=False))
