@@ -254,7 +254,7 @@ def test_lm_counts_and_training_take_all_documents(spark):
     rows, sub = lm._rows(df), lm.subwords(path)
     want, words_ = Counter(), Counter()
     for r in rows.where("NOT held_out").collect():
-        ids = [lm.END, lm.END, *(int(i) for w in bytes(r.body).split() for i in np.frombuffer(sub(w), np.uint16)), lm.END]
+        ids = [lm.END, lm.END, *(int(i) for w in bytes(r.body).split() for i in sub.encoding._core_bpe.encode_single_piece(b" " + w)), lm.END]
         want.update(zip(ids, ids[1:], ids[2:], strict=False))
         words_.update(bytes(r.body).split())
     counts = lm.counted(rows, path)
@@ -271,7 +271,7 @@ def test_lm_counts_and_training_take_all_documents(spark):
     model, windows = lm.trained(rows, start, path)
     bodies = [bytes(r.body) for r in rows.where("NOT held_out").collect()]
     assert windows >= 0.5 * len(bodies)
-    b = lm.block(bodies, lm.Generations(sub))
+    b = lm.block(bodies, sub)
     mean = lambda m: float(lm.attention_ln(m, b.ids, lm.before(b), b.texts).mean())
     assert mean(model) > mean(start)
 
@@ -350,6 +350,46 @@ def test_langid(spark, empty):
     assert {r.lang_pred for r in langid.predict(df, none, ["doc_id"]).collect()} == {"und"}
 
 
+def test_langid_query_against_brute_force(spark, sf):
+    """Counts, log probabilities and posteriors by loops over single n-grams."""
+    bucket_of = {}
+
+    def grams(text):
+        t = "".join(" " if ord(c) < 128 and not c.isalpha() else c for c in text.lower())
+        for k in (2, 3):
+            for j in range(len(t) - k + 1):
+                g = t[j : j + k]
+                if g not in bucket_of:
+                    bucket_of[g] = int(langid.codes([g])[k - 2][-3 if k == 2 else -3])
+                yield bucket_of[g]
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    counts, docs = {}, Counter()
+    for r in rows:
+        if r.text is not None and r.lang is not None and not held(r.doc_id):
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+            docs[r.lang] += 1
+    langs, total = sorted(counts), {k: sum(v.values()) for k, v in counts.items()}
+    got = {r.doc_id: r for r in langid.op6_langid(spark, sf).collect()}
+    right = n = 0
+    for r in rows:
+        g = got[r.doc_id]
+        assert g.held_out == held(r.doc_id)
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert g.lang_pred == "und"
+            continue
+        mine = Counter(grams(r.text))
+        z = [math.log((docs[k] + 1) / (sum(docs.values()) + len(langs))) + sum(m * math.log((counts[k][b] + 0.5) / (total[k] + 0.5 * langid.BUCKETS)) for b, m in mine.items()) for k in langs]
+        top = max(z)
+        p = 1 / sum(math.exp(x - top) for x in z)
+        assert (g.lang_pred, g.score) == (langs[z.index(top)], pytest.approx(p, abs=1e-3))
+        if g.held_out and r.lang:
+            n += 1
+            right += g.lang_pred == r.lang
+    assert right / n > 0.95
+
+
 # 7
 
 
