@@ -9,13 +9,14 @@ every document past every shard would be quadratic. So shards are routed by anch
 1. Winnowing picks the least hash of every (window - k + 1) neighbouring k-word runs, so
    two documents that share a window share an anchor. Anchors of two or more documents
    stay (a shuffle of hashes, not of texts).
-2. Anchors of few documents pair these documents. Each earlier document of a pair is a
-   reference shard: its automaton is built once, its partners stream past it, and spans
-   where the match is as long as a window or longer go.
-3. An anchor of many documents (copies by the thousand, common passages) would make
-   quadratically many pairs; there, the hashes of all windows over it (two of 64 bits
-   each) are grouped to their smallest doc_id, and windows of later documents go. Both ways give the
-   same spans; the threshold only chooses the cheaper one.
+2. Anchors of few documents pair these documents; an anchor of many pairs each with the
+   smallest of them. Each earlier document of a pair is a reference shard: its automaton is
+   built where its partners stream past it (in lots, so that a shard of thousands isn't one
+   task's), and spans where the match is as long as a window or longer go.
+3. Where an anchor stands in many documents, a window may be in an earlier document that
+   isn't the smallest. So windows over such an anchor that step 2 has not covered are looked
+   up by hash (two of 64 bits) among all those documents. Copies and common passages are
+   covered by then, so these are few, and no pairs of a group are made.
 
 Defined results: a null text has no words; a null doc_id is neither earlier nor later
 than any other, so such rows keep all their words; rows with one doc_id are no copies of
@@ -38,8 +39,10 @@ from attestra.llm import common, words
 WINDOW = 50
 #: Words of an anchor; any window holds window - k + 1 of them.
 K = 10
-#: Anchors of more documents than this are resolved by window hashes.
+#: Anchors of more documents than this pair them with their smallest document, not with each other.
 FEW = 8
+#: Documents that stream past one automaton in one task.
+LOT = 256
 
 
 class SuffixAutomaton:
@@ -124,7 +127,7 @@ def _docs(df: DataFrame) -> DataFrame:
 
 
 def removed_spans(df: DataFrame, window: int = WINDOW, k: int = K, few: int = FEW) -> DataFrame:
-    """rid (hash of doc_id and text) and spans: array of (start, stop) in words."""
+    """doc_id and rid (hash of doc_id and text), which together name a row, and spans: array of (start, stop) in words."""
     docs = _docs(df)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,23 +142,28 @@ def removed_spans(df: DataFrame, window: int = WINDOW, k: int = K, few: int = FE
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own[doc, 0]), pa.array(own[doc, 1])], names=["h", "doc_id", "rid"])
 
     found = docs.where("doc_id IS NOT NULL AND body IS NOT NULL").mapInArrow(anchors, "h long, doc_id long, rid long")
-    shared = found.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "n")
+    first = F.min(F.struct("doc_id", "rid"))
+    shared = found.groupBy("h").agg(F.count("*").alias("n"), first.alias("first"), F.max("doc_id").alias("high")).where("first.doc_id < high").select("h", "n", F.when(F.col("n") > few, F.col("first")).alias("first"))
     hits = common.cut(found.join(shared, "h"))
 
-    # Few documents: pairs of an earlier and a later one.
     groups = hits.where(F.col("n") <= few).groupBy("h").agg(F.collect_set(F.struct("doc_id", "rid")).alias("g"))
-    pairs = groups.select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> y.doc_id < x.doc_id), y -> named_struct('shard', y.rid, 'rid', x.rid))))")).alias("p")).select("p.*").distinct()
-    pairs = common.cut(pairs)
-    body = docs.select("rid", "body")
-    streams = pairs.join(body, "rid").select("shard", F.lit(1).alias("role"), "rid", "body")
-    shards = body.join(pairs.select(F.col("shard").alias("rid")).distinct(), "rid", "left_semi").select(F.col("rid").alias("shard"), F.lit(0).alias("role"), "rid", "body")
+    pairs = groups.select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> y.doc_id < x.doc_id), y -> named_struct('shard', y.rid, 'shard_id', y.doc_id, 'rid', x.rid, 'doc_id', x.doc_id, 'n', 1L))))")).alias("p")).select("p.*")
+    led = hits.where((F.col("n") > few) & (F.col("doc_id") > F.col("first.doc_id"))).select(F.col("first.rid").alias("shard"), F.col("first.doc_id").alias("shard_id"), "rid", "doc_id", "n")
+    pairs = pairs.unionByName(led).groupBy("shard", "shard_id", "rid", "doc_id").agg(F.max("n").alias("n"))
+    pairs = common.cut(pairs.withColumn("lot", F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / F.lit(float(LOT))))).drop("n"))
+    body = docs.select("rid", "doc_id", "body")
+    streams = pairs.join(body, ["rid", "doc_id"]).select("shard", "shard_id", "lot", F.lit(1).alias("role"), "rid", "doc_id", "body")
+    own = pairs.select(F.col("shard").alias("rid"), F.col("shard_id").alias("doc_id"), "lot").distinct()
+    shards = body.join(own, ["rid", "doc_id"]).select(F.col("rid").alias("shard"), F.col("doc_id").alias("shard_id"), "lot", F.lit(0).alias("role"), "rid", "doc_id", "body")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, automaton, reference = None, None, None
         for b in batches:
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple[int, int, int, int]] = []
             bodies = _bytes(b.column("body"))
-            for shard, role, rid, text in zip(b.column("shard").to_pylist(), b.column("role").to_pylist(), b.column("rid").to_pylist(), bodies, strict=True):
+            places = zip(*(b.column(c).to_pylist() for c in ("shard", "shard_id", "lot")), strict=True)
+            rows = zip(places, b.column("role").to_pylist(), b.column("rid").to_pylist(), b.column("doc_id").to_pylist(), bodies, strict=True)
+            for shard, role, rid, doc_id, text in rows:
                 if shard != own:
                     own, automaton, reference = shard, None, None
                 if role == 0:
@@ -163,20 +171,25 @@ def removed_spans(df: DataFrame, window: int = WINDOW, k: int = K, few: int = FE
                     continue
                 if automaton is None:
                     automaton = SuffixAutomaton(words.split([reference or b""]).hashes.tolist())
-                out += [(rid, a, z) for a, z in automaton.spans(words.split([text]).hashes.tolist(), window)]
+                out += [(rid, doc_id, a, z) for a, z in automaton.spans(words.split([text]).hashes.tolist(), window)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["rid", "start", "stop"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["rid", "doc_id", "start", "stop"])
+        automaton = reference = None
+        common.tidy()
 
-    spans = "rid long, start int, stop int"
-    cold = shards.unionByName(streams).repartition("shard").sortWithinPartitions("shard", "role").mapInArrow(match, spans)
+    spans = "rid long, doc_id long, start int, stop int"
+    place = ["shard", "shard_id", "lot"]
+    matched = shards.unionByName(streams).repartition(*place).sortWithinPartitions(*place, "role").mapInArrow(match, spans)
+    matched = common.cut(matched.groupBy("rid", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")))
 
-    # Many documents: windows over the anchor.
-    many = hits.where(F.col("n") > few).groupBy("rid", "doc_id").agg(F.collect_set("h").alias("hs"))
+    # Windows over an anchor of many documents that no automaton has covered.
+    many = hits.where(F.col("n") > few).groupBy("rid", "doc_id").agg(F.collect_set("h").alias("hs")).join(matched, ["rid", "doc_id"], "left")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists, bodies = b.column("hs").to_pylist(), _bytes(b.column("body"))
-            rows = list(zip(b.column("doc_id").to_pylist(), b.column("rid").to_pylist(), lists, strict=True))
+            bodies = _bytes(b.column("body"))
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("doc_id", "rid", "hs", "spans")), strict=True))
             for part, texts in words.chunks(rows, bodies, 1 << 18):
                 w = words.split(texts)
                 doc, at, h = _anchors(w, window, k)
@@ -184,31 +197,39 @@ def removed_spans(df: DataFrame, window: int = WINDOW, k: int = K, few: int = FE
                 if n <= 0:
                     continue
                 wanted = np.zeros(len(at), bool)
-                for i, (_, _, hs) in enumerate(part):
+                gone = np.zeros(len(w.hashes) + 1, np.int32)
+                for i, (_, _, hs, covered) in enumerate(part):
                     a, z = np.searchsorted(doc, [i, i + 1])
                     wanted[a:z] = np.isin(h[a:z].view(np.int64), np.array(hs, np.int64))
+                    for x in covered or ():
+                        gone[w.first[i] + x["start"]] += 1
+                        gone[w.first[i] + x["stop"]] -= 1
                 # Windows that hold a wanted anchor: starts from at - (window - k) to at.
                 cover = np.zeros(len(w.hashes) + 1, np.int32)
                 lo = np.maximum(at[wanted] - (window - k), 0)
                 np.add.at(cover, lo, 1)
                 np.add.at(cover, at[wanted] + 1, -1)
                 owner = w.doc
-                starts = np.flatnonzero((np.cumsum(cover)[:n] > 0) & (owner[:n] == owner[window - 1 :]))
+                # Words that go in any case; a window of nothing else needs no look.
+                left = np.append(0, np.cumsum(np.cumsum(gone)[:-1] == 0))
+                open_ = left[window:] > left[: n]
+                starts = np.flatnonzero((np.cumsum(cover)[:n] > 0) & open_ & (owner[:n] == owner[window - 1 :]))
                 if not len(starts):
                     continue
                 one = words.long_runs(w.hashes, window)[starts]
                 two = words.long_runs(w.hashes, window, words.BASE)[starts]
                 own = owner[starts]
-                ids = np.array([(d, r) for d, r, _ in part], np.int64)
+                ids = np.array([x[:2] for x in part], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids[own, 0]), pa.array(ids[own, 1]), pa.array((starts - w.first[own]).astype(np.int32))],
                     names=["w1", "w2", "doc_id", "rid", "start"],
                 )
 
-    rows = many.join(body, "rid").mapInArrow(windows, "w1 long, w2 long, doc_id long, rid long, start int")
+    rows = many.join(body, ["rid", "doc_id"]).mapInArrow(windows, "w1 long, w2 long, doc_id long, rid long, start int")
     lowest = rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1", "w2", "low")
-    hot = rows.join(lowest, ["w1", "w2"]).where("doc_id > low").select("rid", "start", (F.col("start") + window).alias("stop"))
-    return cold.unionByName(hot).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    rest = rows.join(lowest, ["w1", "w2"]).where("doc_id > low").groupBy("rid", "doc_id").agg(F.collect_set(F.struct("start", (F.col("start") + window).alias("stop"))).alias("spans"))
+    every = matched.unionByName(rest).groupBy("rid", "doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return every.withColumn("spans", F.array_sort(F.array_distinct("spans")))
 
 
 def _keep(parts: list[bytes], spans: list[dict] | None) -> list[bytes]:
@@ -223,10 +244,12 @@ def _keep(parts: list[bytes], spans: list[dict] | None) -> list[bytes]:
 
 
 def _apply(df: DataFrame, schema, make, **kw) -> DataFrame:
+    """make(spans) gives the iterator function; ``spans`` is the name of the column that holds them."""
     text = F.col("text").cast("string").cast("binary")
-    keyed = df.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), text))
-    spans = removed_spans(df, **kw).select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans"))
-    return keyed.join(spans, "__rid", "left").mapInArrow(make, schema)
+    rid, own, spans = (common.fresh(n, df.columns) for n in ("rid", "row_doc", "spans"))
+    keyed = df.withColumns({rid: F.xxhash64(F.col("doc_id").cast("long"), text), own: F.col("doc_id").cast("long")})
+    found = removed_spans(df, **kw).select(F.col("rid").alias(rid), F.col("doc_id").alias(own), F.col("spans").alias(spans))
+    return keyed.join(found, [rid, own], "left").mapInArrow(make(spans), schema)
 
 
 def dedup_substrings(df: DataFrame, **kw) -> DataFrame:
@@ -237,29 +260,35 @@ def dedup_substrings(df: DataFrame, **kw) -> DataFrame:
     names = df.columns
     at = names.index("text")
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [
-                b" ".join(_keep((t or "").encode().split(), s)).decode() if s else t
-                for t, s in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True)
-            ]
-            columns = [b.column(n) for n in names]
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+    def make(spans: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                pairs = zip(b.column("text").to_pylist(), b.column(spans).to_pylist(), strict=True)
+                texts = [b" ".join(_keep((t or "").encode().split(), s)).decode() if s else t for t, s in pairs]
+                columns = [b.column(n) for n in names]
+                columns[at] = pa.array(texts, columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+            common.tidy()
+
+        return run
 
     return _apply(df, schema, make, **kw)
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t, s in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True):
-                parts = (t or "").encode().split()
-                kept = _keep(parts, s)
-                out.append((len(parts), len(parts) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            n, removed, sha = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+    def make(spans: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for t, s in zip(b.column("text").to_pylist(), b.column(spans).to_pylist(), strict=True):
+                    parts = (t or "").encode().split()
+                    kept = _keep(parts, s)
+                    out.append((len(parts), len(parts) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+                n, removed, sha = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            common.tidy()
+
+        return run
 
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return _apply(docs, "doc_id long, n_words long, n_removed long, kept_sha256 string", make)
