@@ -77,10 +77,12 @@ class SuffixAutomaton:
             last = cur
 
     def spans(self, symbols: list[int], least: int) -> list[tuple[int, int]]:
-        """Maximal spans [start, end) of symbols covered by matches of ``least`` or more."""
+        """Spans [start, end) of symbols, one for each run of neighbouring windows of ``least`` that match: every
+        window within a span is a match itself, so spans that overlap are not merged."""
         found: list[tuple[int, int]] = []
         nexts, link, length = self.next, self.link, self.length
         v = size = 0
+        running = False
         for i, c in enumerate(symbols):
             while v and c not in nexts[v]:
                 v = link[v]
@@ -88,12 +90,13 @@ class SuffixAutomaton:
             if c in nexts[v]:
                 v = nexts[v][c]
                 size += 1
-            if size >= least:
-                start = i + 1 - size
-                if found and start <= found[-1][1]:
-                    found[-1] = (min(found[-1][0], start), i + 1)
-                else:
-                    found.append((start, i + 1))
+            if size < least:
+                running = False
+            elif running:
+                found[-1] = (found[-1][0], i + 1)
+            else:
+                running = True
+                found.append((i + 1 - least, i + 1))
         return found
 
 
@@ -181,7 +184,8 @@ def removed_spans(df: DataFrame, window: int = WINDOW, k: int = K, few: int = FE
     spans = "rid long, doc_id long, start int, stop int"
     place = ["shard", "shard_id", "lot"]
     matched = shards.unionByName(streams).repartition(*place).sortWithinPartitions(*place, "role").mapInArrow(match, spans)
-    matched = common.cut(matched.groupBy("rid", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")))
+    # Used twice below, in one plan: Spark reuses its exchange and that of the texts.
+    matched = matched.groupBy("rid", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
     # Windows over an anchor of many documents that no automaton has covered.
     many = hits.where(F.col("n") > few).groupBy("rid", "doc_id").agg(F.collect_set("h").alias("hs")).join(matched, ["rid", "doc_id"], "left")
@@ -203,16 +207,16 @@ def removed_spans(df: DataFrame, window: int = WINDOW, k: int = K, few: int = FE
                     wanted[a:z] = np.isin(h[a:z].view(np.int64), np.array(hs, np.int64))
                     for x in covered or ():
                         gone[w.first[i] + x["start"]] += 1
-                        gone[w.first[i] + x["stop"]] -= 1
+                        gone[w.first[i] + x["stop"] - window + 1] -= 1
                 # Windows that hold a wanted anchor: starts from at - (window - k) to at.
                 cover = np.zeros(len(w.hashes) + 1, np.int32)
                 lo = np.maximum(at[wanted] - (window - k), 0)
                 np.add.at(cover, lo, 1)
                 np.add.at(cover, at[wanted] + 1, -1)
                 owner = w.doc
-                # Words that go in any case; a window of nothing else needs no look.
-                left = np.append(0, np.cumsum(np.cumsum(gone)[:-1] == 0))
-                open_ = left[window:] > left[: n]
+                # A window that an automaton has matched needs no look; the first document that holds a window has
+                # no match of it, so that one stays to be found.
+                open_ = np.cumsum(gone)[:n] == 0
                 starts = np.flatnonzero((np.cumsum(cover)[:n] > 0) & open_ & (owner[:n] == owner[window - 1 :]))
                 if not len(starts):
                     continue

@@ -561,3 +561,24 @@ def test_columns_of_any_name_pass_through(spark, docs, rows):
         assert df.columns[: len(wide.columns)] == wide.columns, name
         for r in df.collect():
             assert all(r[n] == f"{n}-{r.doc_id}" for n in names), name
+
+
+@pytest.mark.parametrize("few", [1, 2, 8])
+def test_substring_hidden_windows(spark, few):
+    """Documents pieced together from overlapping pieces of each other: a window across two matches is no match,
+    and must be found in later documents all the same."""
+    r = random.Random(11)
+    pool = [f"w{i}" for i in range(400)]
+    source = [pool[r.randrange(400)] for _ in range(600)]
+    rows = [(i, " ".join(source[i * 40 : i * 40 + 120])) for i in range(10)]
+    for i in range(10, 60):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            donor = rows[r.randrange(len(rows))][1].split()
+            a = r.randrange(max(1, len(donor) - 60))
+            parts += donor[a : a + r.randint(30, 90)]
+        rows.append((i, " ".join(parts)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in substring.dedup_substrings(df, few=few).collect()}
+    want = brute_removed(rows)
+    assert got == {i: t if want[i] is None else want[i].decode() for i, t in rows}
