@@ -44,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage by a table in the shared folder: columns, compressed, where a checkpoint holds plain rows."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -64,6 +71,21 @@ def tidy() -> None:
         pass
 
 
+def one_thread() -> None:
+    """In a Python task: numpy's matrix products stay on the task's own core, as the others have tasks of their own."""
+    import ctypes
+    from pathlib import Path
+
+    import numpy
+
+    for path in (Path(numpy.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def fresh(name: str, *taken: list[str]) -> str:
     """``name``, with underscores until no column has it (in any case)."""
     used = {c.lower() for columns in taken for c in columns}
