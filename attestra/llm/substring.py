@@ -129,8 +129,12 @@ def _docs(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("rid"), text.alias("body"))
 
 
-def removed_spans(df: DataFrame, window: int = WINDOW, k: int = K, few: int = FEW) -> DataFrame:
-    """doc_id and rid (hash of doc_id and text), which together name a row, and spans: array of (start, stop) in words."""
+def removed_spans(df: DataFrame, window: int = WINDOW, k: int = K, few: int = FEW, leaders: bool = True) -> DataFrame:
+    """doc_id and rid (hash of doc_id and text), which together name a row, and spans: array of (start, stop) in words.
+
+    The result is the same with and without ``leaders``. With them (step 2 for anchors of many documents), few
+    windows are left to look up, but texts travel once for each leader they have: for tables with few copies. Without
+    them all windows over such anchors are looked up: for tables where copies by the thousand have many leaders."""
     docs = _docs(df)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,13 +150,16 @@ def removed_spans(df: DataFrame, window: int = WINDOW, k: int = K, few: int = FE
 
     found = docs.where("doc_id IS NOT NULL AND body IS NOT NULL").mapInArrow(anchors, "h long, doc_id long, rid long")
     first = F.min(F.struct("doc_id", "rid"))
-    shared = found.groupBy("h").agg(F.count("*").alias("n"), first.alias("first"), F.max("doc_id").alias("high")).where("first.doc_id < high").select("h", "n", F.when(F.col("n") > few, F.col("first")).alias("first"))
+    shared = found.groupBy("h").agg(F.count("*").alias("n"), first.alias("first"), F.max("doc_id").alias("high")).where("first.doc_id < high")
+    shared = shared.select("h", "n", F.when(F.col("n") > few, F.col("first")).alias("first")) if leaders else shared.select("h", "n")
     hits = common.cut(found.join(shared, "h"))
 
     groups = hits.where(F.col("n") <= few).groupBy("h").agg(F.collect_set(F.struct("doc_id", "rid")).alias("g"))
     pairs = groups.select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> y.doc_id < x.doc_id), y -> named_struct('shard', y.rid, 'shard_id', y.doc_id, 'rid', x.rid, 'doc_id', x.doc_id, 'n', 1L))))")).alias("p")).select("p.*")
-    led = hits.where((F.col("n") > few) & (F.col("doc_id") > F.col("first.doc_id"))).select(F.col("first.rid").alias("shard"), F.col("first.doc_id").alias("shard_id"), "rid", "doc_id", "n")
-    pairs = pairs.unionByName(led).groupBy("shard", "shard_id", "rid", "doc_id").agg(F.max("n").alias("n"))
+    if leaders:
+        led = hits.where((F.col("n") > few) & (F.col("doc_id") > F.col("first.doc_id"))).select(F.col("first.rid").alias("shard"), F.col("first.doc_id").alias("shard_id"), "rid", "doc_id", "n")
+        pairs = pairs.unionByName(led)
+    pairs = pairs.groupBy("shard", "shard_id", "rid", "doc_id").agg(F.max("n").alias("n"))
     pairs = common.cut(pairs.withColumn("lot", F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / F.lit(float(LOT))))).drop("n"))
     body = docs.select("rid", "doc_id", "body")
     streams = pairs.join(body, ["rid", "doc_id"]).select("shard", "shard_id", "lot", F.lit(1).alias("role"), "rid", "doc_id", "body")
@@ -184,11 +191,15 @@ def removed_spans(df: DataFrame, window: int = WINDOW, k: int = K, few: int = FE
     spans = "rid long, doc_id long, start int, stop int"
     place = ["shard", "shard_id", "lot"]
     matched = shards.unionByName(streams).repartition(*place).sortWithinPartitions(*place, "role").mapInArrow(match, spans)
-    # Used twice below, in one plan: Spark reuses its exchange and that of the texts.
     matched = matched.groupBy("rid", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
     # Windows over an anchor of many documents that no automaton has covered.
-    many = hits.where(F.col("n") > few).groupBy("rid", "doc_id").agg(F.collect_set("h").alias("hs")).join(matched, ["rid", "doc_id"], "left")
+    many = hits.where(F.col("n") > few).groupBy("rid", "doc_id").agg(F.collect_set("h").alias("hs"))
+    if leaders:
+        matched = common.cut(matched)
+        many = many.join(matched, ["rid", "doc_id"], "left")
+    else:
+        many = many.withColumn("spans", F.lit(None).cast("array<struct<start:int,stop:int>>"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -295,4 +306,4 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
         return run
 
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _apply(docs, "doc_id long, n_words long, n_removed long, kept_sha256 string", make)
+    return _apply(docs, "doc_id long, n_words long, n_removed long, kept_sha256 string", make, leaders=False)
