@@ -149,9 +149,10 @@ def removed_spans(df: DataFrame, window: int = WINDOW, k: int = K, few: int = FE
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own[doc, 0]), pa.array(own[doc, 1])], names=["h", "doc_id", "rid"])
 
     found = docs.where("doc_id IS NOT NULL AND body IS NOT NULL").mapInArrow(anchors, "h long, doc_id long, rid long")
-    first = F.min(F.struct("doc_id", "rid"))
-    shared = found.groupBy("h").agg(F.count("*").alias("n"), first.alias("first"), F.max("doc_id").alias("high")).where("first.doc_id < high")
-    shared = shared.select("h", "n", F.when(F.col("n") > few, F.col("first")).alias("first")) if leaders else shared.select("h", "n")
+    shared = found.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "n")
+    if leaders:
+        first = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid")).alias("first"), F.max("doc_id").alias("high")).where("first.doc_id < high")
+        shared = first.select("h", "n", F.when(F.col("n") > few, F.col("first")).alias("first"))
     hits = common.cut(found.join(shared, "h"))
 
     groups = hits.where(F.col("n") <= few).groupBy("h").agg(F.collect_set(F.struct("doc_id", "rid")).alias("g"))
