@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestra.llm import bpe, chat, decontam, langid, lm, media, minhash, quality, rollup, substring
+from attestra.llm import bpe, chat, decontam, langid, lm, media, minhash, quality, rollup, search, substring
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_token_rollup": rollup.op9_token_rollup,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "op12_search": search.op12_search,
 }
 
-ORACLES: dict[str, str] = {"op3_chat_format": chat.OP3_SQL, "op10_decontaminate": decontam.OP10_SQL}
+ORACLES: dict[str, str] = {"op3_chat_format": chat.OP3_SQL, "op10_decontaminate": decontam.OP10_SQL, "op12_search": search.OP12_SQL}
