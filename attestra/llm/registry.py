@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestra.llm import bpe, chat, decontam, langid, lm, media, minhash, quality, rollup, search, substring
+from attestra.llm import bpe, chat, decontam, langid, lm, media, minhash, quality, rollup, search, substring, suffix, trie
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_token_rollup": rollup.op9_token_rollup,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "op11_suffix": suffix.op11_suffix,
     "op12_search": search.op12_search,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op3_chat_format": chat.OP3_SQL, "op10_decontaminate": decontam.OP10_SQL, "op12_search": search.OP12_SQL}
+ORACLES: dict[str, str] = {"op3_chat_format": chat.OP3_SQL, "op10_decontaminate": decontam.OP10_SQL, "op12_search": search.OP12_SQL, "op13_prefix_trie": trie.OP13_SQL}
