@@ -91,15 +91,15 @@ def train(df: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of df plus lang_pred and score; reads text only."""
+    """The columns ``keep`` of df plus lang_pred and score (with underscores where kept ones have these names); reads text only."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    src = df.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = df.select(*keep).schema.simpleString()[7:-1] + ",lang_pred:string,score:double"
+    src = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = f"{src.select('row').schema.simpleString()[7:-1]},lang_pred:string,score:double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs, prior = shared.value
         for b in batches:
-            texts = b.column("__text").to_pylist()
+            texts = b.column("text").to_pylist()
             names, scores = ["und"] * len(texts), [0.0] * len(texts)
             there = [i for i, t in enumerate(texts) if t and langs and LETTER.search(t)]
             for at, some in words.chunks(there, [texts[i] for i in there]):
@@ -109,9 +109,10 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep
                 p = 1 / np.exp(total - total.max(0)).sum(0)
                 for i, k, s in zip(at, best.tolist(), p.tolist(), strict=True):
                     names[i], scores[i] = langs[k], s
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
 
-    return src.mapInArrow(score, schema)
+    made = [F.col(c).alias(common.fresh(c, keep)) for c in ("lang_pred", "score")]
+    return src.mapInArrow(score, schema).select(*[F.col("row")[c].alias(c) for c in keep], *made)
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,22 +103,23 @@ def revised(df: DataFrame, version: str, before: str, now: str) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, carry: list[str], word_path: str | None = None, byte_path: str | None = None) -> DataFrame:
-    """The columns ``carry`` of docs plus words and bytes: ids of each whole text in either vocabulary (null: none)."""
+    """The columns ``carry`` of docs plus :data:`WORD` and :data:`BYTE`: the number of ids of each whole text in either
+    vocabulary (null: none). Where ``carry`` has such a name, the count gets underscores."""
     word_path, byte_path = word_path or bpe.default_path(), byte_path or lm.default_path()
-    src = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").cast("string").alias("__text"))
-    schema = T.StructType([f for f in src.schema.fields if f.name != "__text"])
-    schema = schema.add(WORD, "long").add(BYTE, "long")
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([src.schema["row"]]).add("words", "long").add("bytes", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_, bytes_ = bpe.tokenizer(word_path), byte_encoding(byte_path)
         for b in batches:
-            texts = [t or "" for t in b.column("__text").to_pylist()]
+            texts = [t or "" for t in b.column("text").to_pylist()]
             one = [sum([len(p) for p, _ in words_.encode_pieces(t.encode())]) // 4 for t in texts]
             two = [len(bytes_.encode_ordinary(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=schema.names)
         common.tidy()
 
-    return src.mapInArrow(run, schema)
+    made = [F.col(c).alias(common.fresh(name, carry)) for c, name in (("words", WORD), ("bytes", BYTE))]
+    return src.mapInArrow(run, schema).select(*[F.col("row")[c].alias(c) for c in carry], *made)
 
 
 _BYTES: dict[str, object] = {}

@@ -1,6 +1,6 @@
 """Conversation prefix trie: distributed MSD radix partitioning over dictionary-encoded turn ids.
 
-1. Distinct turns (role, text) get ids in their order (a table in the shared folder); conversations
+1. Distinct turns (role, text) get ids in their order (a table of digests and ids in the shared folder); conversations
    become arrays of ids, are rebuilt (below), and equal sequences become one row with their number,
    smallest conv_id and the digest of their ids.
 2. All sequences start in one bucket. A bucket of more than :data:`LOCAL` sequences is split by its
@@ -51,9 +51,11 @@ def encode_turns(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
+    # Texts travel to be told apart and put in order; turns and ids then meet by the texts' digests.
+    named = F.unhex(F.md5(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text")))
     dictionary = turns.select("role", "text").distinct().repartitionByRange("role", "text").sortWithinPartitions("role", "text")
-    dictionary = common.written(dictionary.select("role", "text", F.monotonically_increasing_id().alias("id"), F.regexp_count("text", F.lit(common.SPACE_RULE)).cast("long").alias("n")), "trie-turns")
-    own = turns.join(dictionary, ["role", "text"]).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "id", "n"))).alias("own"))
+    dictionary = common.written(dictionary.select(named.alias("named"), F.monotonically_increasing_id().alias("id"), F.regexp_count("text", F.lit(common.SPACE_RULE)).cast("long").alias("n")), "trie-turns")
+    own = turns.select("conv_id", "turn", named.alias("named")).join(dictionary, "named").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "id", "n"))).alias("own"))
     return own.select("conv_id", F.col("own.id").alias("ids"), F.col("own.n").alias("ws"))
 
 
