@@ -12,43 +12,56 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestra.functions import expressions as X
 from attestra.operators import models
+from attestra.operators.quantiles import quantiles
 
 
 def running(df: DataFrame, sums: dict[str, Column], by: list[str] | None = None, descending: bool = False, then: list[str] | None = None, parts: int = 64) -> DataFrame:
     """Adds running sums in order of ``score`` (then of ``then``) within ``by``, without sorting all rows in
-    one task: approximate quantiles cut the scores into ranges (one value is in one range), each range
-    sums up itself, and the totals of the ranges before it, a row a range and group, are added."""
+    one task: approximate quantiles cut the scores into ranges, each range sums up itself, and the totals of the
+    ranges before it, a row a range and group, are added. A score that fills ranges is one of its own, cut again by
+    quantiles of the first of ``then`` (a number)."""
     keys = by or []
     cuts = df.agg(F.percentile_approx("score", [i / parts for i in range(1, parts)], 1000).alias("q")).first()["q"] or []
+    crowded = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
     cuts = sorted(set(cuts))
     place = sum(((F.col("score") > F.lit(c)).cast("int") for c in cuts), F.lit(0)) if len(cuts) < 8 else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("score") > c))
-    placed = df.withColumn("range_", -place if descending else place)
-    totals = placed.groupBy(*keys, "range_").agg(*[F.sum(c).alias(f"{n}_all") for n, c in sums.items()])
-    ahead = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    offsets = totals.select(*keys, "range_", *[F.coalesce(F.sum(f"{n}_all").over(ahead), F.lit(0)).alias(f"{n}_before") for n in sums])
-    own = Window.partitionBy(*keys, "range_").orderBy(F.desc("score") if descending else "score", *(then or [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = placed.join(offsets, [*keys, "range_"])
-    return out.withColumns({n: F.col(f"{n}_before") + F.sum(c).over(own) for n, c in sums.items()}).drop("range_", *[f"{n}_before" for n in sums])
+    sub = F.lit(0)
+    if crowded and then and isinstance(df.schema[then[0]].dataType, T.NumericType):
+        tied = F.col("score").isin(crowded)
+        place = 2 * place + tied.cast("int")  # after the others of its range, whose upper end it is
+        found = df.where(tied).groupBy("score").agg(F.percentile_approx(then[0], [i / parts for i in range(1, parts)], 1000).alias("q")).collect()  # at most parts / 2 scores
+        for r in found:
+            own = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(r["q"]))]), lambda c: F.col(then[0]) > c))
+            sub = F.when(F.col("score") == F.lit(r["score"]), own).otherwise(sub)
+    placed = df.withColumns({"range_": -place if descending else place, "sub_": sub})
+    at = ["range_", "sub_"]
+    totals = placed.groupBy(*keys, *at).agg(*[F.sum(c).alias(f"{n}_all") for n, c in sums.items()])
+    ahead = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = totals.select(*keys, *at, *[F.coalesce(F.sum(f"{n}_all").over(ahead), F.lit(0)).alias(f"{n}_before") for n in sums])
+    own = Window.partitionBy(*keys, *at).orderBy(F.desc("score") if descending else "score", *(then or [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = placed.join(offsets, [*keys, *at])
+    return out.withColumns({n: F.col(f"{n}_before") + F.sum(c).over(own) for n, c in sums.items()}).drop(*at, *[f"{n}_before" for n in sums])
 
 
 def roc_auc(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Area under the ROC by tie-averaged ranks; 0.5 with one class.
+    """Area under the ROC by tie-averaged ranks; 0.5 with one class, or none where there are no groups.
 
     Scores are grouped to distinct values first."""
     keys = by or []
     values = scores.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.count_if("label").alias("pos"))
     ranked = running(values, {"rank_": F.col("n")}, by).withColumn("rank", F.col("rank_") - (F.col("n") - 1) / F.lit(2.0))
     a = ranked.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"), F.sum(F.col("rank") * F.col("pos")).alias("r"))
-    p, q = F.col("p").cast("double"), F.col("q").cast("double")
+    p, q = (F.coalesce(F.col(c), F.lit(0)).cast("double") for c in ("p", "q"))  # no rows: no classes
     return a.select(*keys, F.when((p == 0) | (q == 0), F.lit(0.5)).otherwise((F.col("r") - p * (p + 1) / 2) / F.greatest(p * q, F.lit(1.0))).alias("auc"))
 
 
 def recall_at_fpr(scores: DataFrame, fpr: float) -> DataFrame:
     """Share of positives strictly above the (1 - fpr) quantile of negatives; 0 without a class."""
-    thr = scores.where("NOT label").agg(F.percentile("score", F.lit(1 - fpr)).alias("threshold"))
+    thr = quantiles(scores.where("NOT label"), "score", [1 - fpr]).select(F.get("quantiles", F.lit(0)).alias("threshold"))
     pos = scores.where("label").crossJoin(F.broadcast(thr))  # one row: the threshold
     return pos.agg(F.coalesce(F.avg((F.col("score") > F.col("threshold")).cast("double")), F.lit(0.0)).alias("recall"), F.first("threshold").alias("threshold"))
 
@@ -153,6 +166,47 @@ def bootstrap_auc(scores: DataFrame, replicates: int = 1000, seed: int = 1337, l
     return bootstrap(scores, weighted_auc, replicates, seed, level).crossJoin(F.broadcast(roc_auc(scores)))  # one row: the point estimate
 
 
+def bootstrap_auc_grouped(scores: DataFrame, replicates: int = 1000, seed: int = 1337, level: float = 0.95, parts: int = 64) -> DataFrame:
+    """The AUC and its percentile interval without a row for each row and replicate: rows of one score and label are
+    drawn together (a sum of n Poisson variables of mean 1 is one of mean n), so work follows distinct scores.
+
+    Scores are cut into ranges. A range adds up, for all replicates at once, its positives, its negatives and the
+    pairs that they win within it; what it wins over lower ranges is its positives times their negatives. Draws depend
+    on seed, score and label alone, not on how rows are dealt."""
+    values = scores.where("score IS NOT NULL").groupBy(F.col("score").cast("double").alias("score")).agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
+    cuts = values.agg(F.percentile_approx("score", [i / parts for i in range(1, parts)], 1000).alias("q")).first()["q"] or []
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: F.col("score") > c))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, p, n, won = None, 0, 0, 0.0
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"range_": own, "b": np.arange(replicates), "p": p, "n": n, "won": won})
+
+        for batch in batches:
+            for r, score, pos, neg in batch[["range_", "score", "pos", "neg"]].itertuples(index=False):
+                if r != own:
+                    if own is not None:
+                        yield out()
+                    own, p, n, won = r, np.zeros(replicates), np.zeros(replicates), np.zeros(replicates)
+                key = np.array([score], np.float64).view(np.uint64)[0]
+                draw = lambda k, side: np.random.Generator(np.random.Philox(key=[int(key), seed * 2 + side])).poisson(k, replicates)  # noqa: B023, E731
+                a, z = draw(pos, 1), draw(neg, 0)
+                won += a * (n + z / 2)
+                p += a
+                n += z
+        if own is not None:
+            yield out()
+
+    ranges = values.withColumn("range_", place).repartition("range_").sortWithinPartitions("range_", "score").mapInPandas(run, "range_ int, b int, p double, n double, won double")
+    before = Window.partitionBy("b").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows
+    ranges = ranges.withColumn("lower", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
+    each = ranges.groupBy("b").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("won") + F.col("p") * F.col("lower")).alias("won")).where("p > 0 AND n > 0")
+    found = each.select((F.col("won") / (F.col("p") * F.col("n"))).alias("value"))
+    interval = found.agg(F.count("value").alias("replicates"), F.percentile("value", F.lit((1 - level) / 2)).alias("low"), F.percentile("value", F.lit((1 + level) / 2)).alias("high"))
+    return interval.crossJoin(F.broadcast(roc_auc(scores)))  # one row: the point estimate
+
+
 def audited_tuple(scores: DataFrame, method: str, task: str, floor: float, replicates: int = 1000, seed: int = 1337) -> DataFrame:
     """One row of all metrics of a method on a task, beside the floor it has to clear."""
     counted = scores.agg(F.count("*").alias("n"), F.avg(((F.col("score") >= 0.5) == F.col("label")).cast("double")).alias("accuracy"))

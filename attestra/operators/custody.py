@@ -1,8 +1,8 @@
 """Custody: Merkle trees, inclusion proofs, hash chains and their verification.
 
-Trees are arrays folded by higher-order functions, one row a track; chains are folded in
-order within one chain. Verification needs no fold: each entry is checked against the one
-before it.
+Trees of one row a track are arrays folded by higher-order functions (tracks of any size: ``merkle``);
+chains are folded in order (``ledger``). Verification needs no fold: each entry is checked against the
+one before it.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The chain's first hash, and the prefixes of leaves and nodes.
-GENESIS = "0" * 64
+from attestra.operators.ledger import GENESIS, fold
+
+#: The prefixes of leaves and nodes.
 LEAF, NODE = "00", "01"
 
 
@@ -62,15 +63,8 @@ def entry_hash(index: Column, prev: Column, body: Column) -> Column:
 
 
 def build_chain(rows: DataFrame, chain: str, seq: str, body: str) -> DataFrame:
-    """Ledger entries of each chain in order of ``seq``: index, prev_hash, payload, entry_hash.
-    A chain is folded in one task, which its order demands."""
-    ordered = rows.groupBy(chain).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(body).alias("b")))), lambda x: x["b"]).alias("bodies"))
-    fold = F.expr(
-        f"aggregate(bodies, named_struct('prev', '{GENESIS}', 'at', 0L, 'out', cast(array() as array<struct<index:bigint,prev_hash:string,payload:string,entry_hash:string>>)), "
-        "(s, b) -> transform(array(sha2(concat_ws('|', cast(s.at as string), s.prev, b), 256)), h -> named_struct('prev', h, 'at', s.at + 1, 'out', "
-        "concat(s.out, array(named_struct('index', s.at, 'prev_hash', s.prev, 'payload', b, 'entry_hash', h)))))[0], s -> s.out)"
-    )
-    return ordered.select(chain, F.inline(fold))
+    """Ledger entries of each chain in order of ``seq``: index, prev_hash, payload, entry_hash."""
+    return fold(rows, chain, seq, body)
 
 
 def check_chain(ledger: DataFrame, chain: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import expressions as X
+from attestra.operators.quantiles import quantiles
 
 #: Fixed values of the models.
 BOOTSTRAPS, C_VALUE, SEED, MAX_EVIDENCE, SHRINK, OOD_PERCENTILE = 15, 0.25, 1337, 60.0, 0.20, 99
@@ -47,7 +48,7 @@ def diagonal_distance(standardised: DataFrame, key: str) -> DataFrame:
 
 def ood_percentile(df: DataFrame, distance: str, reference: DataFrame) -> DataFrame:
     """Percent of the 101 reference points below the distance, at most 100; flagged from 99."""
-    ref = reference.agg(F.percentile(F.col(distance), F.array(*[F.lit(i / 100.0) for i in range(101)])).alias("ref"))
+    ref = quantiles(reference, distance, [i / 100.0 for i in range(101)]).select(F.col("quantiles").alias("ref"))
     below = F.least(F.size(F.filter("ref", lambda r: r < F.col(distance))), F.lit(100))
     return df.crossJoin(F.broadcast(ref)).withColumn("ood_percentile", below).withColumn("ood_flag", below >= OOD_PERCENTILE).drop("ref")
 
@@ -61,21 +62,24 @@ def vacuity(members: Column) -> dict[str, Column]:
     return {"mean": mean, "sd": F.sqrt(var), "vacuity": F.lit(2.0) / (evidence + F.lit(2.0))}
 
 
-def predict(df: DataFrame, members: str, extra: str, distance_percentile: str, available: str, reason: str) -> DataFrame:
-    """The whole prediction of a branch: members' and extra probabilities together, vacuity from their agreement,
-    a vacuity of 0.5 at OOD_PERCENTILE and of 1 beyond all training distances at least, and an uninformative row
-    where the branch isn't available. Adds p_fake, llr, ensemble_sd, vacuity, ood_flag and reason_unavailable."""
+def predict(df: DataFrame, members: str, extra: str, distance_percentile: str, available: str, reason: str, platt: tuple[Column | float, Column | float]) -> DataFrame:
+    """The whole prediction of a branch: members' and extra probabilities together, their mean calibrated by ``platt``
+    (slope and offset over its log-odds), vacuity from the members' agreement (not calibrated), a vacuity of 0.5 at
+    OOD_PERCENTILE and of 1 beyond all training distances at least, and an uninformative row where the branch isn't
+    available. Adds p_fake, llr, ensemble_sd, vacuity, ood_flag and reason_unavailable."""
     every = F.concat(F.col(members), F.coalesce(F.col(extra), F.array().cast("array<double>")))
     usable = F.col(available) & (F.size(every) > 0)
     found = df.withColumn("all_", F.when(usable, every).otherwise(F.array(F.lit(0.5))))
     v = vacuity(F.col("all_"))
     found = found.withColumns({"m_": v["mean"], "sd_": v["sd"], "v_": v["vacuity"]})
+    slope, offset = (x if isinstance(x, Column) else F.lit(float(x)) for x in platt)
+    found = found.withColumn("c_", X.sigmoid(slope * X.logit("m_") + offset))
     ood = usable & (F.col(distance_percentile) >= OOD_PERCENTILE)
     return found.withColumns({
-        "p_fake": F.col("m_"), "llr": F.when(usable, X.logit("m_")).otherwise(F.lit(0.0)), "ensemble_sd": F.when(usable, F.col("sd_")).otherwise(F.lit(0.0)),
+        "p_fake": F.when(usable, F.col("c_")).otherwise(F.lit(0.5)), "llr": F.when(usable, X.logit("c_")).otherwise(F.lit(0.0)), "ensemble_sd": F.when(usable, F.col("sd_")).otherwise(F.lit(0.0)),
         "vacuity": F.when(~usable, F.lit(1.0)).when(ood, F.least(F.lit(1.0), F.greatest(F.col("v_"), F.lit(0.5) + F.lit(0.5) * (F.col(distance_percentile) - OOD_PERCENTILE) / F.lit(100.0 - OOD_PERCENTILE)))).otherwise(F.col("v_")), "ood_flag": ood,
         "reason_unavailable": F.when(~usable, F.coalesce(F.col(reason), F.lit("no members"))),
-    }).drop("all_", "m_", "sd_", "v_")
+    }).drop("all_", "m_", "sd_", "v_", "c_")
 
 
 def member_probabilities(z: Column, coefs: Column) -> Column:
@@ -176,7 +180,8 @@ def added(df: DataFrame, sums, key: str = "k") -> dict[int, np.ndarray]:
 
 
 def covariance(df: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and sample covariance of all rows, from sums of partitions: of x first, then of its deviations' products."""
+    """Mean and sample covariance of all rows, from sums of partitions: of x first, then of its deviations' products.
+    Empty without rows; a covariance of zeros with one."""
     rows = df.where(F.col(features).isNotNull()).select(F.col(features).cast("array<double>").alias("v"))
 
     def first(batches: Iterator[pd.DataFrame]) -> dict[int, np.ndarray]:
@@ -187,7 +192,10 @@ def covariance(df: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray]:
                 total = total + np.append(len(x), x.sum(0))
         return {0: total} if np.ndim(total) else {}
 
-    n, *total = added(rows, first)[0]
+    sums = added(rows, first)
+    if not sums:
+        return np.zeros(0), np.zeros((0, 0))
+    n, *total = sums[0]
     mean = np.array(total) / n
 
     def second(batches: Iterator[pd.DataFrame]) -> dict[int, np.ndarray]:
@@ -198,7 +206,7 @@ def covariance(df: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray]:
                 total += c.T @ c
         return {0: total.ravel()}
 
-    return mean, added(rows, second)[0].reshape(len(mean), -1) / (n - 1)
+    return mean, added(rows, second)[0].reshape(len(mean), -1) / max(n - 1, 1)
 
 
 def scaled(df: DataFrame, features: str, out: str) -> DataFrame:

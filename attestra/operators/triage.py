@@ -2,7 +2,7 @@
 
 Everything is a join on hashes. In the similarity join, hashes within d bits of each other differ
 by d // 4 bits at most in one of their four quarters, so an equi-join on the quarters and their
-neighbours loses no pair.
+neighbours loses no pair; crowded quarters are met by two.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import expressions as X
+from attestra.session import cut
 
 
 def exact_triage(clips: DataFrame, sha: str = "sha", seq: str = "seq") -> DataFrame:
@@ -50,13 +51,49 @@ def probes(h, bits: int):
     return F.flatten(F.transform(quarters(h), lambda q: F.transform(masks, lambda m: F.struct(q["part"].alias("part"), q["value"].bitwiseXOR(m).alias("value")))))
 
 
-def hamming_join(left: DataFrame, right: DataFrame, bits: int, left_id: str = "id", right_id: str = "other", h: str = "h") -> DataFrame:
-    """left_id, right_id, bits: pairs within ``bits`` bits. Columns: id and hash on each side. Keys are 16 bits wide,
-    so a key holds 1 / 65536 of evenly spread hashes; the left side asks for a key's neighbours as well."""
-    a = left.select(F.col(left_id), F.col(h).alias("ha"), F.explode(probes(F.col(h), bits)).alias("k"))
-    b = right.select(F.col(right_id), F.col(h).alias("hb"), F.explode(quarters(F.col(h))).alias("k"))
-    near = a.join(b, "k").where(X.hamming("ha", "hb") <= bits)
-    return near.select(left_id, right_id, X.hamming("ha", "hb").cast("long").alias("bits")).distinct()
+#: Distinct hashes of one quarter beyond which two quarters are asked for, and keys of a broadcast table.
+HEAVY, KEYS = 20_000, 50_000
+
+
+def hamming_distinct(left: DataFrame, right: DataFrame, bits: int, heavy: int = HEAVY) -> DataFrame:
+    """ha, hb, bits: pairs of distinct hashes (column h of each side, distinct in itself) within ``bits`` bits.
+
+    A key of one quarter holds 1 / 65536 of evenly spread hashes. Where one holds more than ``heavy`` on the right (blank
+    frames), a pair that meets in it agrees within bits // 3 bits in one of the other three quarters as well, so keys
+    of two quarters replace it: no pair is lost, and one value of a quarter is no longer one task."""
+    a = left.select(F.col("h").alias("ha"), F.explode(probes(F.col("h"), bits)).alias("k"))
+    b = right.select(F.col("h").alias("hb"), F.explode(quarters(F.col("h"))).alias("k"))
+    crowded = b.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("k")
+    crowded = cut(crowded, "crowded")
+    few = crowded.limit(KEYS + 1).count()
+    near = lambda met: met.where(X.hamming("ha", "hb") <= bits).select("ha", "hb", X.hamming("ha", "hb").cast("long").alias("bits"))
+    if not few:
+        return near(a.join(b, "k")).distinct()
+    names = F.broadcast(crowded) if few <= KEYS else crowded
+    light = a.join(names, "k", "left_anti").join(b.join(names, "k", "left_anti"), "k")
+    second = lambda side, h, other: side.join(names, "k").select(h, "k", F.explode(other).alias("k2")).where(F.col("k2.part") != F.col("k.part"))
+    wide = second(a, "ha", probes(F.col("ha"), bits // 3 * 4 + 3)).join(second(b, "hb", quarters(F.col("hb"))), ["k", "k2"])
+    return near(light).unionByName(near(wide)).distinct()
+
+
+def hamming_join(left: DataFrame, right: DataFrame, bits: int, left_id: str = "id", right_id: str = "other", h: str = "h", heavy: int = HEAVY) -> DataFrame:
+    """left_id, right_id, bits: pairs within ``bits`` bits. Columns: id and hash on each side. Distinct hashes are
+    compared once; their ids are joined to the pairs that are found. (Where equal hashes are many, so are their
+    pairs: see :func:`hamming_groups`.)"""
+    a, b = left.select(F.col(left_id), F.col(h).alias("ha")), right.select(F.col(right_id), F.col(h).alias("hb"))
+    pairs = hamming_distinct(a.select(F.col("ha").alias("h")).distinct(), b.select(F.col("hb").alias("h")).distinct(), bits, heavy)
+    return pairs.join(a, "ha").join(b, "hb").select(left_id, right_id, "bits").distinct()
+
+
+def hamming_groups(rows: DataFrame, bits: int, id_: str = "id", h: str = "h", heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+    """The same within one table without a row for each pair of copies: membership (id, representative: the least
+    id of its hash, and members) and pairs of representatives (low < high, bits)."""
+    groups = rows.where(F.col(h).isNotNull()).groupBy(F.col(h).alias("h")).agg(F.min(id_).alias("representative"), F.count("*").alias("members"))
+    groups = cut(groups, "groups")
+    membership = rows.select(F.col(id_), F.col(h).alias("h")).join(groups, "h").select(id_, "representative", "members")
+    pairs = hamming_distinct(groups.select("h"), groups.select("h"), bits, heavy).where("ha <> hb")
+    one, two = groups.select(F.col("h").alias("ha"), F.col("representative").alias("low")), groups.select(F.col("h").alias("hb"), F.col("representative").alias("high"))
+    return membership, pairs.join(one, "ha").join(two, "hb").where("low < high").select("low", "high", "bits")
 
 
 def top_candidates(pairs: DataFrame, left_id: str, right_id: str, k: int = 5) -> DataFrame:

@@ -39,7 +39,7 @@ def _(spark, d):
     return p.select("clip", F.round("peak", 6).alias("peak"), "lag", F.round("prominence", 6).alias("prominence"), F.round("at_zero", 6).alias("at_zero"))
 
 
-WIN = "k AS (SELECT clip, max(t) + 1 AS n FROM c GROUP BY clip), s AS (SELECT clip, unnest(range(0, greatest(1, n - 25 + 1), 6)) AS start FROM k WHERE n >= 25), v AS (SELECT s.clip, s.start, c.t, a, b FROM s JOIN c ON c.clip = s.clip AND c.t >= s.start AND c.t < s.start + 25)"
+WIN = "k AS (SELECT clip, max(t) + 1 AS n FROM c GROUP BY clip), s AS (SELECT clip, unnest(range(0, greatest(1, n - 25 + 1), 6)) AS start FROM k WHERE n >= 8), v AS (SELECT s.clip, s.start, c.t, a, b FROM s JOIN c ON c.clip = s.clip AND c.t >= s.start AND c.t < s.start + 25)"
 
 
 @query("hopping_windows", f"WITH {CURVES}, {WIN} SELECT clip, start, count(*) AS n, round(sum(a), 6) AS total FROM v GROUP BY clip, start")
@@ -51,8 +51,8 @@ LAGGED = f"{WIN}, wx AS (SELECT l.clip, l.start, lag, CASE WHEN count(*) < 4 OR
 
 
 def lagged(spark, d):
-    w = Q.hopping(curves(spark, d), "clip", "t", 25, 6).withColumn("key", F.struct("clip", "start"))
-    p = Q.peak(Q.cross_correlation(w, "key", "t", "a", "b", 4), "key")
+    w = Q.window_correlation(curves(spark, d), "clip", "t", "a", "b", 25, 6, 4)
+    p = Q.peak(w.withColumn("key", F.struct("clip", "start")), "key")
     return p.select("key.clip", "key.start", "lag", F.col("peak").alias("corr"))
 
 
@@ -72,7 +72,7 @@ def _(spark, d):
 
 
 @query("mutual_information", f"""WITH {CURVES}, r AS (SELECT clip, min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, count(*) AS n FROM c GROUP BY clip), q AS (SELECT c.clip, n, least(floor((a - a0) / (a1 - a0) * 8), 7) AS i, least(floor((b - b0) / (b1 - b0) * 8), 7) AS j FROM c JOIN r ON r.clip = c.clip),
- x AS (SELECT clip, i, j, max(n) AS n, count(*) AS k FROM q GROUP BY clip, i, j), y AS (SELECT *, sum(k) OVER (PARTITION BY clip, i) AS ki, sum(k) OVER (PARTITION BY clip, j) AS kj FROM x) SELECT clip, round(sum(k / n * ln(k * n / (ki * kj))), 6) AS mi FROM y GROUP BY clip""")
+ x AS (SELECT clip, i, j, max(n) AS n, count(*) AS k FROM q GROUP BY clip, i, j), y AS (SELECT *, sum(k) OVER (PARTITION BY clip, i) AS ki, sum(k) OVER (PARTITION BY clip, j) AS kj FROM x) SELECT clip, round(sum(k / n * log2(k * n / (ki * kj))), 6) AS mi FROM y GROUP BY clip""")
 def _(spark, d):
     return Q.mutual_information(curves(spark, d), "clip", "a", "b").select("clip", F.round("mi", 6).alias("mi"))
 

@@ -172,12 +172,12 @@ def _(spark, d):
 
 @query("branch_predict", """WITH m AS (SELECT vec_id, vec_id % 7 <> 0 AS ok, CAST(95 + vec_id % 6 AS DOUBLE) AS pct, list_concat(list_transform(embedding[1:15], lambda x: 1 / (1 + exp(-CAST(x AS DOUBLE) * 3))), CASE WHEN vec_id % 2 = 0 THEN [0.5::DOUBLE, 0.25::DOUBLE] ELSE [] END) AS p FROM embeddings),
  s AS (SELECT *, list_avg(p) AS mean, greatest(list_avg(list_transform(p, lambda x: x * x)) - list_avg(p) * list_avg(p), 1e-9) AS v FROM m), e AS (SELECT *, 2 / (least(60, greatest(0, mean * (1 - mean) / v - 1)) + 2) AS vac FROM s)
- SELECT vec_id, round(CASE WHEN ok THEN mean ELSE 0.5 END, 6) AS p_fake, round(CASE WHEN NOT ok THEN 1 WHEN pct >= 99 THEN least(1, greatest(vac, 0.5 + 0.5 * (pct - 99))) ELSE vac END, 6) AS vacuity, ok AND pct >= 99 AS ood_flag, CASE WHEN NOT ok THEN 'no track' END AS reason_unavailable FROM e""")
+ SELECT vec_id, round(CASE WHEN ok THEN 1 / (1 + exp(-(1.7 * ln(least(greatest(mean, 1e-6), 1 - 1e-6) / (1 - least(greatest(mean, 1e-6), 1 - 1e-6))) - 0.3))) ELSE 0.5 END, 6) AS p_fake, round(CASE WHEN NOT ok THEN 1 WHEN pct >= 99 THEN least(1, greatest(vac, 0.5 + 0.5 * (pct - 99))) ELSE vac END, 6) AS vacuity, ok AND pct >= 99 AS ood_flag, CASE WHEN NOT ok THEN 'no track' END AS reason_unavailable FROM e""")
 def _(spark, d):
     i = F.col("vec_id")
     members = F.transform(F.slice("embedding", 1, 15), lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x.cast("double") * 3)))
     rows = table(spark, d, "embeddings").select("vec_id", members.alias("members"), F.when(i % 2 == 0, F.array(F.lit(0.5), F.lit(0.25))).alias("extra"), (i % 6 + 95).cast("double").alias("pct"), (i % 7 != 0).alias("ok"), F.lit("no track").alias("why"))
-    p = models.predict(rows, "members", "extra", "pct", "ok", "why")
+    p = models.predict(rows, "members", "extra", "pct", "ok", "why", (1.7, -0.3))
     return p.select("vec_id", F.round("p_fake", 6).alias("p_fake"), F.round("vacuity", 6).alias("vacuity"), "ood_flag", "reason_unavailable")
 
 
@@ -193,6 +193,12 @@ def _(spark, d):
     return A.bootstrap_auc(audit_queries.scores(spark, d)).select("replicates", *[F.round(c, 6).alias(c) for c in ("low", "high", "auc")])
 
 
+@query("bootstrap_ci_grouped")
+def _(spark, d):
+    """Draws of a generator that SQL doesn't have; held against the interval of bootstrap_ci."""
+    return A.bootstrap_auc_grouped(audit_queries.scores(spark, d)).select("replicates", *[F.round(c, 6).alias(c) for c in ("low", "high", "auc")])
+
+
 @query("audited_tuple", f"""WITH {audit_queries.S}, {RESAMPLED}, {POINT}, th AS (SELECT quantile_cont(CAST(score AS DOUBLE), 0.999) AS t FROM s WHERE NOT label), re AS (SELECT avg(CAST(CAST(score AS DOUBLE) > t AS INTEGER)) AS recall FROM s, th WHERE label),
  eb AS (SELECT greatest(ceil(CAST(score AS DOUBLE) * 10), 1) AS bin, count(*) AS n, avg(CAST(score AS DOUBLE)) AS c, avg(CAST(label AS INTEGER)) AS a FROM s GROUP BY 1), ec AS (SELECT sum(n * abs(a - c)) / sum(n) AS ece FROM eb), ac AS (SELECT count(*) AS n, avg(CAST((score >= 0.5) = label AS INTEGER)) AS accuracy FROM s)
  SELECT 'surface' AS method, 'quality' AS task, n, round(auc, 6) AS auc, round(low, 6) AS low, round(high, 6) AS high, round(auc - 0.6, 6) AS margin, round(recall, 6) AS recall_at_fpr, round(ece, 6) AS ece, round(accuracy, 6) AS accuracy FROM ci, pt, re, ec, ac""")

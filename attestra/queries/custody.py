@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attestra.operators import custody as C
+from attestra.operators import merkle
+from attestra.operators.ledger import StoredLedger
 from attestra.queries.base import query
-from attestra.session import table
+from attestra.session import scratch, table
 
 LEAVES = "leaf AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS i, sha256('\\x00'::BLOB || encode(coalesce(text, ''))) AS h FROM conversations)"
 TREE = f"""WITH RECURSIVE {LEAVES}, t AS (SELECT conv_id, 0 AS lvl, i, h, count(*) OVER (PARTITION BY conv_id) AS n FROM leaf
@@ -15,19 +18,17 @@ TREE = f"""WITH RECURSIVE {LEAVES}, t AS (SELECT conv_id, 0 AS lvl, i, h, count(
 
 def leaves(spark, d):
     c = table(spark, d, "conversations")
-    one = F.array_sort(F.collect_list(F.struct("turn", C.leaf_hash(F.coalesce("text", F.lit(""))).alias("h"))))
-    return c.groupBy("conv_id").agg(F.transform(one, lambda x: x["h"]).alias("leaves"))
+    i = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return c.select("conv_id", i.cast("long").alias("i"), C.leaf_hash(F.coalesce("text", F.lit(""))).alias("h"))
 
 
 @query("merkle_roots", f"{TREE} SELECT conv_id, (SELECT count(*) FROM leaf l WHERE l.conv_id = t.conv_id) AS n_leaves, h AS root FROM t WHERE n = 1")
 def _(spark, d):
-    return leaves(spark, d).select("conv_id", F.size("leaves").cast("long").alias("n_leaves"), C.merkle_root("leaves").alias("root"))
+    return merkle.roots(leaves(spark, d), "conv_id", "i", "h")
 
 
 def proofs(spark, d):
-    lv = leaves(spark, d).withColumn("levels", C.merkle_levels("leaves"))
-    p = lv.select("conv_id", "levels", F.posexplode("leaves").alias("i", "leaf"))
-    return p.select("conv_id", "i", "leaf", C.inclusion_proof("levels", "i").alias("path"), F.get(F.element_at("levels", -1), F.lit(0)).alias("root"))
+    return merkle.proofs(leaves(spark, d), "conv_id", "i", "h")
 
 
 @query("merkle_proofs", f"""{TREE}, u AS (SELECT conv_id, lvl, i, h, n FROM t),
@@ -35,7 +36,7 @@ def proofs(spark, d):
   LEFT JOIN u v ON v.conv_id = l.conv_id AND v.lvl = u.lvl AND v.i = xor(l.i >> u.lvl, 1))
  SELECT l.conv_id, CAST(l.i AS INTEGER) AS i, coalesce(string_agg(side || ':' || s.h, ',' ORDER BY lvl), '') AS path FROM leaf l LEFT JOIN s ON s.conv_id = l.conv_id AND s.i = l.i GROUP BY l.conv_id, l.i""")
 def _(spark, d):
-    return proofs(spark, d).select("conv_id", "i", F.array_join(F.transform("path", lambda s: F.concat_ws(":", s["side"], s["hash"])), ",").alias("path"))
+    return proofs(spark, d).select("conv_id", F.col("i").cast("int").alias("i"), F.array_join(F.transform("path", lambda s: F.concat_ws(":", s["side"], s["hash"])), ",").alias("path"))
 
 
 @query("proof_verify", "SELECT conv_id, count(*) AS proofs, true AS all_valid, false AS altered_valid FROM conversations GROUP BY conv_id")
@@ -68,6 +69,17 @@ def _(spark, d):
     return ledger(spark, d).select("conv_id", "index", "prev_hash", "entry_hash")
 
 
+@query("ledger_appends", f"{CHAIN} SELECT conv_id, i AS index, prev_hash, h AS entry_hash FROM l")
+def _(spark, d):
+    """The same chains in a store, by four appends, each from the heads of the one before."""
+    c = table(spark, d, "conversations")
+    rows = c.select("conv_id", "turn", F.concat_ws(":", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("body"))
+    store = StoredLedger(spark, scratch(spark, "ledger"), "conv_id")
+    for part in ("turn < 2", "turn = 2", "turn > 2 AND turn < 5", "turn >= 5"):
+        store.append(rows.where(part), "turn", "body")
+    return store.read().select("conv_id", "index", "prev_hash", "entry_hash")
+
+
 @query("ledger_head", f"{CHAIN} SELECT conv_id, arg_max(h, i) AS head FROM l GROUP BY conv_id")
 def _(spark, d):
     return ledger(spark, d).groupBy("conv_id").agg(F.max_by("entry_hash", "index").alias("head"))
@@ -102,8 +114,6 @@ def _(spark, d):
 
 @query("event_log", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS seq, round(epoch(ts - min(ts) OVER (PARTITION BY user_id)), 3) AS elapsed FROM events")
 def _(spark, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     e = table(spark, d, "events").select("user_id", "event_id", micros.alias("us"))

@@ -86,6 +86,13 @@ def _(spark, d):
     return Q.self_similarity(c, "clip", "t", "v").select("clip", "pairs", F.round("mean_cos", 6).alias("mean_cos"), F.round("slope", 6).alias("slope"))
 
 
+@query("selfsim_entropy", f"""WITH {E}, c AS (SELECT vec_id // 40 AS clip, vec_id % 40 AS t, v FROM e), p AS (SELECT a.clip, least(floor((round(list_cosine_similarity(a.v, b.v), 12) + 1) * 8), 15) AS bin FROM c a JOIN c b ON a.clip = b.clip AND b.t - a.t >= 2),
+ g AS (SELECT clip, bin, count(*) AS n FROM p GROUP BY clip, bin), q AS (SELECT clip, n / sum(n) OVER (PARTITION BY clip) AS p FROM g) SELECT clip, round(sum(-p * log2(p)) / 4, 6) AS entropy FROM q GROUP BY clip""")
+def _(spark, d):
+    c = vec(spark, d).select(F.floor(F.col("vec_id") / 40).alias("clip"), (F.col("vec_id") % 40).alias("t"), "v")
+    return Q.similarity_entropy(c, "clip", "t", "v", block=16).select("clip", F.round("entropy", 6).alias("entropy"))
+
+
 @query("robust_spread", f"WITH {SERIES}, m AS (SELECT clip, median(x) AS med, stddev_pop(x) AS sd FROM s GROUP BY clip), q AS (SELECT s.clip, max(med) AS med, median(abs(x - med)) AS mad, max(sd) AS sd FROM s JOIN m ON m.clip = s.clip GROUP BY s.clip) SELECT clip, round(med, 6) AS median, round(CASE WHEN mad > 1e-12 THEN mad * 1.4826 ELSE sd END, 6) AS spread FROM q")
 def _(spark, d):
     return Q.robust_spread(series(spark, d), "clip", "x").select("clip", F.round("median", 6).alias("median"), F.round("spread", 6).alias("spread"))

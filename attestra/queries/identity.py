@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from attestra.functions import expressions as X
 from attestra.operators import triage
+from attestra.operators.quantiles import median
+from attestra.operators.registry import StoredRegistry
 from attestra.queries.base import query
-from attestra.session import table
+from attestra.session import scratch, table
+from attestra.streaming import registry_stream as triage_stream
 
 
 def _clips(spark, d):
@@ -53,7 +56,7 @@ def _(spark, d):
   SELECT action, count(*) AS n, round(avg(n_chars), 6) AS mean_chars, median(n_chars) AS median_chars FROM t GROUP BY action""")
 def _(spark, d):
     t = triage.stale_triage(_clips(spark, d), _registry(spark, d), "v2", "en")
-    return t.groupBy("action").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.median("n_chars").alias("median_chars"))
+    return t.groupBy("action").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars")).join(median(t, "n_chars", ["action"], "median_chars"), "action")
 
 
 @query("registry_count", "SELECT count(DISTINCT sha256(text)) AS n FROM documents")
@@ -66,6 +69,31 @@ def _(spark, d):
     return triage.upsert_latest(table(spark, d, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
 
 
+@query("registry_stored_upserts", """SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def _(spark, d):
+    """The latest event of each user, by upserts of thirds of the table into a stored registry, one of them twice."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    store = StoredRegistry(spark, scratch(spark, "registry"), e.schema, "user_id", "event_id", 16)
+    for third in (2, 0, 2, 1):
+        store.upsert(e.where(F.col("event_id") % 3 == third))
+    return store.read()
+
+
+@query("streaming_triage", """SELECT doc_id AS seq, sha256(text) AS sha, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_seq,
+  CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) THEN 'miss' ELSE 'exact_hit' END AS action FROM documents""")
+def _(spark, d):
+    """Documents arrive in four files, in order of doc_id; the stream ends after two and goes on from its checkpoint."""
+    clips = _clips(spark, d).select("sha", "seq")
+    cuts = clips.stat.approxQuantile("seq", [0.25, 0.5, 0.75], 0.01)
+    home = scratch(spark, "triage-stream")
+    part = sum(((F.col("seq") > c).cast("int") for c in cuts), F.lit(0))
+    for begin in (0, 2):
+        for i in (begin, begin + 1):
+            clips.where(part == i).coalesce(1).write.mode("append").parquet(f"{home}/in")
+        triage_stream.run_available(triage_stream.triage_stream(triage_stream.stream_of(spark, f"{home}/in", "sha string, seq long")), f"{home}/out", f"{home}/checkpoint")
+    return spark.read.schema(triage_stream.OUT).parquet(f"{home}/out").select("seq", "sha", "first_seq", "action")
+
+
 def _hashes(spark, d, digits=None):
     v = F.transform("embedding", lambda x: x.cast("double") if digits is None else F.round(x.cast("double"), digits))
     return table(spark, d, "embeddings").select("vec_id", "label", v.alias("v")).select("vec_id", "label", X.threshold_bits("v").alias("b"))
@@ -108,6 +136,17 @@ def _(spark, d):
     return _pairs(spark, d)
 
 
+@query("hamming_groups", f"""WITH {CODED}, g AS (SELECT u, min(vec_id) AS rep, count(*) AS members FROM c GROUP BY u),
+  p AS (SELECT a.rep AS low, b.rep AS high, CAST(bit_count(xor(CAST(a.u AS UBIGINT), CAST(b.u AS UBIGINT))) AS BIGINT) AS bits FROM g a JOIN g b ON a.rep < b.rep)
+  SELECT c.vec_id AS id, g.rep AS representative, g.members, (SELECT count(*) FROM p WHERE bits <= 6 AND (low = g.rep OR high = g.rep)) AS links FROM c JOIN g USING (u)""")
+def _(spark, d):
+    """Re-encoded hashes among themselves: each one's class of equal hashes, and the links of its representative."""
+    h = _hashes(spark, d, 1).select(F.col("vec_id").alias("id"), X.pack_bits("b").alias("h"))
+    membership, pairs = triage.hamming_groups(h, 6)
+    ends = pairs.select(F.explode(F.array("low", "high")).alias("representative")).groupBy("representative").agg(F.count("*").alias("links"))
+    return membership.join(ends, "representative", "left").select("id", "representative", "members", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 @query("similarity_candidates_top5", f"""{PAIRS_SQL} SELECT id, other, bits, rank FROM (SELECT id, other, bits,
   CAST(row_number() OVER (PARTITION BY id ORDER BY bits, other) AS INTEGER) AS rank FROM n) WHERE rank <= 5""")
 def _(spark, d):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attestra.operators import boxes
 from attestra.operators import provenance as P
 from attestra.queries.base import query
 from attestra.session import table
@@ -73,3 +74,37 @@ def _(spark, d):
 def _(spark, d):
     tags = F.create_map(F.lit("Title"), F.col("url"), F.when(F.col("page_id") % 2 == 0, "org.C2PA.manifest").otherwise("comment"), F.lit("x"))
     return table(spark, d, "pages").select("page_id", F.lower("html").contains("<meta").alias("has_meta"), (F.size(P.observed_metadata(tags)) > 0).alias("has_manifest"))
+
+
+# Embedded manifests
+
+
+def _box(kind, *parts):
+    body = F.concat(*parts)
+    return F.concat(F.unhex(F.lpad(F.hex((F.length(body) + 8).cast("long")), 8, "0")), F.lit(kind).cast("binary"), body)
+
+
+def _holder(label, *parts):
+    about = F.concat(F.unhex(F.lit("00" * 16 + "03")), F.lit(label).cast("binary") if isinstance(label, str) else label.cast("binary"), F.unhex(F.lit("00")))
+    return _box("jumb", _box("jumd", about), *parts)
+
+
+@query("manifest_contents", """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'absent' WHEN page_id % 5 = 0 THEN 'invalid' ELSE 'present' END AS status, CASE WHEN page_id % 7 = 0 OR page_id % 5 = 0 THEN NULL ELSE 1 + page_id % 2 END AS manifests,
+ CASE WHEN page_id % 7 = 0 OR page_id % 5 = 0 THEN NULL ELSE url END AS title, CASE WHEN page_id % 7 = 0 OR page_id % 5 = 0 THEN NULL ELSE 2 END AS n_assertions,
+ CASE WHEN page_id % 7 = 0 OR page_id % 5 = 0 THEN NULL WHEN page_id % 4 = 0 THEN true WHEN page_id % 4 = 1 THEN false END AS claims_ai FROM pages""")
+def _(spark, d):
+    """Boxes made of the pages: every other one has an older manifest as well, a fifth is cut off, a seventh holds none."""
+    i = F.col("page_id")
+    json_ = lambda *c: _box("json", F.to_json(F.struct(*c)).cast("binary"))
+    source = F.when(i % 4 == 0, "http://cv/trainedAlgorithmicMedia").when(i % 4 == 1, "http://cv/digitalCapture").otherwise("http://cv/other")
+
+    def manifest(name, title, kind):
+        actions = _holder(boxes.ACTIONS, json_(F.array(F.struct(F.lit("created").alias("action"), kind.alias("digitalSourceType"))).alias("actions")))
+        claim = _holder(boxes.CLAIM, json_(F.lit("made here").alias("claim_generator"), title.alias("title")))
+        return _holder(name, _holder(boxes.ASSERTIONS, _holder("thumbnail", _box("bidb", F.col("html").cast("binary"))), actions), claim)
+
+    older = F.when(i % 2 == 1, manifest("older", F.lit("an older title"), F.lit("http://cv/algorithmicMedia"))).otherwise(F.lit(b""))
+    store = _holder(boxes.STORE, older, manifest("active", F.col("url"), source))
+    content = F.when(i % 7 == 0, F.lit(b"")).when(i % 5 == 0, F.expr("substring(store, 1, length(store) - 7)")).otherwise(F.col("store"))
+    pages = table(spark, d, "pages").withColumn("store", store).select("page_id", content.alias("content"))
+    return boxes.read_manifests(pages, "page_id", "content").select("page_id", "status", "manifests", "title", F.col("n_assertions").cast("int").alias("n_assertions"), "claims_ai")

@@ -9,6 +9,8 @@ from attestra.operators import custody, seal
 from attestra.queries.base import query
 from attestra.session import scratch, table
 from attestra.sources import files, text
+from attestra.sources.packed import Packed
+from attestra.sources.remote_zip import register
 
 
 @query("model_round_trip", "SELECT label AS branch, round(avg(embedding[1]), 6) AS first, count(*) AS n_train FROM embeddings GROUP BY label")
@@ -47,6 +49,17 @@ def _(spark, d):
     return back.select("id", F.from_json("value", "record_id string, canonical_sha256 string").alias("r")).select("r.record_id", "r.canonical_sha256")
 
 
+@query("custody_archives", "SELECT 'r' || item_id AS record_id, sha256(text) AS canonical_sha256 FROM benchmark")
+def _(spark, d):
+    """The same records, packed into an archive a task and committed as a whole."""
+    path = scratch(spark, "archives")
+    rows = table(spark, d, "benchmark").select(F.concat(F.lit("r"), "item_id").alias("record_id"), F.sha2("text", 256).alias("canonical_sha256"))
+    register(spark, Packed)
+    sinks.pack_records(rows, path)
+    back = spark.read.format("packed").load(path)
+    return back.select(F.from_json(F.col("content").cast("string"), "record_id string, canonical_sha256 string").alias("r")).select("r.record_id", "r.canonical_sha256")
+
+
 @query("table_cells_csv", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN abs(c_acctbal) < 1000 THEN printf('%.4f', c_acctbal) ELSE printf('%.1f', round(c_acctbal, 1)) END AS c_acctbal FROM customer")
 def _(spark, d):
     path = scratch(spark, "table")

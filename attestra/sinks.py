@@ -18,6 +18,12 @@ def write_records(df: DataFrame, path: str, key: str = "record_id") -> None:
     df.select(F.col(key).alias("id"), body.alias("value")).write.mode("overwrite").partitionBy("id").text(path)
 
 
+def pack_records(df: DataFrame, path: str, key: str = "record_id", mode: str = "append") -> None:
+    """The same records in archives, one a task, which appear together when the write commits (data source ``packed``)."""
+    body = F.to_json(F.struct(*[c for c in df.columns]), {"pretty": "true", "ignoreNullFields": "false"})
+    df.select(F.concat(F.col(key).cast("string"), F.lit("/record.json")).alias("name"), body.cast("binary").alias("content")).write.format("packed").mode(mode).save(path)
+
+
 def cells(df: DataFrame) -> list[Column]:
     """Columns as text: numbers by the rules of evidence.format_cell."""
     return [evidence.format_cell(F.col(c)).alias(c) if t in ("double", "float") else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c, t in df.dtypes]

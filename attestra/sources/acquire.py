@@ -14,27 +14,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.operators import acquisition, corpus
-from attestra.sources import files
+from attestra.sources import attempts, files
 from attestra.sources.remote_zip import RangeFile
 
 ATTEMPTS = "archive string, member string, status string, bytes long, sha256 string, result string, reason string"
 
 
-def select_members(index: DataFrame, done: DataFrame, stratum: str, per: int, most_bytes: int, extensions: list[str] | None = None) -> DataFrame:
+def select_members(index: DataFrame, done: DataFrame, stratum: str, per: int, most_bytes: int, extensions: list[str] | None = None, match: DataFrame | None = None, on: str | None = None) -> DataFrame:
     """index: archive, member, size and a stratum. Usable members by quota in hash order, without those in ``done``
-    (archive, member): what an earlier run has counts toward the quota."""
+    (archive, member): what an earlier run has counts toward the quota. With ``match``, members whose ``on`` it has
+    (the same scene or speaker as what is picked already) fill the quota first."""
     usable = index.where(corpus.usable_file(F.col("member"), F.col("size"), most_bytes, extensions))
-    picked = acquisition.quota(usable, stratum, acquisition.hash_key("archive", "member"), per)
+    key = acquisition.hash_key("archive", "member")
+    if match is not None:
+        usable = acquisition.match_first(usable, match, on)
+        key = F.concat(F.col("priority").cast("string"), key)
+    picked = acquisition.quota(usable, stratum, key, per)
     return picked.join(done.select("archive", "member"), ["archive", "member"], "left_anti")
 
 
-def fetch_remote(wanted: DataFrame, sink: Callable[[str, str, bytes], str], tasks: int = 8) -> DataFrame:
+def fetch_remote(wanted: DataFrame, sink: Callable[[str, str, bytes], str], tasks: int = 8, log: str | None = None) -> DataFrame:
     """wanted: archive (URL), member. Reads each member by ranges, one handle an archive and task, and passes it to
-    sink(archive, member, data) where it was read; an attempt row for each, with the reason where it failed."""
+    sink(archive, member, data) where it was read; an attempt row for each, with the reason where it failed. With
+    ``log`` (a shared folder) tasks flush their attempts as they go, so that a run that ends early can be resumed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
+        names = [c.split()[0] for c in ATTEMPTS.split(", ")]
+        part = attempts.LogPart(log) if log else None
         handles: dict[str, zipfile.ZipFile | Exception] = {}
         for b in batches:
             out = []
@@ -51,12 +59,24 @@ def fetch_remote(wanted: DataFrame, sink: Callable[[str, str, bytes], str], task
                     out.append((url, member, "ok", len(data), hashlib.sha256(data).hexdigest(), str(sink(url, member, data)), None))
                 except Exception as e:  # kept as a row
                     out.append((url, member, "fail", 0, None, None, f"{type(e).__name__}: {e}"[:120]))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ATTEMPTS.split(", ")])
+                if part is not None:
+                    part.add(dict(zip(names, out[-1], strict=True)))
+            yield pd.DataFrame(out, columns=names)
+        if part is not None:
+            part.flush()
 
     # One archive's members near each other: fewer handles, and blocks that are read once.
     return wanted.select("archive", "member").repartitionByRange(tasks, "archive", "member").sortWithinPartitions("archive", "member").mapInPandas(run, ATTEMPTS)
 
 
+def resume(wanted: DataFrame, listing: DataFrame, log: str) -> tuple[DataFrame, DataFrame]:
+    """What is done (attempt rows of the log, and files of the listing that it lacks) and the rest of ``wanted``
+    (archive, member, place: the end of a fetched file's path). Failed attempts are tried again."""
+    done = attempts.done(attempts.read_log(wanted.sparkSession, log, ATTEMPTS), attempts.on_disk(wanted, listing))
+    done = done.join(wanted.select("archive", "member"), ["archive", "member"], "left_semi")
+    return done, wanted.join(done.select("archive", "member"), ["archive", "member"], "left_anti")
+
+
 def fetch_local(wanted: DataFrame, archives: DataFrame, sink: Callable[[str, str, bytes], str]) -> DataFrame:
     """As fetch_remote, from archives (archive, content) that Spark has read."""
     got = files.extract(archives, wanted)

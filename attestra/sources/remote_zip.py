@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import http.client
 import io
+import operator
 import time
 import urllib.error
 import urllib.parse
@@ -18,7 +19,8 @@ import zipfile
 from collections import OrderedDict
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
 
 BLOCK, CACHED_BLOCKS, DIRECT_BLOCKS, RETRIES, LONGEST_WAIT = 512 << 10, 16, 4, 4, 8.0
 
@@ -120,20 +122,42 @@ class RangeFile(io.RawIOBase):
         return len(data)
 
 
+#: Filters that a directory entry answers.
+TESTS = {
+    EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le,
+    In: lambda x, values: x in values, StringStartsWith: lambda x, v: x.startswith(v), StringEndsWith: lambda x, v: x.endswith(v), StringContains: lambda x, v: v in x,
+}
+
+
 @dataclass
 class Members(InputPartition):
     names: list[str]
 
 
 class RemoteZipReader(DataSourceReader):
+    """Filters on name and size are answered by the archive's directory: members that they exclude are never fetched."""
+
     def __init__(self, options: dict):
+        self.tests: list = []
         self.url, self.block = options["url"], int(options.get("block", BLOCK))
         self.per = int(options.get("membersPerPartition", 64))
         self.prefix, self.suffix = options.get("prefix", ""), options.get("suffix", "")
 
+    def pushFilters(self, filters: list[Filter]):
+        for f in filters:
+            test = TESTS.get(type(f))
+            if test is not None and f.attribute in (("name",), ("size",)):
+                self.tests.append((f.attribute[0], test, f.value))
+            else:
+                yield f
+
+    def _wanted(self, info: zipfile.ZipInfo) -> bool:
+        own = {"name": info.filename, "size": info.file_size}
+        return not info.is_dir() and info.filename.startswith(self.prefix) and info.filename.endswith(self.suffix) and all(test(own[c], v) for c, test, v in self.tests)
+
     def partitions(self) -> list[Members]:
         with zipfile.ZipFile(RangeFile(self.url, self.block)) as z:
-            found = sorted((i.header_offset, i.filename) for i in z.infolist() if not i.is_dir() and i.filename.startswith(self.prefix) and i.filename.endswith(self.suffix))
+            found = sorted((i.header_offset, i.filename) for i in z.infolist() if self._wanted(i))
         names = [n for _, n in found]
         return [Members(names[i : i + self.per]) for i in range(0, len(names), self.per)] or [Members([])]
 
@@ -156,3 +180,10 @@ class RemoteZip(DataSource):
 
     def reader(self, schema) -> RemoteZipReader:
         return RemoteZipReader(self.options)
+
+
+def register(spark: SparkSession, *sources: type[DataSource]) -> None:
+    """Registers data sources (this one by default) and lets them answer filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for source in sources or (RemoteZip,):
+        spark.dataSource.register(source)

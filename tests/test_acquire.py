@@ -104,3 +104,89 @@ def test_directory_manifest(spark, tmp_path):
     rows = m.collect()
     assert len(rows) == 8 and {(r.condition, r.label_video) for r in rows} == {("RealVideo-RealAudio", "real"), ("FakeVideo-RealAudio", "fake")}
     assert sum(r.split == "train" for r in rows) == 4 and all(len(r.sha256) == 64 for r in rows)
+
+
+# Runs that end early
+
+
+def test_run_broken_off_is_resumed(spark, tmp_path):
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        for i in range(100):
+            f.writestr(f"v/clip{i:03d}.mp4", bytes([i]) * 500)
+    before, Kept.data = Kept.data, z.getvalue()
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Kept)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, media, log = f"http://127.0.0.1:{server.server_port}/b.zip", tmp_path / "media", str(tmp_path / "log")
+    media.mkdir()
+    out = str(media)
+    try:
+        wanted = spark.createDataFrame([(url, f"v/clip{i:03d}.mp4", f"clip{i:03d}.mp4") for i in range(100)], "archive string, member string, place string")
+        listing = lambda: spark.createDataFrame([(str(p), p.stat().st_size) for p in media.iterdir()] or [("", 0)], "path string, length long")
+
+        def sink(last):
+            def put(archive, member, data):
+                import os
+
+                if len(os.listdir(out)) == last:
+                    raise KeyboardInterrupt("broken off")
+                with open(f"{out}/{member[2:]}", "wb") as f:
+                    f.write(data)
+                return member[2:]
+
+            return put
+
+        with pytest.raises(Exception):  # noqa: B017
+            acquire.fetch_remote(wanted, sink(40), 1, log).collect()
+        assert len(list(media.iterdir())) == 40
+        (tmp_path / "log" / "attempts-spoiled.json").write_text('{"archive": "x", "mem\n{"archive": 3')
+        done, rest = acquire.resume(wanted, listing(), log)
+        kinds = [r.reason for r in done.collect()]
+        assert len(kinds) == 40 and kinds.count("resumed_from_disk") == 15 and rest.count() == 60  # 25 by the log
+        assert {r.status for r in acquire.fetch_remote(rest, sink(-1), 2, log).collect()} == {"ok"}
+        done, rest = acquire.resume(wanted, listing(), log)
+        assert done.count() == 100 and rest.count() == 0 and len(list(media.iterdir())) == 100
+        (media / "clip000.mp4").write_bytes(b"")
+        lost = acquire.resume(wanted, listing(), str(tmp_path / "nowhere"))
+        assert lost[0].count() == 99 and [r.place for r in lost[1].collect()] == ["clip000.mp4"]
+    finally:
+        server.shutdown()
+        Kept.data = before
+
+
+def test_filters_are_answered_by_the_directory(spark, archive):
+    remote_zip.register(spark)
+    read = lambda: spark.read.format("remote_zip").option("url", archive).option("block", 512).option("membersPerPartition", 2).load()
+    few = read().where("size > 1008 AND name LIKE 'gen0/%'").where("name LIKE '%.mp4'")
+    assert sorted(r.name for r in few.collect()) == ["gen0/clip10.mp4"]
+    assert few.rdd.getNumPartitions() == 1 and read().rdd.getNumPartitions() == 7
+    assert sorted(r.name for r in read().where("name IN ('gen0/clip00.mp4', 'none') OR size = 1003").collect()) == ["gen0/clip00.mp4", "gen1/clip03.mp4"]  # not pushed: still right
+    assert read().where("name = 'gen0/clip02.mp4'").select(remote_zip_length()).first()[0] == 1002
+
+
+def remote_zip_length():
+    from pyspark.sql import functions as F
+
+    return F.length("content")
+
+
+def test_archives_are_written_whole_or_not_at_all(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from attestra.sources import packed
+
+    remote_zip.register(spark, packed.Packed)
+    path = f"file://{tmp_path}/out"
+    rows = spark.range(50).repartition(4).select(F.format_string("r%02d/record.json", "id").alias("name"), F.col("id").cast("string").cast("binary").alias("content"))
+    read = lambda: spark.read.format("packed").load(path)
+    assert read().count() == 0
+    rows.write.format("packed").mode("append").save(path)
+    assert len(list((tmp_path / "out").glob("part-*.zip"))) == 4 and read().count() == 50
+    assert {(r.name, bytes(r.content)) for r in read().where("name LIKE 'r1%'").collect()} == {(f"r{i}/record.json", str(i).encode()) for i in range(10, 20)}
+    assert read().where("name = 'r07/record.json'").rdd.getNumPartitions() == 1
+    bad = rows.unionByName(rows.limit(1).withColumn("name", F.lit(None).cast("string")))
+    with pytest.raises(Exception, match="a record needs a name"):
+        bad.write.format("packed").mode("append").save(path)
+    assert len(list((tmp_path / "out").glob("manifest-*"))) == 1 and read().count() == 50
+    rows.limit(3).write.format("packed").mode("overwrite").save(path)
+    assert read().count() == 3
