@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from attestra.kernels.dsp import band, dct_matrix, entropy, frames, moving_mean, ratio, safe, stft, triangles
+from attestra.kernels.dsp import band, dct_matrix, entropy, frames, ratio, safe, stft, triangles
 
 #: Feature names in order.
 SCALARS = (
@@ -61,10 +61,11 @@ def features(x: np.ndarray, rate: int = 16000) -> dict[str, float] | None:
     use = freq > 50
     octave = np.log2(freq[use] / 50)
     f["spectral_slope"] = np.polyfit(octave, db[use], 1)[0]
-    f["highband_ratio_6k"], f["highband_ratio_7k"] = (ratio(mean[freq >= c].sum(), mean.sum()) for c in (6000, 7000))
-    drop = np.diff(moving_mean(db, 5))
-    drop[freq[1:] <= 3000] = 0
-    f["band_cliff_score"], f["band_cliff_freq"] = -drop.min(), freq[1:][drop.argmin()]
+    f["highband_ratio_6k"], f["highband_ratio_7k"] = (ratio(mean[freq > c].sum(), mean.sum()) for c in (6000, 7000))
+    high = freq > 3000  # cut first, then smoothed: what lies below doesn't leak in
+    if high.sum() > 10:
+        drop = np.diff(np.convolve(db[high], np.full(5, 0.2), "same"))
+        f["band_cliff_score"], f["band_cliff_freq"] = -drop.min(), freq[high][drop.argmin()]
     p = mean / mean.sum()
     f["spectral_entropy"] = entropy(p) / np.log2(max((p > 0).sum(), 2))
 
@@ -94,7 +95,7 @@ def features(x: np.ndarray, rate: int = 16000) -> dict[str, float] | None:
                 jit.append(ratio(np.abs(np.diff(period)).mean(), period.mean()))
                 shim.append(ratio(np.abs(np.diff(amp[a:z])).mean(), amp[a:z].mean()))
         f["jitter_local"], f["shimmer_local"] = (np.mean(v) if v else 0.0 for v in (jit, shim))
-        q = periodic[voiced].clip(1e-4, 1 - 1e-4)
+        q = periodic[voiced].clip(1e-6, 1 - 1e-6)
         f["hnr_db"] = 10 * np.log10((q / (1 - q)).mean())
         # Share of the long-term spectrum within a bin of the harmonics of the mean pitch.
         last = len(mean) - 1
@@ -102,23 +103,25 @@ def features(x: np.ndarray, rate: int = 16000) -> dict[str, float] | None:
         near = np.unique(np.clip(place[:, None] + [-1, 0, 1], 0, last))
         f["harmonic_energy_ratio"] = ratio(mean[near].sum(), mean.sum())
 
-    level = 10 * np.log10((frames(x, size, hop) ** 2).mean(1) + 1e-12)
+    level = 10 * np.log10(total / power.shape[1] + 1e-12)
     f["silence_floor_db"] = np.percentile(level, 5)
     f["near_zero_sample_fraction"] = (np.abs(x) < 1e-4).mean()
-    n = min(len(level), len(flat))
-    quiet = level[:n] <= np.percentile(level, 15)
-    f["silence_flatness"] = flat[:n][quiet].mean() if quiet.sum() > 2 else 0.0
+    quiet = level <= np.percentile(level, 15)
+    if quiet.sum() > 2:
+        f["silence_flatness"] = (np.exp(np.log(mag[quiet] + 1e-10).mean(1)) / (mag[quiet].mean(1) + 1e-12)).mean()
     env = np.sqrt(total)
     if len(env) > 16:
-        m = np.abs(np.fft.rfft((env - env.mean()) * np.hanning(len(env)))) ** 2
+        m = np.abs(np.fft.rfft((env - env.mean()) * np.hanning(len(env))))
         mf = np.fft.rfftfreq(len(env), hop / rate)
-        f["modulation_4_8hz"] = ratio(m[(mf >= 4) & (mf <= 8)].sum(), m[1:].sum())
-        f["modulation_peak_freq"] = mf[1:][m[1:].argmax()]
+        slow = (mf > 0.5) & (mf < 20)
+        if slow.any():
+            f["modulation_4_8hz"] = ratio(m[(mf >= 4) & (mf <= 8)].sum(), m[slow].sum())
+            f["modulation_peak_freq"] = mf[slow][m[slow].argmax()]
     f["energy_entropy"] = entropy(total / total.sum()) / np.log2(max(len(total), 2))
     fr = frames(x, size, hop)
     zcr = (np.diff(np.sign(fr), axis=1) != 0).mean(1)
     f["zcr_mean"], f["zcr_std"] = zcr.mean(), zcr.std()
-    unit = mag / (np.linalg.norm(mag, axis=1, keepdims=True) + 1e-12)
+    unit = mag / (mag.sum(1, keepdims=True) + 1e-12)
     flux = np.linalg.norm(np.diff(unit, axis=0), axis=1)
     if len(flux):
         f["spectral_flux_mean"], f["spectral_flux_std"] = flux.mean(), flux.std()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 from attestra.kernels.dsp import band, envelope, gaussian, moving_mean, ratio
@@ -161,11 +163,15 @@ def quick_sound(x: np.ndarray | None, rate: int) -> dict[str, float]:
     return {k: float(np.nan_to_num(v, nan=0.0, posinf=0.0, neginf=0.0)) for k, v in zip(SOUND, values, strict=True)}
 
 
-def talking_clip(seed: int, shift_ms: float = 0.0, seconds: float = 3.0, side: int = 48, fps: int = 25, rate: int = 16000) -> tuple[np.ndarray, np.ndarray]:
-    """A face-like patch whose mouth opens with the loudness of a voiced tone; audio is late by shift_ms."""
+def talking_clip(seed: int, shift_ms: float = 0.0, seconds: float = 3.0, side: int = 48, fps: int = 25, rate: int = 16000, content: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A face-like patch whose mouth opens with the loudness of a voiced tone; audio is late by shift_ms. With ``content``
+    the loudness follows its bytes, all of them: a digest of each of as many stretches as there are knots."""
     rng = np.random.default_rng(seed)
     n, m = int(seconds * fps), int(seconds * rate)
     knots = rng.random(int(seconds * 8) + 2)
+    if content is not None:
+        cuts = np.linspace(0, len(content), len(knots) + 1).astype(int)
+        knots = np.array([zlib.crc32(content[a:z], i) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]) / 2.0**32
     drive = lambda t: np.interp(t, np.arange(len(knots)) / 8, knots) ** 2
     t = np.arange(m) / rate
     pitch = 120 + 40 * rng.random()

@@ -37,13 +37,18 @@ def video_hashes(frames: np.ndarray, most: int = 32) -> list[int]:
 
 
 def audio_hashes(x: np.ndarray, segments: int = 16, bands: int = 64, least: int = 256) -> list[int]:
-    n = min(segments, len(x) // least)
+    """A hash a segment; fewer segments where they would be shorter than ``least``, and none under 64 samples."""
+    n = max(1, min(segments, len(x) // least)) if len(x) else 0
+    ends = np.linspace(0, len(x), n + 1).astype(int) if n else []
     out = []
-    for part in np.array_split(x.astype(float), n) if n else []:
+    for a, z in zip(ends[:-1], ends[1:], strict=True):
+        part = x[a:z].astype(float)
+        if len(part) < 64:
+            continue
         mag = np.abs(np.fft.rfft(part * np.hanning(len(part))))
-        edge = np.unique(np.geomspace(1, len(mag), bands + 1).astype(int))
+        edge = np.unique(np.geomspace(1, max(2, len(mag) - 1), bands + 1).astype(int))
         if len(edge) < bands + 1:
-            edge = np.linspace(1, len(mag), bands + 1).astype(int)
-        level = np.array([mag[a : max(z, a + 1)].mean() if a < len(mag) else 0.0 for a, z in zip(edge[:-1], edge[1:], strict=True)])
+            edge = np.linspace(1, len(mag) - 1, bands + 1).astype(int)
+        level = np.array([mag[lo : max(hi, lo + 1)].mean() for lo, hi in zip(edge[:-1], edge[1:], strict=True)])
         out.append(bits_to_hash(dct_matrix(bands) @ np.log1p(level)))
     return out

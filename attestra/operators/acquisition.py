@@ -77,9 +77,19 @@ def scenario(u: Column) -> Column:
     return out.otherwise(SCENARIOS[-1][0])
 
 
-def plan_corpus(spark, per_class: int, seed: int, variant: str = "base") -> DataFrame:
-    """clip_id, label, seed and split of a balanced corpus over the four cells."""
-    cells = spark.createDataFrame([(0, "RR"), (1, "FR"), (2, "RF"), (3, "FF")], "c int, label string")
-    n = spark.range(per_class).withColumnRenamed("id", "i").crossJoin(F.broadcast(cells)).withColumn("counter", F.col("c") * per_class + F.col("i"))
-    rows = n.select(F.format_string(f"{variant}_%s_%05d", "label", "i").alias("clip_id"), "label", (F.lit(seed * 1000003) + F.col("counter")).alias("seed"))
+#: The four cells of a balanced corpus (real or fake video, real or fake audio).
+CELLS = ["RR", "FR", "RF", "FF"]
+
+
+def plan_clips(base: DataFrame, key: str, seed: int, variant: str = "base") -> DataFrame:
+    """clip_id, label, seed and split: each base row (a distinct number ``key``) is planned once in each of the four cells."""
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(name).alias("label")) for i, name in enumerate(CELLS)])
+    rows = base.select(F.col(key).cast("long").alias("i"), F.explode(cells).alias("x"))
+    rows = rows.select(F.format_string(f"{variant}_%s_%05d", "x.label", "i").alias("clip_id"), "x.label", (F.lit(seed * 1000003) + F.col("i") * len(CELLS) + F.col("x.c")).alias("seed"))
     return assign_splits(rows, "label", hash_key("clip_id"), [("train", 0.60), ("val", 0.15), ("test", 0.25)])
+
+
+def gate(sources: DataFrame, gates: DataFrame, on: str) -> DataFrame:
+    """Adds status and reason: sources that ``gates`` (on, reason) names are skipped before anything is fetched."""
+    named = gates.groupBy(on).agg(F.min("reason").alias("reason"))
+    return sources.join(named, on, "left").withColumn("status", F.when(F.col("reason").isNull(), "fetch").otherwise("skip"))

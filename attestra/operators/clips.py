@@ -7,6 +7,7 @@ available = false and a reason, never a negative finding.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +43,22 @@ def generate(spark: SparkSession, n: int, partitions: int = 8, shift_ms: float =
     return spark.range(0, n, 1, min(partitions, max(n, 1))).mapInPandas(run, CLIP)
 
 
+def from_texts(rows: DataFrame, key: str, text: str, shift_ms: float = 0.0) -> DataFrame:
+    """A talking clip for each row, whose voice and mouth follow the bytes of its text; null texts have no tracks.
+    A stand-in for media where a table has none: what the kernels see comes from the rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, content in zip(b["clip_id"], b["content"], strict=True):
+                if content is None:
+                    yield pd.DataFrame({"clip_id": [i], "frames": [None], "shape": [None], "fps": [25.0], "audio": [None], "sample_rate": [16000]})
+                    continue
+                f, x = av.talking_clip(zlib.crc32(content), shift_ms, content=content)
+                yield pd.DataFrame({"clip_id": [i], "frames": [f.tobytes()], "shape": [list(f.shape)], "fps": [25.0], "audio": [x.tobytes()], "sample_rate": [16000]})
+
+    return rows.select(F.col(key).cast("long").alias("clip_id"), F.col(text).cast("binary").alias("content")).mapInPandas(run, CLIP)
+
+
 def manipulated(clips: DataFrame) -> DataFrame:
     """clips with video_ops, audio_ops (arrays of names), desync_ms and seed: the clips as manipulated, and ``error``
     where an operation failed; such a clip keeps its tracks as they were."""

@@ -107,3 +107,14 @@ def result(rows: DataFrame) -> DataFrame:
     caveats = F.concat(F.array(F.lit("Scores are calibrated on the training corpus only.")), F.coalesce("caveats", F.array().cast("array<string>")))
     line = F.format_string("%s: %s (p=%.3f, vacuity=%.3f)%s", F.col("clip_id").cast("string"), "verdict", "top_p", "vacuity", F.when(F.col("deferred"), " deferred").otherwise(""))
     return rows.withColumn("caveats", caveats).withColumn("summary", line)
+
+
+def chunk_leaves(df: DataFrame, key: str, content: str, track: str, size: int) -> DataFrame:
+    """key, i, leaf: the leaf hash of each chunk of ``size`` bytes of a track, over its kind, place and length as well.
+    Null and empty contents have no chunks."""
+    body = F.col(content).cast("binary")
+    n = F.octet_length(body)
+    pieces = df.select(key, body.alias("body_"), n.alias("n_")).where("n_ > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_") - 1) / size).cast("int"))))
+    head = F.concat_ws("|", F.lit(track), F.lit(str(size)), F.col("i").cast("string"), F.least(F.lit(size), F.col("n_") - F.col("i") * size).cast("string"))
+    leaf = F.sha2(F.concat(F.unhex(F.lit("00")), head.cast("binary"), F.expr(f"substring(body_, i * {size} + 1, {size})")), 256)
+    return pieces.select(key, F.col("i").cast("long").alias("i"), leaf.alias("leaf"))

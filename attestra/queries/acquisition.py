@@ -61,11 +61,11 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", Q.scenario(Q.unit(Q.hash_key("doc_id"))).alias("scenario"))
 
 
-@query("corpus_plan", """WITH r AS (SELECT c, label, i, 'base_' || label || '_' || lpad(CAST(i AS VARCHAR), 5, '0') AS clip_id FROM (VALUES (0, 'RR'), (1, 'FR'), (2, 'RF'), (3, 'FF')) t(c, label), (SELECT unnest(range(0, 50)) AS i) x),
+@query("corpus_plan", """WITH r AS (SELECT c, label, doc_id, 'base_' || label || '_' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(5, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS clip_id FROM documents, (VALUES (0, 'RR'), (1, 'FR'), (2, 'RF'), (3, 'FF')) t(c, label)),
  k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('|' || clip_id)) AS p, count(*) OVER (PARTITION BY label) AS n FROM r)
- SELECT clip_id, label, CAST(7 * 1000003 + c * 50 + i AS BIGINT) AS seed, CASE WHEN p <= floor(n * 0.6::DOUBLE) THEN 'train' WHEN p <= floor(n * 0.75::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM k""")
+ SELECT clip_id, label, CAST(7 * 1000003 + doc_id * 4 + c AS BIGINT) AS seed, CASE WHEN p <= floor(n * 0.6::DOUBLE) THEN 'train' WHEN p <= floor(n * 0.75::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM k""")
 def _(spark, d):
-    return Q.plan_corpus(spark, 50, 7)
+    return Q.plan_clips(table(spark, d, "documents"), "doc_id", 7)
 
 
 @query("path_labels", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'FakeVideo-RealAudio' ELSE 'RealVideo-FakeAudio' END AS condition, 'id' || page_id AS subject, CASE WHEN page_id % 2 = 0 THEN 'fake' ELSE 'real' END AS label_video, CASE WHEN page_id % 2 = 0 THEN 'real' ELSE 'fake' END AS label_audio FROM pages")
@@ -84,9 +84,14 @@ def _(spark, d):
     return p.select("page_id", "container", "duration_s", "width", "avg_frame_rate", "has_audio")
 
 
-@query("gated_sources", "SELECT * FROM (VALUES ('gated_a', 'skip', 'needs a signed agreement'), ('gated_b', 'skip', 'needs a signed agreement')) g(source, status, reason)")
+@query("gated_sources", """SELECT source, count(*) AS members, CASE WHEN max(toxic) = 1 THEN 'skip' ELSE 'fetch' END AS status, CASE WHEN max(toxic) = 1 THEN 'needs a signed agreement' END AS reason
+ FROM documents LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY source""")
 def _(spark, d):
-    return spark.createDataFrame([("gated_a", "skip", "needs a signed agreement"), ("gated_b", "skip", "needs a signed agreement")], "source string, status string, reason string")
+    """Sources with toxic members are behind an agreement."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    toxic = docs.join(table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    gates = toxic.select("source", F.lit("needs a signed agreement").alias("reason")).distinct()
+    return Q.gate(docs.groupBy("source").agg(F.count("*").alias("members")), gates, "source").select("source", "members", "status", "reason")
 
 
 @query("manifest_ops_json", "SELECT doc_id, 2 AS n_ops, 'denoise' AS first_op FROM documents")

@@ -129,6 +129,31 @@ CHECKLIST = [
 ]
 
 
-@query("compliance_checklist", "SELECT * FROM (VALUES " + ", ".join(f"({i + 1}, '{t}', {str(ok).lower()})" for i, (t, ok) in enumerate(CHECKLIST)) + ") c(item, requirement, satisfied)")
+#: Requirements that the tables themselves show, by their place in the list.
+SHOWN = {
+    1: "SELECT count(text) FROM documents", 3: "SELECT count(DISTINCT conv_id) FROM conversations", 4: "SELECT count(*) FROM conversations",
+    5: "SELECT count(DISTINCT conv_id) FROM conversations", 6: "SELECT count(*) FROM conversations WHERE (conv_id + turn) % 7 = 0",
+}
+
+
+@query("compliance_checklist", "SELECT item, requirement, satisfied, evidence FROM (VALUES " + ", ".join(f"({i + 1}, '{t}', {str(ok).lower()}, ({SHOWN.get(i + 1, 'SELECT 0')}))" for i, (t, ok) in enumerate(CHECKLIST)) + ") c(item, requirement, satisfied, evidence)")
 def _(spark, d):
-    return spark.createDataFrame([(i + 1, t, ok) for i, (t, ok) in enumerate(CHECKLIST)], "item int, requirement string, satisfied boolean")
+    """What can be shown is: hashes, commitments, proofs, chains and the places of changes are made and verified over the
+    tables, and ``evidence`` counts what held. The rest is stated."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    edited = c.withColumn("text", F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, F.concat("text", F.lit("~"))).otherwise(F.col("text")))
+    leaf = lambda x: x.select("conv_id", "turn", C.leaf_hash(F.col("text")).alias("leaf"))
+    p = proofs(spark, d)
+    shown = {
+        1: table(spark, d, "documents").select((F.length(F.sha2("text", 256)) == 64).alias("ok")).where("ok IS NOT NULL"),
+        3: merkle.roots(leaves(spark, d), "conv_id", "i", "h").select(F.col("root").isNotNull().alias("ok")),
+        4: p.select((C.proof_root("leaf", "path") == F.col("root")).alias("ok")),
+        5: C.check_chain(ledger(spark, d), "conv_id").select(F.col("valid").alias("ok")),
+        6: C.changed_leaves(leaf(c), leaf(edited), ["conv_id", "turn"]).select(((F.col("conv_id") + F.col("turn")) % 7 == 0).alias("ok")),
+    }
+    found = None
+    for item, rows in shown.items():
+        one = rows.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("held"), F.count_if("ok").alias("evidence")).select(F.lit(item).alias("item"), "held", "evidence")
+        found = one if found is None else found.unionByName(one)
+    listed = spark.createDataFrame([(i + 1, t, ok) for i, (t, ok) in enumerate(CHECKLIST)], "item int, requirement string, stated boolean")
+    return listed.join(F.broadcast(found), "item", "left").select("item", "requirement", (F.col("stated") & F.coalesce("held", F.lit(True))).alias("satisfied"), F.coalesce("evidence", F.lit(0)).alias("evidence"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestra.functions import expressions as X
+from attestra.operators import seal
 from attestra.operators import sequences as Q
 from attestra.operators import tier0
 from attestra.queries.base import query
@@ -115,13 +116,11 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(X.sample_places(F.col("n_chars").cast("int"), 32), lambda x: x.cast("string")), ",").alias("places"))
 
 
-CLIPS = 12
-
-
-def clips(spark, **kw):
+def clips(spark, d, **kw):
+    """A clip an item of the benchmark, driven by its text."""
     from attestra.operators import clips as K
 
-    return K.generate(spark, CLIPS, **kw)
+    return K.from_texts(table(spark, d, "benchmark").repartition("item_id"), "item_id", "text", **kw)
 
 
 @query("visual_kernel")
@@ -129,14 +128,14 @@ def _(spark, d):
     from attestra.kernels import visual
     from attestra.operators import clips as K
 
-    return K.visual_features(clips(spark)).select("clip_id", F.explode(K.feature_map(visual.NAMES)).alias("feature", "value")).withColumn("value", F.round("value", 6))
+    return K.visual_features(clips(spark, d)).select("clip_id", F.explode(K.feature_map(visual.NAMES)).alias("feature", "value")).withColumn("value", F.round("value", 6))
 
 
 @query("multiregion_kernel")
 def _(spark, d):
     from attestra.operators import clips as K
 
-    return K.visual_features(clips(spark), regions=True).select("clip_id", "available", F.size("features").alias("n"))
+    return K.visual_features(clips(spark, d), regions=True).select("clip_id", "available", F.size("features").alias("n"))
 
 
 @query("audio_kernel")
@@ -144,15 +143,15 @@ def _(spark, d):
     from attestra.kernels import audio
     from attestra.operators import clips as K
 
-    return K.audio_features(clips(spark)).select("clip_id", F.explode(K.feature_map(audio.NAMES)).alias("feature", "value")).withColumn("value", F.round("value", 5))
+    return K.audio_features(clips(spark, d)).select("clip_id", F.explode(K.feature_map(audio.NAMES)).alias("feature", "value")).withColumn("value", F.round("value", 5))
 
 
-@query("av_offset_kernel", "SELECT CAST(range AS BIGINT) AS clip_id, 5 AS lag FROM range(12)")
+@query("av_offset_kernel", "SELECT item_id AS clip_id, 5 AS lag FROM benchmark WHERE text IS NOT NULL")
 def _(spark, d):
     """Clips whose audio is 200 ms late: the peak stands at 5 frames of 40 ms."""
     from attestra.operators import clips as K
 
-    curve = K.activity_curves(clips(spark, shift_ms=200.0))
+    curve = K.activity_curves(clips(spark, d, shift_ms=200.0))
     return Q.peak(Q.cross_correlation(curve, "clip_id", "t", "a", "b", 12), "clip_id").select("clip_id", "lag")
 
 
@@ -162,7 +161,7 @@ def _(spark, d):
     from attestra.kernels import av
     from attestra.operators import clips as K
 
-    return K.av_features(clips(spark, shift_ms=200.0)).select("clip_id", F.explode(K.feature_map(av.NAMES)).alias("feature", "value")).withColumn("value", F.round("value", 5))
+    return K.av_features(clips(spark, d, shift_ms=200.0)).select("clip_id", F.explode(K.feature_map(av.NAMES)).alias("feature", "value")).withColumn("value", F.round("value", 5))
 
 
 @query("tier0_features")
@@ -170,7 +169,7 @@ def _(spark, d):
     from attestra.kernels import av
     from attestra.operators import clips as K
 
-    return K.tier0_features(clips(spark)).select("clip_id", F.explode(K.feature_map([*av.MOTION, *av.SOUND])).alias("feature", "value")).withColumn("value", F.round("value", 5))
+    return K.tier0_features(clips(spark, d)).select("clip_id", F.explode(K.feature_map([*av.MOTION, *av.SOUND])).alias("feature", "value")).withColumn("value", F.round("value", 5))
 
 
 @query("log_mel_kernel")
@@ -178,17 +177,17 @@ def _(spark, d):
     """Mean log-mel spectrum of each clip's voice, a row a band."""
     from attestra.operators import clips as K
 
-    return K.log_mel(clips(spark)).select("clip_id", F.posexplode("features").alias("band", "value")).withColumn("value", F.round("value", 4))
+    return K.log_mel(clips(spark, d)).select("clip_id", F.posexplode("features").alias("band", "value")).withColumn("value", F.round("value", 4))
 
 
 @query("manipulated_clips")
 def _(spark, d):
-    """Twelve clips, each with manipulations sampled for its id; features of the first tier of what came out."""
+    """The clips, each with manipulations sampled for its id; features of the first tier of what came out."""
     from attestra.operators import clips as K
     from attestra.operators import corpus
 
     level = corpus.quality(corpus.draw("clip_id", "quality"))
-    planned = clips(spark).withColumns({"video_ops": corpus.video_operations(level, "clip_id"), "audio_ops": corpus.audio_operations(level, "clip_id"), "desync_ms": F.when(F.col("clip_id") % 2 == 1, 240.0).otherwise(0.0), "seed": F.col("clip_id")})
+    planned = clips(spark, d).withColumns({"video_ops": corpus.video_operations(level, "clip_id"), "audio_ops": corpus.audio_operations(level, "clip_id"), "desync_ms": F.when(F.col("clip_id") % 2 == 1, 240.0).otherwise(0.0), "seed": F.col("clip_id")})
     made = K.manipulated(planned)
     return made.select("clip_id", "error", F.sha2("frames", 256).alias("frames_sha256"), F.length("audio").cast("long").alias("audio_bytes"))
 
@@ -197,14 +196,25 @@ def _(spark, d):
 def _(spark, d):
     from attestra.operators import clips as K
 
-    h = K.hashes(clips(spark))
+    h = K.hashes(clips(spark, d))
     return h.select("clip_id", F.array_join(F.transform("video_phash", X.hash_hex), ",").alias("video_phash"), F.array_join(F.transform("audio_phash", X.hash_hex), ",").alias("audio_phash"))
 
 
-@query("clip_commitments")
+@query("clip_commitments", """WITH p AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents WHERE text IS NOT NULL AND strlen(text) > 0),
+ k AS (SELECT doc_id, n, h, unnest(range(0, (n + 511) // 512)) AS i FROM p), l AS (SELECT doc_id, i, sha256('\\x00'::BLOB || encode('text|512|' || i || '|' || least(512, n - i * 512)) || unhex(substr(h, CAST(i * 1024 + 1 AS BIGINT), 1024))) AS leaf FROM k)
+ SELECT doc_id, count(*) AS chunks, sha256(string_agg(leaf, '' ORDER BY i)) AS leaves_sha256 FROM l GROUP BY doc_id""")
+def _(spark, d):
+    """Texts as tracks of bytes, committed to by chunks of 512."""
+    leaves = seal.chunk_leaves(table(spark, d, "documents"), "doc_id", "text", "text", 512)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "leaf"))), lambda x: x["leaf"]), "")
+    return leaves.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sha2(listed, 256).alias("leaves_sha256"))
+
+
+@query("track_roots")
 def _(spark, d):
+    """The trees over both tracks' chunks of each clip."""
     from attestra.operators import clips as K
-    from attestra.operators import custody as C
+    from attestra.operators import merkle
 
-    c = K.commitments(clips(spark))
-    return c.select("clip_id", "track", F.size("leaves").alias("chunks"), C.merkle_root("leaves").alias("root"))
+    c = K.commitments(clips(spark, d)).select(F.concat_ws("|", "clip_id", "track").alias("name"), F.posexplode("leaves").alias("i", "leaf"))
+    return merkle.roots(c, "name", "i", "leaf").select(F.split("name", "[|]")[0].cast("long").alias("clip_id"), F.split("name", "[|]")[1].alias("track"), F.col("n_leaves").alias("chunks"), "root")

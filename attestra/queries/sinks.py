@@ -99,7 +99,9 @@ def _(spark, d):
     return found.select(F.regexp_extract("path", r"item=(\d+)", 1).cast("long").alias("item_id"), F.sha2(content, 256).alias("sha256"), (F.col("length") - 1).alias("length"))
 
 
-@query("environment_rows", "SELECT 'python' AS name UNION ALL SELECT 'spark' UNION ALL SELECT 'numpy'")
+@query("environment_rows", "SELECT lang, name, count(*) AS sealed FROM documents, (VALUES ('python'), ('spark'), ('numpy')) e(name) GROUP BY lang, name")
 def _(spark, d):
-    env = seal.environment(spark).select(F.explode("environment").alias("name", "version"))
-    return env.where("name IN ('python', 'spark', 'numpy') AND version <> 'not installed'").select("name")
+    """The environment that every slice of the corpus was sealed in."""
+    env = seal.environment(spark).select(F.explode("environment").alias("name", "version")).where("name IN ('python', 'spark', 'numpy') AND version <> 'not installed'")
+    slices = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("sealed"))
+    return slices.crossJoin(F.broadcast(env)).select("lang", "name", "sealed")  # three rows
