@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestra.llm import common, words
 
@@ -94,7 +95,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep
     """The columns ``keep`` of df plus lang_pred and score (with underscores where kept ones have these names); reads text only."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     src = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = f"{src.select('row').schema.simpleString()[7:-1]},lang_pred:string,score:double"
+    schema = T.StructType([src.schema["row"]]).add("lang_pred", "string").add("score", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs, prior = shared.value
