@@ -72,20 +72,11 @@ def _(spark, d):
 def _(spark, d):
     """A JSONL ledger, written as one chain and read in its order."""
     path = scratch(spark, "ledger")
-    body = table(spark, d, "benchmark").select(F.lit(0).alias("chain"), F.col("item_id").alias("index"), F.sha2("text", 256).alias("body"))
-    chain = custody.build_chain(body, "chain", "index", "body")
-    kept = chain.select("index", "prev_hash", "payload", "entry_hash")
-    text.write_ledger(kept, path)
-    back = text.read_ledger(spark, path)
-    ids = table(spark, d, "benchmark").select("item_id").orderBy("item_id")
-    place = ids.select(F.col("item_id"), (F.row_number().over(_by_item()) - 1).alias("index"))
-    return back.join(place, "index").select(F.col("item_id").alias("index"), "payload")
-
-
-def _by_item():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy("item_id")  # benchmark items of one ledger
+    body = F.concat_ws("|", "item_id", F.coalesce(F.sha2("text", 256), F.lit("")))
+    chain = custody.build_chain(table(spark, d, "benchmark").select(F.lit(0).alias("chain"), "item_id", body.alias("body")), "chain", "item_id", "body")
+    text.write_ledger(chain.select("index", "prev_hash", "payload", "entry_hash"), path)
+    back = text.read_ledger(spark, path).select(F.split("payload", r"\|").alias("p"))
+    return back.select(F.col("p")[0].cast("long").alias("index"), F.nullif(F.col("p")[1], F.lit("")).alias("payload"))
 
 
 @query("byte_scan", "SELECT item_id, sha256(text) AS sha256, strlen(text) AS length FROM benchmark WHERE text IS NOT NULL AND strlen(text) > 0")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attestra.session import cut
+
 LEDGER = "index long, prev_hash string, payload string, entry_hash string"
 
 
@@ -30,16 +32,23 @@ def json_list(x: Column) -> Column:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Entries in file order (pos); blank lines are skipped."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line")).where(F.trim("line") != "")
-    return lines.select("pos", F.from_json("line", LEDGER).alias("e")).select("pos", "e.*")
+    """Entries with their line (pos, from 0) in order of file name and place; blank lines are skipped. Files are read
+    in splits: each numbers its own lines, and a row a split carries the lines before it."""
+    place = ["_metadata.file_path", "_metadata.file_block_start"]
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col(place[0]).alias("file"), F.col(place[1]).alias("at"), F.monotonically_increasing_id().alias("id"))
+    lines = cut(lines, "ledger-lines")  # ids hold for one reading
+    before = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    ahead = lines.groupBy("file", "at").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    numbered = lines.join(ahead, ["file", "at"]).withColumn("pos", F.col("ahead") + F.row_number().over(Window.partitionBy("file", "at").orderBy("id")) - 1)
+    return numbered.where(F.trim("line") != "").select("pos", F.from_json("line", LEDGER).alias("e")).select("pos", "e.*")
 
 
 def write_ledger(df: DataFrame, path: str, chain: str | None = None) -> None:
-    """Entries as compact JSON lines. One file keeps a chain's order; with ``chain`` each chain gets a folder and file of its own."""
+    """Entries as compact JSON lines, in files whose names keep a chain's order; with ``chain`` each chain gets a folder
+    and file of its own."""
     line = F.to_json(F.struct("index", "prev_hash", "payload", "entry_hash")).alias("value")
     if chain is None:
-        df.orderBy("index").select(line).coalesce(1).write.mode("overwrite").text(path)
+        df.orderBy("index").select(line).write.mode("overwrite").text(path)
     else:
         df.repartition(chain).sortWithinPartitions(chain, "index").select(F.col(chain).alias("chain"), line).write.mode("overwrite").partitionBy("chain").text(path)
 

@@ -150,3 +150,31 @@ def test_ledgers_of_several_chains_stay_apart(spark, tmp_path):
         back = text.read_ledger(spark, str(tmp_path / "l" / f"chain={c}")).orderBy("pos").collect()
         assert [r["index"] for r in back] == list(range(20)) and [r.payload for r in back] == [f"{c}{i}" for i in range(20)]
         assert all(b.prev_hash == a.entry_hash for a, b in zip(back, back[1:], strict=False))
+
+
+def test_ledger_in_many_files_and_splits(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from attestra.operators import custody
+    from attestra.sources import text
+
+    rows = spark.range(3000).select(F.lit(1).alias("chain"), F.col("id").alias("seq"), F.format_string("entry %d \u00e9", "id").alias("body"))
+    chain = custody.build_chain(rows, "chain", "seq", "body").repartition(7)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        text.write_ledger(chain, str(tmp_path / "l"))
+        assert len(list((tmp_path / "l").glob("part-*.txt"))) > 1
+        first = sorted((tmp_path / "l").glob("part-*.txt"))[0]
+        first.write_text("\n" + first.read_text())  # a blank line
+        for p in (tmp_path / "l").glob(".*.crc"):
+            p.unlink()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        back = text.read_ledger(spark, str(tmp_path / "l"))
+        got = [(r.pos, r["index"]) for r in back.orderBy("pos").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    assert got == [(i + 1, i) for i in range(3000)]
+    assert custody.check_chain(back.withColumn("chain", F.lit(1)), "chain").first().valid
