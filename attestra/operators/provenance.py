@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,24 +95,51 @@ def embedded_manifest(metadata: Column, reader: bool = False) -> Column:
     return F.struct(F.when(seen > 0, status).otherwise(ABSENT).alias("status"), F.when(seen > 0, F.lit("read" if reader else "no reader of signed manifests here")).otherwise("no embedded keys").alias("detail"))
 
 
-def run_detectors(clips: DataFrame, detectors: dict[str, Callable[[dict], dict]], requested: list[str], key: str) -> DataFrame:
-    """Plug-ins over each clip: key, detector, status, confidence, detail. A detector gives found and confidence;
-    one that isn't registered is unavailable, one that fails gives a row of its own with status ERROR."""
+def run_detectors(clips: DataFrame, detectors: dict[str, Callable], requested: list[str], key: str, batched: tuple[str, ...] = ()) -> DataFrame:
+    """Plug-ins over each clip: key, detector, status, confidence, detail. A detector gets a row (a dict) and gives found
+    and confidence; those in ``batched`` get a batch (a pandas frame) and give a frame of found, confidence and detail in
+    its order. One that isn't registered is unavailable. One that fails on a row gives a row of its own with status
+    ERROR; a batch that fails is tried again row by row, so that the others keep their results."""
+
+    def rows_of(name: str, b: pd.DataFrame) -> pd.DataFrame:
+        found = detectors[name](b).reset_index(drop=True)
+        if len(found) != len(b):
+            raise ValueError(f"{len(found)} results for {len(b)} rows")
+        none = found["found"].isna()
+        return pd.DataFrame({
+            key: b[key].to_numpy(), "detector": name, "status": np.where(none, ERROR, np.where(found["found"].fillna(False).astype(bool), DETECTED, NOT_DETECTED)),
+            "confidence": found["confidence"].astype(float).fillna(0.0).where(~none) if "confidence" in found else pd.Series(0.0, found.index).where(~none), "detail": found["detail"].fillna("") if "detail" in found else "",
+        })
+
+    def one(name: str, b: pd.DataFrame) -> list[tuple]:
+        out = []
+        for i, row in enumerate(b.to_dict("records")):
+            try:
+                if name in batched:
+                    out.append(tuple(rows_of(name, b.iloc[i : i + 1]).iloc[0]))
+                    continue
+                found = detectors[name](row)
+                out.append((row[key], name, DETECTED if found["found"] else NOT_DETECTED, float(found.get("confidence", 0.0)), found.get("detail", "")))
+            except Exception as e:  # a row, as one plug-in must not end the analysis
+                out.append((row[key], name, ERROR, None, f"{type(e).__name__}: {e}"[:200]))
+        return out
+
+    columns = [key, "detector", "status", "confidence", "detail"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for row in b.to_dict("records"):
-                for name in requested:
-                    if name not in detectors:
-                        out.append((row[key], name, UNAVAILABLE, None, "not registered"))
-                        continue
+            for name in requested:
+                if name not in detectors:
+                    yield pd.DataFrame({key: b[key], "detector": name, "status": UNAVAILABLE, "confidence": np.nan, "detail": "not registered"})
+                    continue
+                if name in batched and len(b):
                     try:
-                        found = detectors[name](row)
-                        out.append((row[key], name, DETECTED if found["found"] else NOT_DETECTED, float(found.get("confidence", 0.0)), found.get("detail", "")))
-                    except Exception as e:  # a row, as one plug-in must not end the analysis
-                        out.append((row[key], name, ERROR, None, f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(out, columns=[key, "detector", "status", "confidence", "detail"])
+                        yield rows_of(name, b)
+                        continue
+                    except Exception:  # found out row by row below
+                        pass
+                yield pd.DataFrame(one(name, b), columns=columns)
 
     kind = clips.schema[key].dataType.simpleString()
-    return clips.mapInPandas(run, f"{key} {kind}, detector string, status string, confidence double, detail string")
+    ran = clips.mapInPandas(run, f"{key} {kind}, detector string, status string, confidence double, detail string")
+    return ran.withColumn("confidence", F.nanvl("confidence", F.lit(None)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from attestra.functions import expressions as X
@@ -235,8 +236,9 @@ def _(spark, d):
 def _(spark, d):
     from attestra.operators import provenance as P
 
-    def length(row):
-        return {"found": row["n_chars"] > 1000, "confidence": 1.0} if row["n_chars"] == row["n_chars"] else {}["n_chars"]
+    def length(batch):
+        known = batch["n_chars"].notna()
+        return pd.DataFrame({"found": (batch["n_chars"] > 1000).astype(object).where(known, None), "confidence": 1.0})
 
     def odd(row):
         if row["doc_id"] % 2:
@@ -244,7 +246,7 @@ def _(spark, d):
         return {"found": True}
 
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
-    return P.run_detectors(docs, {"length": length, "odd": odd}, ["length", "vendor", "odd"], "doc_id").select("doc_id", "detector", "status")
+    return P.run_detectors(docs, {"length": length, "odd": odd}, ["length", "vendor", "odd"], "doc_id", ("length",)).select("doc_id", "detector", "status")
 
 
 @query("report_notes", """SELECT doc_id, array_to_string(list_concat(CASE WHEN doc_id % 3 = 0 THEN ['audio branch produced no findings: no track'] ELSE [] END, CASE WHEN doc_id % 5 = 0 THEN ['visual branch findings are discounted: outside the training distribution (percentile 99)'] ELSE [] END), '; ') AS notes,

@@ -408,3 +408,31 @@ def test_running_sums_of_tied_scores(spark, descending):
     plan = audit.running(df, {"total": F.col("n")}, ["g"], descending, ["id"], parts=16)
     sizes = plan.groupBy("g").count().collect()
     assert sum(x["count"] for x in sizes) == 3000
+
+
+# Detectors
+
+
+def test_detectors_in_batches(spark):
+    import pandas as pd
+
+    from attestra.operators import provenance
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def long_(batch):
+        calls.add(1)
+        if (batch["x"] == 7).any():
+            raise ValueError("seven")
+        return pd.DataFrame({"found": (batch["x"] > 3).astype(object).where(batch["x"] != 5, None), "confidence": batch["x"] / 10})
+
+    def short(batch):
+        return pd.DataFrame({"found": [True]})
+
+    rows = spark.range(6).select("id", F.col("id").alias("x")).coalesce(1)
+    got = {(r.id, r.detector): (r.status, r.confidence) for r in provenance.run_detectors(rows, {"long": long_, "short": short, "row": lambda r: {"found": r["x"] == 1}}, ["long", "none", "row"], "id", ("long",)).collect()}
+    assert calls.value == 1 and got[4, "long"] == ("detected", 0.4) and got[5, "long"] == ("error", None) and got[0, "none"] == ("unavailable", None) and got[1, "row"][0] == "detected" and len(got) == 18
+    bad = provenance.run_detectors(spark.range(10).select("id", F.col("id").alias("x")).coalesce(1), {"long": long_}, ["long"], "id", ("long",)).collect()
+    assert {r.id: r.status for r in bad}[7] == "error" and "seven" in {r.id: r.detail for r in bad}[7] and sum(r.status == "error" for r in bad) == 2
+    wrong = provenance.run_detectors(rows, {"short": short}, ["short"], "id", ("short",)).collect()
+    assert all(r.status == "detected" for r in wrong)  # a row at a time it is right
