@@ -120,7 +120,9 @@ def clips(spark, d, **kw):
     """A clip an item of the benchmark, driven by its text."""
     from attestra.operators import clips as K
 
-    return K.from_texts(table(spark, d, "benchmark").repartition("item_id"), "item_id", "text", **kw)
+    # Few bytes in, much work: so many tasks as there are shuffle partitions, whatever the bytes.
+    spread = table(spark, d, "benchmark").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "item_id")
+    return K.from_texts(spread, "item_id", "text", **kw)
 
 
 @query("visual_kernel")
