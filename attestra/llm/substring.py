@@ -125,8 +125,18 @@ def _anchors(w: words.Words, window: int, k: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _docs(df: DataFrame) -> DataFrame:
+    """rid (hash of doc_id and text), own_id and body of rows with a doc_id. Every join with texts is over this very
+    plan, so that Spark shuffles them once."""
     text = F.col("text").cast("string").cast("binary")
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("rid"), text.alias("body"))
+    id_ = F.col("doc_id").cast("long")
+    return df.select(F.xxhash64(id_, text).alias("rid"), id_.alias("own_id"), F.coalesce(text, F.lit(b"")).alias("body")).where("own_id IS NOT NULL")
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """rid and doc_id of texts that a smaller doc_id has as a whole."""
+    keyed = docs.select("rid", "own_id", F.md5("body").alias("key"))
+    first = keyed.groupBy("key").agg(F.min("own_id").alias("low"))
+    return keyed.join(first, "key").where("own_id > low").select("rid", F.col("own_id").alias("doc_id")).distinct()
 
 
 def removed_spans(df: DataFrame, window: int = WINDOW, k: int = K, few: int = FEW, leaders: bool = True) -> DataFrame:
@@ -148,12 +158,14 @@ def removed_spans(df: DataFrame, window: int = WINDOW, k: int = K, few: int = FE
                     own = np.array(ids, np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own[doc, 0]), pa.array(own[doc, 1])], names=["h", "doc_id", "rid"])
 
-    found = docs.where("doc_id IS NOT NULL AND body IS NOT NULL").mapInArrow(anchors, "h long, doc_id long, rid long")
+    found = docs.select("rid", F.col("own_id").alias("doc_id"), "body").mapInArrow(anchors, "h long, doc_id long, rid long")
     shared = found.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "n")
     if leaders:
         first = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid")).alias("first"), F.max("doc_id").alias("high")).where("first.doc_id < high")
         shared = first.select("h", "n", F.when(F.col("n") > few, F.col("first")).alias("first"))
-    hits = common.cut(found.join(shared, "h"))
+    whole = common.written(copies(docs), "substring-copies")
+    # The first of equal texts has a smaller doc_id than the others and all of their windows: it stands for them.
+    hits = common.written(found.join(shared, "h").join(whole, ["rid", "doc_id"], "left_anti"), "substring-hits")
 
     groups = hits.where(F.col("n") <= few).groupBy("h").agg(F.collect_set(F.struct("doc_id", "rid")).alias("g"))
     pairs = groups.select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> y.doc_id < x.doc_id), y -> named_struct('shard', y.rid, 'shard_id', y.doc_id, 'rid', x.rid, 'doc_id', x.doc_id, 'n', 1L))))")).alias("p")).select("p.*")
@@ -162,10 +174,10 @@ def removed_spans(df: DataFrame, window: int = WINDOW, k: int = K, few: int = FE
         pairs = pairs.unionByName(led)
     pairs = pairs.groupBy("shard", "shard_id", "rid", "doc_id").agg(F.max("n").alias("n"))
     pairs = common.cut(pairs.withColumn("lot", F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / F.lit(float(LOT))))).drop("n"))
-    body = docs.select("rid", "doc_id", "body")
-    streams = pairs.join(body, ["rid", "doc_id"]).select("shard", "shard_id", "lot", F.lit(1).alias("role"), "rid", "doc_id", "body")
+    met = lambda rows: rows.withColumnRenamed("doc_id", "own_id").join(docs, ["rid", "own_id"]).withColumnRenamed("own_id", "doc_id")
+    streams = met(pairs).select("shard", "shard_id", "lot", F.lit(1).alias("role"), "rid", "doc_id", "body")
     own = pairs.select(F.col("shard").alias("rid"), F.col("shard_id").alias("doc_id"), "lot").distinct()
-    shards = body.join(own, ["rid", "doc_id"]).select(F.col("rid").alias("shard"), F.col("doc_id").alias("shard_id"), "lot", F.lit(0).alias("role"), "rid", "doc_id", "body")
+    shards = met(own).select(F.col("rid").alias("shard"), F.col("doc_id").alias("shard_id"), "lot", F.lit(0).alias("role"), "rid", "doc_id", "body")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, automaton, reference = None, None, None
@@ -241,15 +253,18 @@ def removed_spans(df: DataFrame, window: int = WINDOW, k: int = K, few: int = FE
                     names=["w1", "w2", "doc_id", "rid", "start"],
                 )
 
-    rows = many.join(body, ["rid", "doc_id"]).mapInArrow(windows, "w1 long, w2 long, doc_id long, rid long, start int")
+    rows = met(many).mapInArrow(windows, "w1 long, w2 long, doc_id long, rid long, start int")
     lowest = rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1", "w2", "low")
     rest = rows.join(lowest, ["w1", "w2"]).where("doc_id > low").groupBy("rid", "doc_id").agg(F.collect_set(F.struct("start", (F.col("start") + window).alias("stop"))).alias("spans"))
     every = matched.unionByName(rest).groupBy("rid", "doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return every.withColumn("spans", F.array_sort(F.array_distinct("spans")))
+    every = every.select("rid", "doc_id", F.array_sort(F.array_distinct("spans")).alias("spans"))
+    # Of a copy all windows go: one span over its words, however many (shorter texts have no window).
+    all_ = F.array(F.struct(F.lit(0).alias("start"), F.lit(2**31 - 1).alias("stop")))
+    return every.unionByName(whole.select("rid", "doc_id", all_.alias("spans")))
 
 
-def _keep(parts: list[bytes], spans: list[dict] | None) -> list[bytes]:
-    if not spans:
+def _keep(parts: list[bytes], spans: list[dict] | None, window: int = WINDOW) -> list[bytes]:
+    if not spans or len(parts) < window:
         return parts
     out, at = [], 0
     for s in spans:
@@ -259,6 +274,11 @@ def _keep(parts: list[bytes], spans: list[dict] | None) -> list[bytes]:
     return out + parts[at:]
 
 
+def _cut(text: str, spans: list[dict], window: int) -> str:
+    parts = text.encode().split()
+    return b" ".join(_keep(parts, spans, window)).decode() if len(parts) >= window else text
+
+
 def _apply(df: DataFrame, schema, make, **kw) -> DataFrame:
     """make(spans) gives the iterator function; ``spans`` is the name of the column that holds them."""
     text = F.col("text").cast("string").cast("binary")
@@ -275,12 +295,13 @@ def dedup_substrings(df: DataFrame, **kw) -> DataFrame:
     schema = df.schema
     names = df.columns
     at = names.index("text")
+    window = kw.get("window", WINDOW)
 
     def make(spans: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 pairs = zip(b.column("text").to_pylist(), b.column(spans).to_pylist(), strict=True)
-                texts = [b" ".join(_keep((t or "").encode().split(), s)).decode() if s else t for t, s in pairs]
+                texts = [_cut(t or "", s, window) if s else t for t, s in pairs]
                 columns = [b.column(n) for n in names]
                 columns[at] = pa.array(texts, columns[at].type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -296,8 +317,8 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
-                for t, s in zip(b.column("text").to_pylist(), b.column(spans).to_pylist(), strict=True):
-                    parts = (t or "").encode().split()
+                for t, s in zip(_bytes(b.column("body")), b.column(spans).to_pylist(), strict=True):
+                    parts = t.split()
                     kept = _keep(parts, s)
                     out.append((len(parts), len(parts) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
                 n, removed, sha = zip(*out, strict=True) if out else ((), (), ())
@@ -307,4 +328,9 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
         return run
 
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _apply(docs, "doc_id long, n_words long, n_removed long, kept_sha256 string", make, leaders=False)
+    own = _docs(docs)
+    found = removed_spans(docs, leaders=False).withColumnRenamed("doc_id", "own_id")
+    rows = own.join(found, ["rid", "own_id"], "left").select(F.col("own_id").alias("doc_id"), "body", "spans")
+    none = docs.where("doc_id IS NULL").select("doc_id", F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")).alias("body"))
+    made = make("spans")
+    return rows.unionByName(none, allowMissingColumns=True).mapInArrow(made, "doc_id long, n_words long, n_removed long, kept_sha256 string")
