@@ -57,7 +57,7 @@ def roots(leaves: DataFrame, track: str, i: str, leaf: str, bits: int = ROOT_BIT
 
 def proofs(leaves: DataFrame, track: str, i: str, leaf: str, bits: int = PROOF_BITS) -> DataFrame:
     """track, i, leaf, path (hash and side of each sibling, from the leaf up) and root."""
-    sibling = f"(shiftright(p, k) ^ 1)"  # noqa: F541
+    sibling = "(shiftright(p, k) ^ 1)"
     inner = f"named_struct('hash', lv[least({sibling}, size(lv) - 1)], 'side', if({sibling} > shiftright(p, k), 'right', 'left'))"
     piece = F.expr(f"transform(slice(levels, 1, size(levels) - 1), (lv, k) -> {inner})")
     out = None

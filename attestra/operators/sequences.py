@@ -238,7 +238,7 @@ def similarity_entropy(df: DataFrame, clip: str, t: str, vector: str, least_gap:
                 cos = (x @ y.T)[t2[None, :] - t1[:, None] >= least_gap]
                 # Rounded, so that equal vectors are in one bin whatever the last digit says.
                 count = np.bincount(np.clip(np.floor((np.round(cos, 12) + 1) * bins / 2), 0, bins - 1).astype(int), minlength=bins)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array([0] * bins) if batch.num_rows == 1 else pa.array([i] * bins)), pa.array(range(bins), pa.int32()), pa.array(count, pa.int64())], names=["key", "bin", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array([i] * bins)), pa.array(range(bins), pa.int32()), pa.array(count, pa.int64())], names=["key", "bin", "n"])
 
     counted = both.select(F.col(clip).alias("key"), "ts", "vs", "ts2", "vs2").mapInArrow(run, f"key {kind}, bin int, n long").groupBy("key", "bin").agg(F.sum("n").alias("n")).where("n > 0")
     p = F.col("n") / F.sum("n").over(Window.partitionBy("key"))

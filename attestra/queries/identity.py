@@ -10,7 +10,7 @@ from attestra.operators.quantiles import median
 from attestra.operators.registry import StoredRegistry
 from attestra.queries.base import query
 from attestra.session import scratch, table
-from attestra.streaming import registry_stream as triage_stream
+from attestra.streaming import registry_stream
 
 
 def _clips(spark, d):
@@ -90,8 +90,8 @@ def _(spark, d):
     for begin in (0, 2):
         for i in (begin, begin + 1):
             clips.where(part == i).coalesce(1).write.mode("append").parquet(f"{home}/in")
-        triage_stream.run_available(triage_stream.triage_stream(triage_stream.stream_of(spark, f"{home}/in", "sha string, seq long")), f"{home}/out", f"{home}/checkpoint")
-    return spark.read.schema(triage_stream.OUT).parquet(f"{home}/out").select("seq", "sha", "first_seq", "action")
+        registry_stream.run_available(registry_stream.triage_stream(registry_stream.stream_of(spark, f"{home}/in", "sha string, seq long")), f"{home}/out", f"{home}/checkpoint")
+    return spark.read.schema(registry_stream.OUT).parquet(f"{home}/out").select("seq", "sha", "first_seq", "action")
 
 
 def _hashes(spark, d, digits=None):
