@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from attestra.functions import expressions as X
 from attestra.operators import models
 from attestra.operators.quantiles import quantiles
+from attestra.session import cut
 
 
 def running(df: DataFrame, sums: dict[str, Column], by: list[str] | None = None, descending: bool = False, then: list[str] | None = None, parts: int = 64) -> DataFrame:
@@ -52,7 +53,7 @@ def roc_auc(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
 
     Scores are grouped to distinct values first."""
     keys = by or []
-    values = scores.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.count_if("label").alias("pos"))
+    values = cut(scores.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.count_if("label").alias("pos")), "auc")  # read three times
     ranked = running(values, {"rank_": F.col("n")}, by).withColumn("rank", F.col("rank_") - (F.col("n") - 1) / F.lit(2.0))
     a = ranked.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"), F.sum(F.col("rank") * F.col("pos")).alias("r"))
     p, q = (F.coalesce(F.col(c), F.lit(0)).cast("double") for c in ("p", "q"))  # no rows: no classes
@@ -67,6 +68,7 @@ def recall_at_fpr(scores: DataFrame, fpr: float) -> DataFrame:
 
 
 def _descending(scores: DataFrame) -> DataFrame:
+    scores = cut(scores, "scores")  # read for quantiles, totals and sums
     total = scores.agg(F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("q"))
     sums = {"tp": F.col("label").cast("long"), "fp": (~F.col("label")).cast("long")}
     return running(scores, sums, descending=True, then=["id"]).crossJoin(F.broadcast(total))  # one row: the totals
