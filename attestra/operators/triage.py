@@ -60,29 +60,36 @@ def hamming_distinct(left: DataFrame, right: DataFrame, bits: int, heavy: int =
 
     A key of one quarter holds 1 / 65536 of evenly spread hashes. Where one holds more than ``heavy`` on the right (blank
     frames), a pair that meets in it agrees within bits // 3 bits in one of the other three quarters as well, so keys
-    of two quarters replace it: no pair is lost, and one value of a quarter is no longer one task."""
+    of two quarters replace it: no pair is lost, and one value of a quarter is no longer one task. A pair that meets in
+    several keys counts in the first of them alone, so pairs needn't be gathered to drop repeats. Joins are merged:
+    Spark's estimates don't see the rows that explode makes, and would broadcast all of them."""
     a = left.select(F.col("h").alias("ha"), F.explode(probes(F.col("h"), bits)).alias("k"))
     b = right.select(F.col("h").alias("hb"), F.explode(quarters(F.col("h"))).alias("k"))
     crowded = b.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("k")
     crowded = cut(crowded, "crowded")
     few = crowded.limit(KEYS + 1).count()
-    near = lambda met: met.where(X.hamming("ha", "hb") <= bits).select("ha", "hb", X.hamming("ha", "hb").cast("long").alias("bits"))
+    differ = [F.bit_count(F.shiftrightunsigned(F.col("ha").bitwiseXOR(F.col("hb")), 48 - 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)]
+    first = lambda most, but=None: F.coalesce(*[F.when((n <= most) if but is None else (n <= most) & (but != i), i) for i, n in enumerate(differ)])
+    near = lambda met: met.where((X.hamming("ha", "hb") <= bits) & (F.col("k.part") == first(bits // 4))).select("ha", "hb", X.hamming("ha", "hb").cast("long").alias("bits"))
     if not few:
-        return near(a.join(b, "k")).distinct()
+        return near(a.join(b.hint("merge"), "k"))
     names = F.broadcast(crowded) if few <= KEYS else crowded
-    light = a.join(names, "k", "left_anti").join(b.join(names, "k", "left_anti"), "k")
+    light = a.join(names, "k", "left_anti").join(b.join(names, "k", "left_anti").hint("merge"), "k")
     second = lambda side, h, other: side.join(names, "k").select(h, "k", F.explode(other).alias("k2")).where(F.col("k2.part") != F.col("k.part"))
-    wide = second(a, "ha", probes(F.col("ha"), bits // 3 * 4 + 3)).join(second(b, "hb", quarters(F.col("hb"))), ["k", "k2"])
-    return near(light).unionByName(near(wide)).distinct()
+    wide = second(a, "ha", probes(F.col("ha"), bits // 3 * 4 + 3)).join(second(b, "hb", quarters(F.col("hb"))).hint("merge"), ["k", "k2"])
+    return near(light).unionByName(near(wide.where(F.col("k2.part") == first(bits // 3, F.col("k.part")))))
 
 
 def hamming_join(left: DataFrame, right: DataFrame, bits: int, left_id: str = "id", right_id: str = "other", h: str = "h", heavy: int = HEAVY) -> DataFrame:
     """left_id, right_id, bits: pairs within ``bits`` bits. Columns: id and hash on each side. Distinct hashes are
     compared once; their ids are joined to the pairs that are found. (Where equal hashes are many, so are their
     pairs: see :func:`hamming_groups`.)"""
-    a, b = left.select(F.col(left_id), F.col(h).alias("ha")), right.select(F.col(right_id), F.col(h).alias("hb"))
+    a, b = left.select(F.col(left_id), F.col(h).alias("ha")).distinct(), right.select(F.col(right_id), F.col(h).alias("hb")).distinct()
     pairs = hamming_distinct(a.select(F.col("ha").alias("h")).distinct(), b.select(F.col("hb").alias("h")).distinct(), bits, heavy)
-    return pairs.join(a, "ha").join(b, "hb").select(left_id, right_id, "bits").distinct()
+    found = pairs.join(a, "ha").join(b, "hb").select(left_id, right_id, "bits")
+    # Ids of one hash each have a pair once.
+    several = any(not side.groupBy(id_).count().where("count > 1").isEmpty() for side, id_ in ((a, left_id), (b, right_id)))
+    return found.distinct() if several else found
 
 
 def hamming_groups(rows: DataFrame, bits: int, id_: str = "id", h: str = "h", heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +126,7 @@ def sequence_candidates(queries: DataFrame, registry: DataFrame, most: float = 0
     bits = int(64 * most)
     a = queries.select("id", F.explode(F.array_distinct("video")).alias("h")).select("id", F.explode(probes(F.col("h"), bits)).alias("k"), "h")
     b = registry.select("other", F.explode(F.array_distinct("video")).alias("g")).select("other", F.explode(quarters(F.col("g"))).alias("k"), "g")
-    met = a.join(b, "k").where(X.hamming("h", "g") <= bits).select("id", "other").distinct()
+    met = a.join(b.hint("merge"), "k").where(X.hamming("h", "g") <= bits).select("id", "other").distinct()
     both = met.join(queries, "id").join(registry.withColumnsRenamed({"video": "video2", "audio": "audio2"}), "other")
     audio = F.when((F.size("audio") == 0) | (F.size("audio2") == 0), F.lit(1.0)).otherwise(X.sequence_distance("audio", "audio2"))
     near = both.select("id", "other", X.sequence_distance("video", "video2").alias("video_distance"), audio.alias("audio_distance")).where(F.col("video_distance") <= most + 1e-12)
