@@ -128,11 +128,16 @@ def leakage(scores: DataFrame, tolerance: float = 0.15) -> DataFrame:
 
 def _resampled(scores: DataFrame, replicates: int, seed: int) -> DataFrame:
     """Poisson(1) resamples: b and the row's weight w in it, by hashes of (replicate, id). Replicates are
-    extra rows of one grouped aggregation, so nothing is gathered."""
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double")
-    u = hashed / F.lit(4294967296.0)
-    weight = sum(((u > F.lit(e)).cast("long") for e in POISSON), F.lit(0).cast("long"))
-    return scores.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight).where("w > 0")
+    extra rows of one grouped aggregation, so nothing is gathered. Rows are dealt evenly first, as each is drawn
+    ``replicates`` times, which their size doesn't tell. Eight hex digits over 2^32 exceed an edge if they come
+    after the edge's own as text; most rows need two or three comparisons."""
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("id").cast("string")))
+    weight = F.lit(len(POISSON)).cast("long")
+    for k, e in reversed(list(enumerate(POISSON))):
+        weight = F.when(F.col("draw_") < F.lit(f"{int(e * 4294967296):08x}g"), F.lit(k).cast("long")).otherwise(weight)
+    tasks = 4 * scores.sparkSession.sparkContext.defaultParallelism
+    drawn = scores.repartition(tasks, "id").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("draw_", draw)
+    return drawn.where(F.col("draw_") >= F.lit(f"{int(POISSON[0] * 4294967296):08x}g")).withColumn("w", weight).drop("draw_")
 
 
 def _poisson(most: int = 8) -> list[float]:
