@@ -9,7 +9,7 @@ from attestra.operators import triage
 from attestra.operators.quantiles import median
 from attestra.operators.registry import StoredRegistry
 from attestra.queries.base import query
-from attestra.session import scratch, table
+from attestra.session import cut, scratch, table
 from attestra.streaming import registry_stream
 
 
@@ -82,15 +82,15 @@ def _(spark, d):
 @query("streaming_triage", """SELECT doc_id AS seq, sha256(text) AS sha, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_seq,
   CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) THEN 'miss' ELSE 'exact_hit' END AS action FROM documents""")
 def _(spark, d):
-    """Documents arrive in four files, in order of doc_id; the stream ends after two and goes on from its checkpoint."""
-    clips = _clips(spark, d).select("sha", "seq")
+    """Documents arrive four times, in order of doc_id; the stream ends after each and goes on from its checkpoint.
+    Texts are hashed once, where they are read; an arrival is written by many tasks and taken as one batch."""
+    clips = cut(_clips(spark, d).select("sha", "seq"), "clips")
     cuts = clips.stat.approxQuantile("seq", [0.25, 0.5, 0.75], 0.01)
     home = scratch(spark, "triage-stream")
     part = sum(((F.col("seq") > c).cast("int") for c in cuts), F.lit(0))
-    for begin in (0, 2):
-        for i in (begin, begin + 1):
-            clips.where(part == i).coalesce(1).write.mode("append").parquet(f"{home}/in")
-        registry_stream.run_available(registry_stream.triage_stream(registry_stream.stream_of(spark, f"{home}/in", "sha string, seq long")), f"{home}/out", f"{home}/checkpoint")
+    for i in range(4):
+        clips.where(part == i).write.mode("append").parquet(f"{home}/in")
+        registry_stream.run_available(registry_stream.triage_stream(registry_stream.stream_of(spark, f"{home}/in", "sha string, seq long", None)), f"{home}/out", f"{home}/checkpoint")
     return spark.read.schema(registry_stream.OUT).parquet(f"{home}/out").select("seq", "sha", "first_seq", "action")
 
 

@@ -68,6 +68,7 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     return query
 
 
-def stream_of(spark: SparkSession, folder: str, schema: str, files: int = 1) -> DataFrame:
-    """A stream of the Parquet files of a folder, so many a batch, the oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+def stream_of(spark: SparkSession, folder: str, schema: str, files: int | None = 1) -> DataFrame:
+    """A stream of the Parquet files of a folder, so many a batch, the oldest first; all that are there, if None."""
+    stream = spark.readStream.schema(schema)
+    return (stream if files is None else stream.option("maxFilesPerTrigger", files)).parquet(folder)
