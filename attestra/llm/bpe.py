@@ -132,8 +132,7 @@ class RankBPE:
         ids = self.merge([self.vocab[x] for x in letters])
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
-    def _piece(self, piece: bytes) -> tuple[bytes, str]:
-        """Ids and their decoded text."""
+    def piece_ids(self, piece: bytes) -> bytes:
         text, out = piece.decode("utf-8", "replace"), []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.added:
@@ -141,7 +140,11 @@ class RankBPE:
             elif part:
                 normal = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 out += [self.words[w] for w in self.pattern.findall(normal)]
-        ids = b"".join(out)
+        return b"".join(out)
+
+    def _piece(self, piece: bytes) -> tuple[bytes, str]:
+        """Ids and their decoded text."""
+        ids = self.piece_ids(piece)
         return ids, self._decode(ids)
 
     def _decode(self, ids: bytes) -> str:

@@ -110,10 +110,10 @@ def token_counts(docs: DataFrame, carry: list[str], word_path: str | None = None
     schema = T.StructType([src.schema["row"]]).add("words", "long").add("bytes", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, bytes_ = bpe.tokenizer(word_path), byte_encoding(byte_path)
+        words_, bytes_ = piece_sizes(word_path).__getitem__, byte_encoding(byte_path)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            one = [sum([len(p) for p, _ in words_.encode_pieces(t.encode())]) // 4 for t in texts]
+            one = [sum(map(words_, t.encode().split())) for t in texts]
             two = [len(bytes_.encode_ordinary(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=schema.names)
         common.tidy()
@@ -122,6 +122,17 @@ def token_counts(docs: DataFrame, carry: list[str], word_path: str | None = None
     return src.mapInArrow(run, schema).select(*[F.col("row")[c].alias(c) for c in carry], *made)
 
 
+_SIZES: dict[str, bpe.Generations] = {}
+
+
+def piece_sizes(path: str) -> bpe.Generations:
+    """The number of ids of a piece between ASCII white space, by operator 8's encoder; kept in a bounded cache."""
+    if path not in _SIZES:
+        encoder = bpe.tokenizer(path)
+        _SIZES[path] = bpe.Generations(lambda piece: len(encoder.piece_ids(piece)) // 4, 4 * bpe.CACHE_MOST)
+    return _SIZES[path]
+
+
 _BYTES: dict[str, object] = {}
 
 

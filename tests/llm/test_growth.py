@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from attestra.llm import common, minhash
+from attestra.llm import bpe, common, minhash, rollup
 
 
 def plan(df):
@@ -29,3 +29,9 @@ def test_near_dedup_broadcasts_nothing_uncounted(spark, monkeypatch):
     found = corpus_pipeline.near_dedup_stage(spark, docs, "")
     assert "Broadcast" not in plan(found)
     assert {r.doc_id for r in found.collect()} == set(range(0, 20, 2))
+
+
+def test_piece_sizes_are_those_of_the_encoder():
+    encoder, size = bpe.tokenizer(bpe.default_path()), rollup.piece_sizes(bpe.default_path()).__getitem__
+    for text in ("", "Some words, some 12,345 numbers", "straße ÉCOLE x" * 30, "日本語 \U0001f600 á"):
+        assert sum(map(size, text.encode().split())) == len(encoder.encode(text))
